@@ -41,3 +41,19 @@ its as (select r, count(*) as n_items, sha256(string_agg(cast(item_id as varchar
         from (select distinct r, item_id from m) group by r)
 select d.doc_id, len(d.w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, coalesce(its.h, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join hit on d.r = hit.r left join its on d.r = its.r"""
+
+SQL["op4_minhash"] = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, g from (
+        select doc_id, unnest(case when len(w) >= 2 then list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) when len(w) = 1 then [w[1]] else [] end) as g from w)),
+n as (select doc_id, count(*) as n from s group by 1),
+h as (select doc_id, n, hash(list_sort(list(g))) as k from s join n using (doc_id) group by 1, 2),
+c as (select k, n, min(doc_id) as rep from h group by 1, 2),
+cs as (select s.doc_id, s.g from s where doc_id in (select rep from c)),
+p as (select a.doc_id as u, b.doc_id as v, count(*) as x from cs a join cs b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+e as (select u, v from p join n nu on nu.doc_id = u join n nv on nv.doc_id = v where 100 * x >= 80 * (nu.n + nv.n - x)),
+sym as (select u, v from e union all select v, u from e),
+r(a, b) as (select rep, rep from c union select r.a, sym.v from r join sym on r.b = sym.u),
+m as (select a, min(b) as low from r group by 1)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(m.low, w.doc_id) as component_id, w.doc_id = coalesce(m.low, w.doc_id) as kept
+from w left join h using (doc_id) left join n using (doc_id) left join c on c.k = h.k and c.n = h.n left join m on m.a = c.rep"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import oracles, url_terms, wu_manber
+from leafmill.llm import near_dup, oracles, url_terms, wu_manber
 from leafmill.tables import table
 
 
@@ -14,9 +14,13 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_terms.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.components_of(table(spark, sf_dir, "documents"), words=2)
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wu_manber.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_url_filter, op9_decontaminate)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_url_filter, op4_minhash, op9_decontaminate)}
 ORACLES: dict[str, str] = oracles.SQL
