@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import near_dup, oracles, url_terms, wu_manber
+from leafmill.llm import near_dup, oracles, suffix_repeats, url_terms, wu_manber
 from leafmill.tables import table
 
 
+def op1_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_terms.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -22,5 +26,5 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wu_manber.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_url_filter, op4_minhash, op9_decontaminate)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_repeats, op3_url_filter, op4_minhash, op9_decontaminate)}
 ORACLES: dict[str, str] = oracles.SQL
