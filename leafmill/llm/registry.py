@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import near_dup, oracles, suffix_repeats, url_terms, wu_manber
+from leafmill.llm import bloom_lm, near_dup, oracles, suffix_repeats, url_terms, wu_manber
 from leafmill.tables import table
 
 
@@ -22,9 +22,13 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.components_of(table(spark, sf_dir, "documents"), words=2)
 
 
+def op8_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wu_manber.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_repeats, op3_url_filter, op4_minhash, op9_decontaminate)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_repeats, op3_url_filter, op4_minhash, op8_bloom_lm, op9_decontaminate)}
 ORACLES: dict[str, str] = oracles.SQL
