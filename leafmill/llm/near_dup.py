@@ -5,9 +5,9 @@
 2. Each bucket (band, minima) links its members to its smallest one: as many candidates as
    members, whatever the bucket's size. Candidates whose signatures agree in too few places are
    dropped; the rest are confirmed on the full sets.
-3. Buckets whose members still lie in several components are compared member by member, in blocks
-   dealt over the cluster; only pairs of different components with agreeing signatures come out,
-   and are confirmed on the full sets as well.
+3. In buckets whose members still lie in several components, each member is first tried with the
+   one whose signature agrees most. What is apart after that is compared member by member, in
+   blocks dealt over the cluster, on the full sets; only links that join two components come out.
 4. Components are found by alternating large-star and small-star.
 
 A pair at the threshold shares no bucket with probability (1 - 0.8^4)^32 = 5e-8.
@@ -138,10 +138,8 @@ def _sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return wanted.mapInArrow(rows, "id long, shingles array<long>").dropDuplicates(["id"])
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar, as edges (u, v)."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = materialize(_sets_of(docs, ids, words), "sets")
     with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     both = with_a.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
@@ -149,31 +147,94 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
     return both.where(100 * F.col("shared") >= percent * (F.col("total") - F.col("shared"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components in one bucket with agreeing signatures.
+def _open(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members, with their components, of buckets in which undecided pairs may be left: those of
+    three members or more that lie in two components or more."""
+    placed = members.where("n > 2").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    placed = materialize(placed.select("bucket", "n", "center", "rep", "component"), "placed")
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+    return placed.join(mixed, "bucket", "left_semi")
+
 
-    members: bucket, n (its members), rep, component, signature. A bucket of n members is dealt
-    out as pairs of blocks of BLOCK members, each pair of blocks to its own group."""
+def _dealt(members: DataFrame, *more: str) -> DataFrame:
+    """A bucket of n members as pairs (i, j) of blocks of about BLOCK members."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = dealt.select("bucket", "rep", "component", "signature", "block", other)
-    dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component", "signature")
-
-    def compare(table: pa.Table) -> pa.Table:
-        reps, comps, block = (table.column(c).to_numpy() for c in ("rep", "component", "block"))
-        signatures = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(-1, MINIMA)
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    dealt = dealt.select("bucket", "rep", "center", "component", "signature", *more, "block", other)
+    return dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "center", "component", "signature", *more)
+
+
+def _block_pair(table: pa.Table):
+    """Ids, components, signatures, the two sides, and whether members agree in signature.
+
+    The last is a function of one member and several others: places that agree, 0 where both are
+    in one component, or where one is the bucket's center, whose pairs have been decided."""
+    reps, comps, block = (table.column(c).to_numpy() for c in ("rep", "component", "block"))
+    center = table.column("center")[0].as_py()
+    signatures = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(-1, MINIMA)
+    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+
+    def agree(x: int, others: np.ndarray) -> np.ndarray:
+        equal = (signatures[others] == signatures[x]).sum(axis=1)
+        return np.where((comps[others] == comps[x]) | (reps[others] == center) | (reps[x] == center), 0, equal)
+
+    return reps, comps, np.flatnonzero(block == i), np.flatnonzero(block == j), agree
+
+
+def _pairs(found: list[tuple[int, int]], names: tuple[str, str]) -> pa.Table:
+    return pa.table({names[0]: pa.array([max(p) for p in found], pa.int64()), names[1]: pa.array([min(p) for p in found], pa.int64())})
+
+
+def _best_partners(members: DataFrame) -> DataFrame:
+    """(a, b): for each member, the one of another component whose signature agrees most."""
+
+    def best(table: pa.Table) -> pa.Table:
+        reps, _, left, right, agree = _block_pair(table)
         found = []
-        for x in left.tolist():
-            others = right[(comps[right] != comps[x]) & ((reps[right] > reps[x]) | (i != j))]
-            if len(others):
-                near = others[(signatures[others] == signatures[x]).sum(axis=1) >= LEAST_EQUAL]
-                found += [(int(reps[x]), r) for r in reps[near].tolist()]
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+        for xs, others in ((left, right), (right, left)):
+            for x in xs.tolist() if len(others) else ():
+                equal = agree(x, others)
+                top = int(equal.argmax())
+                if equal[top] >= LEAST_EQUAL:
+                    found.append((int(reps[x]), int(reps[others[top]])))
+        return _pairs(found, ("a", "b"))
+
+    return _dealt(members).groupBy("bucket", "i", "j").applyInArrow(best, "a long, b long").distinct()
+
+
+def _across(members: DataFrame, percent: int) -> DataFrame:
+    """Edges (u, v) that join all components that similar members of one bucket lie in.
+
+    members also have their full sets here, so pairs are decided where they meet, and only those
+    come out that join what was apart: fewer than there are members."""
 
-    return dealt.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    def join(table: pa.Table) -> pa.Table:
+        reps, comps, left, right, agree = _block_pair(table)
+        sets = [np.asarray(x.values) for x in table.column("shingles")]
+        root = {int(c): int(c) for c in np.unique(comps)}
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        found = []
+        for x in left.tolist():
+            equal = agree(x, right)
+            for k in np.argsort(-equal, kind="stable").tolist():
+                if equal[k] < LEAST_EQUAL:
+                    break
+                y = int(right[k])
+                a, b = top(int(comps[x])), top(int(comps[y]))
+                if a != b:
+                    shared = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    if 100 * shared >= percent * (len(sets[x]) + len(sets[y]) - shared):
+                        root[max(a, b)] = min(a, b)
+                        found.append((int(reps[x]), int(reps[y])))
+        return _pairs(found, ("u", "v"))
+
+    return _dealt(members, "shingles").groupBy("bucket", "i", "j").applyInArrow(join, "u long, v long").distinct()
 
 
 def components_of(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -188,19 +249,20 @@ def components_of(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFra
     members = materialize(banded.join(buckets, "bucket"), "members")
     stars = members.where("rep <> center").select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct()
     near = materialize(_agreeing(stars, signatures), "candidates")
-    edges = materialize(_confirmed(near, docs, words, percent), "links")
+    ids = near.select(F.explode(F.array("a", "b")).alias("id")).unionByName(members.where("n > 2").select(F.col("rep").alias("id"))).distinct()
+    sets = materialize(_sets_of(docs, ids, words), "sets")
+    edges = materialize(_confirmed(near, sets, percent), "links")
     found = materialize(connected_components(edges), "components")
 
-    # Buckets whose pairs have not all been decided: three members or more in two components or more.
-    placed = members.where("n > 2").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    placed = materialize(placed.select("bucket", "n", "rep", "component"), "placed")
-    open_ = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    left = placed.join(open_, "bucket", "left_semi").join(signatures.select("rep", "signature"), "rep")
-    more = _across(left).join(stars, ["a", "b"], "left_anti")
-    more = materialize(more, "across")
-    if not more.isEmpty():
-        links = materialize(_confirmed(more, docs, words, percent), "links")
-        found = materialize(connected_components(edges.unionByName(links)), "components")
+    left = _open(members, found)
+    best = materialize(_best_partners(left.join(signatures.select("rep", "signature"), "rep")), "partners")
+    if not best.isEmpty():
+        edges = materialize(edges.unionByName(_confirmed(best, sets, percent)), "links")
+        found = materialize(connected_components(edges), "components")
+        left = _open(members, found).join(signatures.select("rep", "signature"), "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
+        more = materialize(_across(left, percent), "across")
+        if not more.isEmpty():
+            found = materialize(connected_components(edges.unionByName(more)), "components")
 
     classes = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("component"))
     out = rows.select("doc_id", "n_shingles", "h1", "h2").join(classes, ["h1", "h2", "n_shingles"], "left")
