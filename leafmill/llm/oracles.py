@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leafmill.llm import url_terms
+from leafmill.llm import pfair_mix, quality_rules, url_terms
 
 SQL: dict[str, str] = {}
 
@@ -57,3 +57,56 @@ r(a, b) as (select rep, rep from c union select r.a, sym.v from r join sym on r.
 m as (select a, min(b) as low from r group by 1)
 select w.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(m.low, w.doc_id) as component_id, w.doc_id = coalesce(m.low, w.doc_id) as kept
 from w left join h using (doc_id) left join n using (doc_id) left join c on c.k = h.k and c.n = h.n left join m on m.a = c.rep"""
+
+_SHARES = {"symbols": ("n_symbols", "word_chars"), "exclaims": ("n_exclaims", "word_chars"), "capitals": ("n_capitals", "word_chars"), "copied_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words")}
+_CUTS = ", ".join(map(str, quality_rules.CUTOFFS))
+_RATE = quality_rules.ALPHA / len(quality_rules.RULES)
+
+SQL["op2_quality_rules"] = rf"""
+with t as (select row_number() over () as r, doc_id, coalesce(lang, '') as lang, coalesce(text, '') as text from documents),
+a as (select r, doc_id, lang, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines,
+        length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols,
+        length(text) - length(replace(text, '!', '')) as n_exclaims,
+        length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) as n_capitals,
+        length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) as word_chars from t),
+win as (select r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from (select r, w, unnest(range(1, len(w) - 1)) as i from a)),
+dup as (select r, i from (select r, i, count(*) over (partition by r, g) as c from win) where c > 1),
+rep as (select r, count(distinct j) as n from (select r, unnest([i, i + 1, i + 2]) as j from dup) group by r),
+m as (select a.r, doc_id, lang, len(w) as n_words, word_chars, n_symbols, n_exclaims, n_capitals, len(lines) as n_lines, len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(rep.n, 0) as n_repeat_words from a left join rep on a.r = rep.r),
+f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, {', '.join(f'case when {of} > 0 then least({x} / {of}, 1.0) else 0 end as s_{r}' for r, (x, of) in _SHARES.items())} from m),
+clean as (select doc_id from labels group by doc_id having min(quality) = 1 and max(toxic) = 0),
+held as (select * from f where not base_failed and doc_id in (select doc_id from clean)),
+sc as ({' union all '.join(f"select lang, '{r}' as rule, s_{r} as s from held" for r in _SHARES)}),
+tests as (select lang, rule, cutoff, n, k from (select lang, rule, c.cutoff, count(*) as n, count(*) filter (s > c.cutoff) as k from sc, (select unnest([{_CUTS}]) as cutoff) c group by all)),
+p as (select lang, rule, cutoff, n, case when k > {_RATE} * n then 1 else list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_RATE}) + (n - i) * ln(1 - {_RATE})))) end as p from tests),
+fit as (select lang, rule, min(cutoff) as cut from p where p <= {quality_rules.DELTA} / (select count(*) from tests) group by all),
+cuts as (select lang, {', '.join(f"min(cut) filter (rule = '{r}') as cut_{r}" for r in _SHARES)} from fit group by lang)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       not base_failed and not ({' or '.join(f'coalesce(s_{r} > cut_{r}, false)' for r in _SHARES)}) as kept
+from f left join cuts using (lang)"""
+
+
+def mixed(rows: str, period: int = pfair_mix.PERIOD, block: int = pfair_mix.BLOCK, temperature: float = pfair_mix.TEMPERATURE) -> str:
+    """CTEs that end in ``mixed`` (r, source, block, slot, place); rows: a relation with r, doc_id and source."""
+    return rf"""
+named as (select r, doc_id, coalesce(source, '') as source from {rows}),
+cnt as (select source, count(*) as n from named group by 1),
+x as (select source, round(({period} - count(*) over ()) * pow(cast(n as double), {temperature}) / sum(pow(cast(n as double), {temperature})) over (), 6) as exact from cnt),
+y as (select *, floor(exact) as whole from x),
+z as (select source, 1 + whole + case when row_number() over (order by whole - exact, source) <= {period} - count(*) over () - sum(whole) over () then 1 else 0 end as w from y),
+src as (select list(source order by source) as names, list(cast(w as int) order by source) as ws from z),
+plan(slot, done, c) as (
+  select -1, list_transform(ws, lambda q: 0), {{'d': 0, 'i': 0, 'turn': 0}} from src where len(names) > 0
+  union all
+  select slot + 1, list_transform(done, lambda q, i: q + case when i = c.i then 1 else 0 end), c from (
+    select slot, done, list_sort(list_filter(list_transform(done, lambda q, i: case when floor(q * {period} / ws[i]) <= slot + 1 then {{'d': cast(ceil((q + 1) * {period} / ws[i]) as int), 'i': cast(i as int), 'turn': q}} end), lambda e: e is not null))[1] as c
+    from plan, src where slot < {period} - 1)),
+slots as (select slot, names[c.i] as source, c.turn as turn from plan, src where slot >= 0),
+ranked as (select r, source, row_number() over (partition by source order by cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 15) as bigint), doc_id) - 1 as k from named),
+blocks as (select r, ranked.source, k // {block} as block, k % {block} as place, cast(z.w as bigint) as w from ranked join z using (source)),
+mixed as (select r, blocks.source, block, (block // w) * {period} + slots.slot as slot, cast(place as int) as place from blocks join slots on slots.source = blocks.source and slots.turn = block % w)"""
+
+
+SQL["op6_pfair_mix"] = f"""
+with recursive t as (select row_number() over () as r, doc_id, source from documents), {mixed("t")}
+select doc_id, t.source, block, cast(slot as bigint) as slot, place from mixed join t using (r)"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import bloom_lm, near_dup, oracles, suffix_repeats, url_terms, wu_manber
+from leafmill.llm import bloom_lm, near_dup, oracles, pfair_mix, quality_rules, suffix_repeats, url_terms, wu_manber
 from leafmill.tables import table
 
 
@@ -14,6 +14,10 @@ def op1_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_terms.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -22,6 +26,11 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.components_of(table(spark, sf_dir, "documents"), words=2)
 
 
+def op6_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return pfair_mix.mix(docs).select("doc_id", "source", "block", "slot", "place")
+
+
 def op8_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_lm.score_documents(table(spark, sf_dir, "documents"))
 
@@ -30,5 +39,5 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wu_manber.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_repeats, op3_url_filter, op4_minhash, op8_bloom_lm, op9_decontaminate)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_repeats, op2_quality_rules, op3_url_filter, op4_minhash, op6_pfair_mix, op8_bloom_lm, op9_decontaminate)}
 ORACLES: dict[str, str] = oracles.SQL
