@@ -142,6 +142,15 @@ def split_words(column: pa.Array, separators: bytes = SPACES) -> Words:
     return Words(np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), ends)
 
 
+def sums_by_row(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The sum of each row's values; 0 for rows without any."""
+    out = np.zeros(len(offsets) - 1, values.dtype)
+    full = np.diff(offsets) > 0
+    if full.any():
+        out[full] = np.add.reduceat(values, offsets[:-1][full])
+    return out
+
+
 def rows_of(batch: pa.RecordBatch, most_bytes: int = 8 << 20, column: str = "text"):
     """Slices of a batch with at most ``most_bytes`` of text each, or one longer row."""
     _, offsets = column_bytes(batch.column(column))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import bloom_lm, near_dup, oracles, pfair_mix, quality_rules, suffix_repeats, url_terms, wu_manber
+from leafmill.llm import bloom_lm, near_dup, oracles, pfair_mix, quality_rules, span_crf, suffix_repeats, url_terms, weak_quality, wu_manber
 from leafmill.tables import table
 
 
@@ -31,6 +31,10 @@ def op6_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfair_mix.mix(docs).select("doc_id", "source", "block", "slot", "place")
 
 
+def op7_span_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_crf.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op8_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_lm.score_documents(table(spark, sf_dir, "documents"))
 
@@ -39,5 +43,9 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wu_manber.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_repeats, op2_quality_rules, op3_url_filter, op4_minhash, op6_pfair_mix, op8_bloom_lm, op9_decontaminate)}
+def op10_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_quality.classify(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_repeats, op2_quality_rules, op3_url_filter, op4_minhash, op6_pfair_mix, op7_span_crf, op8_bloom_lm, op9_decontaminate, op10_weak_quality)}
 ORACLES: dict[str, str] = oracles.SQL
