@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import bloom_lm, near_dup, oracles, pfair_mix, quality_rules, span_crf, suffix_repeats, url_terms, weak_quality, wu_manber
+from leafmill.llm import bloom_lm, near_dup, oracles, pfair_mix, quality_rules, quotation, span_crf, suffix_repeats, url_terms, weak_quality, wu_manber
 from leafmill.tables import table
 
 
@@ -26,6 +26,10 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.components_of(table(spark, sf_dir, "documents"), words=2)
 
 
+def op5_quotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotation.build_chats(table(spark, sf_dir, "conversations"))
+
+
 def op6_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return pfair_mix.mix(docs).select("doc_id", "source", "block", "slot", "place")
@@ -47,5 +51,5 @@ def op10_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_quality.classify(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_repeats, op2_quality_rules, op3_url_filter, op4_minhash, op6_pfair_mix, op7_span_crf, op8_bloom_lm, op9_decontaminate, op10_weak_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_repeats, op2_quality_rules, op3_url_filter, op4_minhash, op5_quotation, op6_pfair_mix, op7_span_crf, op8_bloom_lm, op9_decontaminate, op10_weak_quality)}
 ORACLES: dict[str, str] = oracles.SQL
