@@ -5,8 +5,8 @@
 2. Each bucket (band, minima) links its members to its smallest one: as many candidates as
    members, whatever the bucket's size. Candidates whose signatures agree in too few places are
    dropped; the rest are confirmed on the full sets.
-3. In buckets whose members still lie in several components, each member is first tried with the
-   one whose signature agrees most. What is apart after that is compared member by member, in
+3. In buckets whose members still lie in several components, each member is first tried with one
+   neighbour, whose signature agrees most. What is apart after that is compared member by member, in
    blocks dealt over the cluster, on the full sets; only links that join two components come out.
 4. Components are found by alternating large-star and small-star.
 
@@ -187,20 +187,21 @@ def _pairs(found: list[tuple[int, int]], names: tuple[str, str]) -> pa.Table:
 
 
 def _best_partners(members: DataFrame) -> DataFrame:
-    """(a, b): for each member, the one of another component whose signature agrees most."""
+    """(a, b): for each member, in its largest bucket and its own block there, the one of another
+    component whose signature agrees most."""
 
     def best(table: pa.Table) -> pa.Table:
-        reps, _, left, right, agree = _block_pair(table)
+        reps, _, left, _, agree = _block_pair(table)
         found = []
-        for xs, others in ((left, right), (right, left)):
-            for x in xs.tolist() if len(others) else ():
-                equal = agree(x, others)
-                top = int(equal.argmax())
-                if equal[top] >= LEAST_EQUAL:
-                    found.append((int(reps[x]), int(reps[others[top]])))
+        for x in left.tolist():
+            equal = agree(x, left)
+            top = int(equal.argmax())
+            if equal[top] >= LEAST_EQUAL:
+                found.append((int(reps[x]), int(reps[left[top]])))
         return _pairs(found, ("a", "b"))
 
-    return _dealt(members).groupBy("bucket", "i", "j").applyInArrow(best, "a long, b long").distinct()
+    largest = members.groupBy("rep", "component", "signature").agg(F.max(F.struct("n", "bucket", "center")).alias("x")).select("rep", "component", "signature", "x.*")
+    return _dealt(largest).where("i = j").groupBy("bucket", "i", "j").applyInArrow(best, "a long, b long").distinct()
 
 
 def _across(members: DataFrame, percent: int) -> DataFrame:
