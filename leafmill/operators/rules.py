@@ -70,7 +70,7 @@ def compile_filters(text: str) -> tuple[list[tuple], list[tuple]]:
         if line.startswith("@host="):
             name, _, line = line[6:].partition(" ")
             host = name.strip().lower().removesuffix(".")
-            if not host or re.search(r"[\s\\/?#@:]", host) or "." not in host:
+            if not host or re.search(r"[\s\\/?#@:]", host):
                 errors.append((number, "host"))
                 continue
         if number > MOST_LINES:
