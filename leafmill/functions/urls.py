@@ -214,7 +214,8 @@ def _follows(x: Column) -> Column:
     page_of = rf"^({'|'.join(PAGE_KEYS)})="
     numbered = rf"^({'|'.join(PAGE_KEYS)})=([0-9]+)$"
     # keys are tried in their fixed order
-    found = F.coalesce(*(F.get(F.filter(want, lambda x, k=k: x.rlike(f"^{k}=0*[1-9][0-9]?$")), F.lit(0)) for k in PAGE_KEYS))
+    numbered_by = lambda k: lambda x: x.rlike(f"^{k}=0*[1-9][0-9]?$")
+    found = F.coalesce(*(F.get(F.filter(want, numbered_by(k)), F.lit(0)) for k in PAGE_KEYS))
 
     def by_page(y: Column) -> Column:
         key = F.regexp_extract(y, page_of, 1)
