@@ -79,7 +79,7 @@ held as (select * from f where not base_failed and doc_id in (select doc_id from
 sc as ({' union all '.join(f"select lang, '{r}' as rule, s_{r} as s from held" for r in _SHARES)}),
 tests as (select lang, rule, cutoff, n, k from (select lang, rule, c.cutoff, count(*) as n, count(*) filter (s > c.cutoff) as k from sc, (select unnest([{_CUTS}]) as cutoff) c group by all)),
 p as (select lang, rule, cutoff, n, case when k > {_RATE} * n then 1 else list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_RATE}) + (n - i) * ln(1 - {_RATE})))) end as p from tests),
-fit as (select lang, rule, min(cutoff) as cut from p where p <= {quality_rules.DELTA} / (select count(*) from tests) group by all),
+fit as (select lang, rule, min(cutoff) as cut from p where p <= {quality_rules.DELTA} / (select count(*) from (select distinct lang, rule from tests)) group by all),
 cuts as (select lang, {', '.join(f"min(cut) filter (rule = '{r}') as cut_{r}" for r in _SHARES)} from fit group by lang)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        not base_failed and not ({' or '.join(f'coalesce(s_{r} > cut_{r}, false)' for r in _SHARES)}) as kept

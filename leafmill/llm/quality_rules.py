@@ -3,9 +3,11 @@
 Each rule scores a document between 0 (clean) and 1. Labelled clean documents are the holdout. In
 each stratum (language), a cutoff of a rule is certified when the exact binomial test rejects that
 it turns away more than ALPHA / rules of the clean documents: P(Bin(n, ALPHA / rules) <= k) must be
-at most DELTA divided by the number of tests (strata x rules x cutoffs; Bonferroni). With
-probability 1 - DELTA, all certified cutoffs together turn away at most ALPHA of the clean
-documents of each stratum. The lowest certified cutoff is used; without one the rule is silent.
+at most DELTA / (strata x rules). That is Bonferroni's correction over strata and rules; the
+cutoffs of one rule are tested in a fixed sequence, from the highest down to the first that fails
+(what a lower cutoff turns away contains what a higher one does), which needs no further share of
+DELTA. With probability 1 - DELTA, all certified cutoffs together turn away at most ALPHA of the
+clean documents of each stratum. The lowest certified cutoff is used; without one the rule is silent.
 
 Defined cases: a null text has no words and fails; a null language is a stratum of its own; strata
 without labels have no cutoffs; a document with several labels counts as clean only if all say so;
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from leafmill.tables import materialize
 
-ALPHA, DELTA = 0.02, 0.05
+ALPHA, DELTA = 0.025, 0.05
 RULES = ["symbols", "exclaims", "capitals", "copied_lines", "repeats"]
 CUTOFFS = [0.01, 0.02, 0.03, 0.05, 0.08, 0.12, 0.18, 0.25, 0.35, 0.5, 0.65, 0.8]
 SPACE = r"[\x20\x09-\x0D]+"
@@ -98,7 +100,7 @@ def certified_cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALP
     turned = [F.struct(F.lit(c).alias("cutoff"), F.sum(F.when(F.col("passed") > g, F.col("rows")).otherwise(0)).alias("k")) for g, c in enumerate(CUTOFFS)]
     tests = counts.groupBy("lang", "rule").agg(F.sum("rows").alias("n"), F.array(*turned).alias("tests")).select("lang", "rule", "n", F.explode("tests").alias("x")).select("lang", "rule", "n", "x.*")
     tests = materialize(tests, "tests")  # strata x rules x cutoffs rows
-    most = delta / max(1, tests.count())
+    most = delta / max(1, tests.select("lang", "rule").distinct().count())
     fit = tests.where(binomial_tail(F.col("n"), F.col("k"), alpha / len(RULES)) <= most)
     return fit.groupBy("lang").agg(*(F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES))
 
