@@ -7,7 +7,6 @@ truncated; long columns are cut into pieces at word boundaries to bound memory.
 
 from __future__ import annotations
 
-import functools
 import sys
 from dataclasses import dataclass
 
@@ -57,9 +56,20 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return every[at[0] : at[-1]], at - at[0]
 
 
-@functools.cache
-def _tables(separators: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each byte: its lower-cased A-Z, whether it belongs to words, its random value."""
+class _Kept(dict):
+    """Tables that a process makes once; they do not travel with tasks."""
+
+    def __reduce__(self):
+        return _Kept, ()
+
+
+_kept = _Kept()
+
+
+def _tables(separators: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte: whether it belongs to words, and its random value, with A-Z lower-cased."""
+    if separators in _kept:
+        return _kept[separators]
     lower = np.arange(256, dtype=np.uint8)
     lower[0x41:0x5B] += 0x20
     word = np.ones(256, bool)
@@ -67,17 +77,20 @@ def _tables(separators: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     value = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     folded = value[lower]
     is_word = word[lower]
-    return is_word, np.where(is_word, folded, np.uint64(0)), lower
+    _kept[separators] = is_word, np.where(is_word, folded, np.uint64(0))
+    return _kept[separators]
 
 
-@functools.cache
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    if size in _kept:
+        return _kept[size]
     out = []
     for base in (MULTIPLIER, INVERSE):
         steps = np.full(size, base, np.uint64)
         steps[0] = 1
         out.append(np.multiply.accumulate(steps))
-    return out[0], out[1]
+    _kept[size] = out[0], out[1]
+    return _kept[size]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -101,7 +114,7 @@ def chain(*columns: np.ndarray) -> np.ndarray:
 def split_words(column: pa.Array, separators: bytes = SPACES) -> Words:
     """The words of each string, with A-Z lower-cased, as 64-bit hashes."""
     data, offsets = column_bytes(column)
-    is_word, values, _ = _tables(separators)
+    is_word, values = _tables(separators)
     hashes, ends = [], np.zeros(len(offsets), np.int64)
     begin, seen, n = 0, 0, len(data)
     first_doc = 0
