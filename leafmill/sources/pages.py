@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import sys
 from functools import reduce
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +13,6 @@ from leafmill.functions import text as T
 from leafmill.functions import urls as U
 from leafmill.tables import table
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 # Named entities that are decoded, tags without content, and tags that end others.
 ENTITIES = [("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}

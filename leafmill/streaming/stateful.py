@@ -8,11 +8,9 @@ page cap), an origin's cooldown, a target's failures. They need the RocksDB stat
 from __future__ import annotations
 
 import json
-import sys
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -21,8 +19,6 @@ from pyspark.sql.types import StringType, StructField, StructType
 from leafmill.functions import text as T
 from leafmill.functions import urls as U
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE = StructType([StructField("json", StringType())])
 SECTIONS_OUT = "key string, stage string, ord int, loaded int, total int, content string, truncated boolean"
