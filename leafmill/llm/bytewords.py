@@ -7,15 +7,10 @@ truncated; long columns are cut into pieces at word boundaries to bound memory.
 
 from __future__ import annotations
 
-import sys
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
-
-# Tasks carry this module with them, so workers need no copy of the package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 PIECE = 1 << 20
 MULTIPLIER = 0x9E3779B97F4A7C15 | 1

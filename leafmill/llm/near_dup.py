@@ -19,11 +19,9 @@ null component and is not kept; further columns are left alone.
 
 from __future__ import annotations
 
-import sys
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +29,6 @@ from leafmill.llm import bytewords
 from leafmill.llm.components import connected_components
 from leafmill.tables import materialize
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 BANDS, ROWS = 32, 4
 MINIMA = BANDS * ROWS
 #: Five standard deviations below 128 * 0.8.

@@ -20,18 +20,14 @@ from __future__ import annotations
 
 import hashlib
 import re
-import sys
 
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.llm.components import connected_components
 from leafmill.tables import materialize
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 MIN_WORDS = 4
 PART = 64
 _QUOTE = re.compile(r"(?:[ \t]?>)+[ \t]?")

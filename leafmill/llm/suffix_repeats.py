@@ -23,21 +23,17 @@ overlapping occurrences in one text count; further columns are left alone.
 from __future__ import annotations
 
 import hashlib
-import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm import bytewords
 from leafmill.tables import materialize
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 SIZE = 400
 GRAM = 48
 #: Different sites of one k-gram that are compared in one task; k-grams with more are split.

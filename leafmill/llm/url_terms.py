@@ -10,16 +10,12 @@ is allowed; repeated rows give repeated results; further columns stay out of the
 
 from __future__ import annotations
 
-import sys
 
 import ahocorasick
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 #: Fixed rules (host, path, verdict).
 RULES = [
     ("com", "/", "allow"),

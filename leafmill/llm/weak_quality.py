@@ -13,19 +13,15 @@ as they occur; ties in the sample's order go to the smaller id; further columns
 
 from __future__ import annotations
 
-import sys
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm import bytewords
 from leafmill.tables import materialize
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 #: Labellers: (measure, good up to, bad from); votes between the two are withheld.
 LABELLERS = [
     ("symbols", 0.05, 0.3),

@@ -12,21 +12,19 @@ results; other columns of the documents are left alone.
 from __future__ import annotations
 
 import hashlib
-import sys
+import pickle
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm import bytewords
 from leafmill.tables import materialize
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 WINDOW = 10
 #: A pattern set is broadcast only up to this many bytes of benchmark text; larger ones are
 #: searched for in several passes of at most this size.
@@ -95,6 +93,12 @@ def compile_patterns(items: list[tuple[int, str | None]], window: int = WINDOW)
     return [Machine(k, dict(v)) for k, v in sorted(by_length.items())]
 
 
+def _broadcast(items: DataFrame, window: int) -> Broadcast:
+    """The search tables of a slice of the benchmark, with their code."""
+    machines = compile_patterns([tuple(r) for r in items.collect()], window)
+    return items.sparkSession.sparkContext.broadcast(cloudpickle.dumps(machines))
+
+
 def _scan(machines: list[Machine], batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[tuple[int, int]], set[str]]]:
     """For each row of a batch: its number of words, first word, hit intervals and items."""
     words = bytewords.split_words(batch.column("text"), bytewords.NON_ALNUM)
@@ -135,16 +139,16 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     The search reads each document once and shuffles nothing. A benchmark of more than
     pass_bytes is searched for slice by slice and the hits of the slices are put together.
     """
-    spark = docs.sparkSession
     slices = _passes(benchmark.select("item_id", "text"), pass_bytes)
     texts = docs.select("doc_id", "text")
     if len(slices) == 1:
-        machines = spark.sparkContext.broadcast(compile_patterns([tuple(r) for r in slices[0].collect()], window))
+        machines = _broadcast(slices[0], window)
 
         def search(batches):
+            tables = pickle.loads(machines.value)
             for whole in batches:
                 for batch in bytewords.rows_of(whole):
-                    rows = [(n, _covered(hits), len(ids), _items_digest(ids), bool(hits)) for _, n, hits, ids in _scan(machines.value, batch)]
+                    rows = [(n, _covered(hits), len(ids), _items_digest(ids), bool(hits)) for _, n, hits, ids in _scan(tables, batch)]
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True))], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
         return texts.mapInArrow(search, RESULT)
@@ -152,7 +156,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     rows = materialize(rows, "decontaminate")
     found = None
     for part in slices:
-        machines = spark.sparkContext.broadcast(compile_patterns([tuple(r) for r in part.collect()], window))
+        machines = _broadcast(part, window)
         more = rows.mapInArrow(_hits_with(machines), "row long, n_words long, hits array<struct<begin: int, length: int>>, items array<string>")
         found = more if found is None else found.unionByName(more)
     merged = found.groupBy("row").agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
@@ -169,9 +173,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
 def _hits_with(machines):
     def search(batches):
+        tables = pickle.loads(machines.value)
         for whole in batches:
             for batch in bytewords.rows_of(whole):
-                rows = [(n, [{"begin": b, "length": k} for b, k in hits], sorted(ids)) for _, n, hits, ids in _scan(machines.value, batch)]
+                rows = [(n, [{"begin": b, "length": k} for b, k in hits], sorted(ids)) for _, n, hits, ids in _scan(tables, batch)]
                 yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.struct([("begin", pa.int32()), ("length", pa.int32())]))), pa.array([r[2] for r in rows], pa.list_(pa.string()))], names=["row", "n_words", "hits", "items"])
 
     return search
@@ -181,12 +186,13 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     """The documents, with all their columns, in which no window of the benchmark occurs."""
     slices = _passes(benchmark.select("item_id", "text"), pass_bytes)
     for part in slices:
-        machines = docs.sparkSession.sparkContext.broadcast(compile_patterns([tuple(r) for r in part.collect()], window))
+        machines = _broadcast(part, window)
 
         def keep(batches, machines=machines):
+            tables = pickle.loads(machines.value)
             for whole in batches:
                 for batch in bytewords.rows_of(whole):
-                    yield batch.filter(pa.array([not hits for _, _, hits, _ in _scan(machines.value, batch)], pa.bool_()))
+                    yield batch.filter(pa.array([not hits for _, _, hits, _ in _scan(tables, batch)], pa.bool_()))
 
         docs = docs.mapInArrow(keep, docs.schema)
     return docs
