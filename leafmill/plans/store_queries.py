@@ -198,7 +198,7 @@ def reciprocal_nav(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.reciprocal_navigation(nxt.unionByName(prev))
 
 
-_SEC = "s as (select l_orderkey as key, l_linenumber as section, case when l_partkey % 9 = 0 then l_linenumber + 1 when l_partkey % 3 = 0 then l_linenumber end as mp, case when l_partkey % 3 = 0 then 5 + case when l_suppkey % 11 = 0 then 1 else 0 end end as mt, l_shipmode_ as content, l_returnflag as title, l_suppkey as sk from (select *, l_returnflag || l_linestatus || l_partkey as l_shipmode_ from lineitem where l_suppkey % 13 <> 1))"
+_SEC = "s as (select l_orderkey as key, l_linenumber + case when l_suppkey % 13 = 1 then 50 else 0 end as section, case when l_partkey % 9 = 0 then l_linenumber + 1 when l_partkey % 3 = 0 then l_linenumber end as mp, case when l_partkey % 3 = 0 then 5 + case when l_suppkey % 11 = 0 then 1 else 0 end end as mt, l_shipmode_ as content, l_returnflag as title, l_suppkey as sk from (select *, l_returnflag || l_linestatus || l_partkey as l_shipmode_ from lineitem))"
 _ACC = f"""{_SEC}, o as (select *, row_number() over (partition by key order by section, content, sk) as ord, first_value(mt ignore nulls) over (partition by key order by section, content, sk rows between unbounded preceding and current row) as kt from s where section <= 10),
 b as (select *, min(case when section <> ord or coalesce(mp <> ord, false) or coalesce(mt <> kt, false) then ord end) over (partition by key) as bad from o), acc as (select * from b where bad is null or ord < bad)"""
 
@@ -207,10 +207,10 @@ _TIES = ("content", "next_url")
 
 
 def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines as pages of an order; some marks are wrong, and lines of some suppliers are missing."""
-    rows = table(spark, sf_dir, "lineitem").where("l_suppkey % 13 <> 1")
+    """Lines as pages of an order; some marks are wrong, and lines of some suppliers far off."""
+    rows = table(spark, sf_dir, "lineitem")
     return rows.selectExpr(
-        "l_orderkey as key", "l_linenumber as section", "case when l_partkey % 9 = 0 then l_linenumber + 1 when l_partkey % 3 = 0 then l_linenumber end as marker_page",
+        "l_orderkey as key", "l_linenumber + case when l_suppkey % 13 = 1 then 50 else 0 end as section", "case when l_partkey % 9 = 0 then l_linenumber + 1 when l_partkey % 3 = 0 then l_linenumber end as marker_page",
         "case when l_partkey % 3 = 0 then 5 + case when l_suppkey % 11 = 0 then 1 else 0 end end as marker_total",
         "concat(l_returnflag, l_linestatus, l_partkey) as content", "l_returnflag as title", "l_suppkey as next_url", "case when l_linestatus = 'F' then 'hans' when l_returnflag = 'N' then 'hant' else 'unknown' end as script",
     )

@@ -31,7 +31,7 @@ def query(sql: str | None = None):
 
 _SP = q(T.SPACE + "+")
 #: Texts with the wording that the functions look for; valid in both engines.
-NOISY = "case doc_id % 8 when 0 then '第' || (doc_id % 30) || '章 （本章未完，请点击下一页继续阅读）' || text when 1 then text || ' www.example.com (2/' || (doc_id % 7) || ')' when 2 then '伱好 ' || substr(text, 1, 200) when 3 then '正文卷 ' || substr(text, 1, 40) || '_site' when 4 then 'Chapter ' || doc_id || ' ' || substr(text, 1, 60) when 5 then '著名 看著 気 ' || substr(text, 1, 80) when 6 then '公告 ' || substr(text, 1, 30) else text end"
+NOISY = "case doc_id % 8 when 0 then '第' || (doc_id % 30) || '章 （本章未完，请点击下一页继续阅读）' || text when 1 then text || ' www.example.com (2/' || (doc_id % 7) || ')' when 2 then '伱好 ' || text when 3 then '正文卷 ' || text || '_site' when 4 then 'Chapter ' || doc_id || ' ' || text when 5 then '著名 看著 気 ' || text when 6 then '公告 ' || text else text end"
 
 
 def noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,10 +79,10 @@ docs_query("text_truncate", {"text": T.truncate}, {"text": "case when length(tex
 docs_query("insufficient", {"insufficient": classify.insufficient_content}, {"insufficient": f"{_SOLID} < 80 or ({rx('text', classify.LOADING)} and {_SOLID} < 200)"})
 
 
-@query("with recursive d as (select doc_id, substr(text, 1, 120) as t from documents), h(doc_id, t, i, v) as (select doc_id, t, 0, cast(2166136261 as ubigint) from d union all select doc_id, t, i + 1, (xor(v, cast(unicode(substr(t, i + 1, 1)) as ubigint)) * 16777619) & 4294967295 from h where i < length(t)) select doc_id, 'fnv1a:' || lpad(lower(to_hex(v)), 8, '0') as hash from h where i = length(t)")
+@query("with recursive h(page_id, t, i, v) as (select page_id, url, 0, cast(2166136261 as ubigint) from pages union all select page_id, t, i + 1, (xor(v, cast(unicode(substr(t, i + 1, 1)) as ubigint)) * 16777619) & 4294967295 from h where i < length(t)) select page_id, 'fnv1a:' || lpad(lower(to_hex(v)), 8, '0') as hash from h where i = length(t)")
 def fnv1a(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F21 of the first line or so: the hash is defined for labels and URLs, not for whole books."""
-    return table(spark, sf_dir, "documents").select("doc_id", T.fnv1a_hex(F.substring("text", 1, 120)).alias("hash"))
+    """F21 of all URLs."""
+    return S.read_pages(spark, sf_dir).select("page_id", T.fnv1a_hex(F.col("url")).alias("hash"))
 
 
 _STRIPPED = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', '', 'g'), '(?is)<style.*?</style>', '', 'g'), '<[^>]+>', '', 'g'), '(?i)&nbsp;|&#160;', ' ', 'g')"
