@@ -209,7 +209,7 @@ parts as (select page_id, p[i] as raw, 1 as w, i as p from (select page_id, p, u
 v1 as (select page_id, t, sum(w) as score, min(p) as p from (select page_id, {s_book('raw')} as t, w, p from parts) where {s_valid_book('t')} group by 1, 2),
 v2 as (select page_id, t, sum(w) as score, min(p) as p from (select page_id, {s_book('text')} as t, case when {rx(sql_path('abs_url'), '(?i)/(book|novel|info|xiaoshuo)/')} then 2 else 1 end as w, pos + 100 as p from links where pos < 200 and text <> '' and page_id not in (select page_id from v1 where score >= 3)) where {s_valid_book('t')} group by 1, 2),
 v as (select page_id, t, sum(score) as score, min(p) as p from (select * from v1 union all select * from v2) group by 1, 2)
-select page_id, t as book_title, score from v qualify row_number() over (partition by page_id order by score desc, length(t) desc, p) = 1""")
+select page_id, t as book_title, cast(score as bigint) as score from v qualify row_number() over (partition by page_id order by score desc, length(t) desc, p) = 1""")
 def book_title_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.book_title_vote(S.read_pages(spark, sf_dir))
 
