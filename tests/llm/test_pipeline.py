@@ -37,3 +37,12 @@ def test_pipeline(spark, tmp_path):
     docs = docs.join(near_dup.components_of(docs).where("kept").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
     clean = wu_manber.find_contamination(docs, table(spark, str(tmp_path), "benchmark")).where("not contaminated")
     assert {r.doc_id for r in clean.select("doc_id").collect()} == ids
+
+
+def test_first_stage_drops_toxic_documents(spark, tmp_path):
+    rows, _ = planted()
+    rows += [(700 + k, rows[k][1].replace(" ", " idiot ", 2) + " Worthless scum!") for k in range(20)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    ids = {r.doc_id for r in corpus_pipeline.quality(spark, docs, str(tmp_path)).collect()}
+    assert set(range(150)) <= ids
+    assert not ids & set(range(700, 720))

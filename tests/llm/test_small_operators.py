@@ -220,3 +220,30 @@ def test_classifier_separates_junk(spark):
     assert Counter(x.doc_id for x in kept.collect()) == Counter(x.doc_id for x in got if x.kept)
     assert weak_quality.classify(docs(spark, [])).collect() == []
     assert weak_quality.classify(docs(spark, rows[:30])).where("kept").count() == 30
+
+
+def toxic_corpus():
+    """Clean prose, and as clean prose with a few abusive words, few or many of all."""
+    r = random.Random(16)
+    v = [f"word{chr(97 + k % 26)}{k}" for k in range(900)]
+    prose = lambda n: [r.choice(v) + r.choice(["", "", "", ",", "."]) for _ in range(n)]
+    abusive = ["moron", "Scum!", "vollidiot,", "connard", "gilipollas.", "Stupid", "pathetic"]
+    rows = [(k, " ".join(prose(r.randint(20, 200))), "s") for k in range(900)]
+    for k in range(60):
+        w = prose(r.randint(20, 200))
+        for _ in range(2 + len(w) // 50):
+            w[r.randrange(len(w))] = r.choice(abusive[:5])
+        rows.append((5000 + k, " ".join([*w, r.choice(abusive)]), "s"))
+    rows += [(6000 + k, " ".join([*prose(60), "clown", *prose(60)]), "s") for k in range(30)]  # one word of scorn
+    rows += [(7000 + k, " ".join(w + "%%%" for w in prose(80)), "s") for k in range(100)]
+    return rows
+
+
+def test_classifier_drops_toxic_documents(spark):
+    rows = toxic_corpus()
+    got = {x.doc_id: x.kept for x in weak_quality.classify(docs(spark, rows), sample=200).collect()}
+    part = lambda a, b: [x for i, x in got.items() if a <= i < b]
+    assert sum(part(0, 900)) >= 0.99 * 900
+    assert not any(part(5000, 5060))
+    assert all(part(6000, 6030))
+    assert not any(part(7000, 7100))
