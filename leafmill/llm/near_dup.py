@@ -1,7 +1,7 @@
 """MinHash near-duplicate detection.
 
 1. Each document becomes a set of word shingles, sketched by 128 universal hash minima in 32 bands
-   of 4. Documents with equal sets collapse to the one with the smallest id.
+   of 4. Documents with equal sets are one node, and nodes that share an id are linked.
 2. Each bucket (band, minima) links its members to its smallest one: as many candidates as
    members, whatever the bucket's size. Candidates whose signatures agree in too few places are
    dropped; the rest are confirmed on the full sets.
@@ -13,8 +13,10 @@
 A pair at the threshold shares no bucket with probability (1 - 0.8^4)^32 = 5e-8.
 
 Defined cases: null or empty texts, or texts without words, have an empty set and stay alone; a
-text of fewer words than a shingle is one shingle; repeated ids are one node; a null doc_id has a
-null component and is not kept; further columns are left alone.
+text of fewer words than a shingle is one shingle; repeated ids belong together, whatever their
+texts; a null doc_id has a null component and is not kept; further columns are left alone.
+drop_near_duplicates() tells rows apart by keys of its own, so there repeated ids are different
+documents, exact copies are dropped whatever their ids, and null ids stay unless a copy does.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ MINIMA = BANDS * ROWS
 LEAST_EQUAL = 80
 #: Members of a bucket that are compared with each other in one task.
 BLOCK = 512
+#: What tells sets apart.
+SET = ["h1", "h2", "n_shingles"]
 SKETCH = "doc_id long, n_shingles long, h1 long, h2 long, signature binary, bands array<long>"
 
 _rng = np.random.default_rng(97)
@@ -81,6 +85,11 @@ def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return (total[offsets[1:]] - total[offsets[:-1]]).view(np.int64)
 
 
+def _set_hashes(shingles: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
+    """h1 and h2 of each set."""
+    return [pa.array(_sums(bytewords.mix(shingles + np.uint64(k)), offsets)) for k in (0, MINIMA)]
+
+
 def sketch(docs: DataFrame, words: int) -> DataFrame:
     """SKETCH, one row per document."""
 
@@ -96,8 +105,7 @@ def sketch(docs: DataFrame, words: int) -> DataFrame:
                     [
                         batch.column("doc_id"),
                         pa.array(np.diff(offsets)),
-                        pa.array(_sums(bytewords.mix(shingles), offsets)),
-                        pa.array(_sums(bytewords.mix(shingles + np.uint64(MINIMA)), offsets)),
+                        *_set_hashes(shingles, offsets),
                         pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, MINIMA * (n + 1), MINIMA, dtype=np.int32)), pa.py_buffer(signature)]),
                         pa.ListArray.from_arrays(np.arange(0, BANDS * (n + 1), BANDS, dtype=np.int32), pa.array(np.ascontiguousarray(bands.T).ravel().view(np.int64))),
                     ],
@@ -121,17 +129,21 @@ def _agreeing(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(keep, "a long, b long")
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(id, shingles) of the documents in ids, from their whole texts."""
+def _sets_of(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """(id, shingles) of the nodes (node, rep, *SET), from the whole texts of their reps."""
 
     def rows(batches):
         for whole in batches:
             for batch in bytewords.rows_of(whole, 2 << 20):
                 shingles, offsets = shingle_sets(batch.column("text"), words)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(offsets.astype(np.int32), pa.array(shingles.view(np.int64)))], names=["id", "shingles"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), pa.array(np.diff(offsets)), *_set_hashes(shingles, offsets), pa.ListArray.from_arrays(offsets.astype(np.int32), pa.array(shingles.view(np.int64)))],
+                    names=["doc_id", "n_shingles", "h1", "h2", "shingles"],
+                )
 
-    wanted = docs.select("doc_id", "text").join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    return wanted.mapInArrow(rows, "id long, shingles array<long>").dropDuplicates(["id"])
+    wanted = docs.select("doc_id", "text").join(nodes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    sets = wanted.mapInArrow(rows, "doc_id long, n_shingles long, h1 long, h2 long, shingles array<long>").dropDuplicates(["doc_id", *SET])
+    return sets.join(nodes.withColumnRenamed("rep", "doc_id"), ["doc_id", *SET]).select(F.col("node").alias("id"), "shingles")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -234,21 +246,31 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
     return _dealt(members, "shingles").groupBy("bucket", "i", "j").applyInArrow(join, "u long, v long").distinct()
 
 
+def _same_ids(known: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges (u, v) between the nodes of ids that have several."""
+    sets = F.struct(*SET)
+    several = known.groupBy("doc_id").agg(F.min(sets).alias("low"), F.max(sets).alias("high")).where("low < high").select("doc_id")
+    nodes = known.join(several, "doc_id", "left_semi").select("doc_id", *SET).distinct().join(classes.select("node", *SET), SET)
+    return nodes.join(nodes.groupBy("doc_id").agg(F.min("node").alias("u")), "doc_id").where("node <> u").select("u", F.col("node").alias("v"))
+
+
 def components_of(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     rows = materialize(sketch(docs, words), "sketch")
-    classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    classes = materialize(classes, "classes")
-    reps = rows.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    signatures = materialize(reps.select(F.col("doc_id").alias("rep"), "signature", "bands"), "signatures")
+    known = rows.where("n_shingles > 0 and doc_id is not null")
+    classes = known.groupBy(*SET).agg(F.min("doc_id").alias("rep"))
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    reps = rows.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", *SET]).dropDuplicates(["node"])
+    signatures = materialize(reps.select(F.col("node").alias("rep"), "signature", "bands"), "signatures")
     banded = signatures.select("rep", F.explode("bands").alias("bucket"))
     buckets = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("center")).where("n > 1")
     members = materialize(banded.join(buckets, "bucket"), "members")
     stars = members.where("rep <> center").select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct()
     near = materialize(_agreeing(stars, signatures), "candidates")
     ids = near.select(F.explode(F.array("a", "b")).alias("id")).unionByName(members.where("n > 2").select(F.col("rep").alias("id"))).distinct()
-    sets = materialize(_sets_of(docs, ids, words), "sets")
-    edges = materialize(_confirmed(near, sets, percent), "links")
+    nodes = classes.join(ids.withColumnRenamed("id", "node"), "node", "left_semi")
+    sets = materialize(_sets_of(docs, nodes, words), "sets")
+    edges = materialize(_confirmed(near, sets, percent).unionByName(_same_ids(known, classes)), "links")
     found = materialize(connected_components(edges), "components")
 
     left = _open(members, found)
@@ -256,18 +278,24 @@ def components_of(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFra
     if not best.isEmpty():
         edges = materialize(edges.unionByName(_confirmed(best, sets, percent)), "links")
         found = materialize(connected_components(edges), "components")
-        left = _open(members, found).join(signatures.select("rep", "signature"), "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
-        more = materialize(_across(left, percent), "across")
-        if not more.isEmpty():
-            found = materialize(connected_components(edges.unionByName(more)), "components")
-
-    classes = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    out = rows.select("doc_id", "n_shingles", "h1", "h2").join(classes, ["h1", "h2", "n_shingles"], "left")
+        left = _open(members, found)
+    left = left.join(signatures.select("rep", "signature"), "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
+    more = materialize(_across(left, percent), "across")
+    if not more.isEmpty():
+        found = materialize(connected_components(edges.unionByName(more)), "components")
+
+    classes = classes.join(found, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    classes = classes.join(classes.groupBy("part").agg(F.min("rep").alias("component")), "part").select(*SET, "component")
+    out = rows.select("doc_id", "n_shingles", "h1", "h2").join(classes, SET, "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents, with all their columns, that are the smallest id of their component."""
-    kept = components_of(docs, words, percent).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """The documents, with all their columns, that have the smallest id of their component."""
+    key = "near_dup_key"
+    keyed = materialize(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    placed = components_of(keyed.select(F.col(key).alias("doc_id"), "text"), words, percent)
+    placed = placed.select(F.col("doc_id").alias(key), "component_id").join(keyed.select(key, "doc_id"), key)
+    first = placed.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", key)).alias("x"))
+    return keyed.join(first.select(F.col(f"x.{key}").alias(key)), key, "left_semi").select(docs.columns)

@@ -68,3 +68,27 @@ def test_components_of_a_path_and_a_star(spark):
     got = components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()
     assert {r.node: r.component for r in got} == {**dict.fromkeys(range(21), 0), **dict.fromkeys(range(100, 130), 100)}
     assert len(got) == 51
+
+
+def test_ids_with_several_texts_join_all_of_them(spark):
+    rows = [(1, "a b c d"), (2, "e f g h"), (0, "a b c d"), (0, "e f g h"), (3, "i j k l")]
+    got = near_dup.components_of(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()
+    assert sorted((x.doc_id, x.component_id, x.kept) for x in got) == [(0, 0, True), (0, 0, True), (1, 0, False), (2, 0, False), (3, 3, True)]
+
+
+def test_blocks_are_compared_even_without_best_partners(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "_best_partners", lambda members: spark.createDataFrame([], "a long, b long"))
+    rows = corpus(3, 10, 80)
+    got = near_dup.components_of(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()
+    assert sorted((tuple(x) for x in got), key=str) == brute(rows, 2, 80)
+
+
+def test_one_row_of_each_group_stays(spark):
+    r = random.Random(5)
+    say = lambda: " ".join(r.choice(["ab", "cd", "ef", "gh"]) + str(r.randrange(50)) for _ in range(30))
+    alone, twice, both, other, third, copied = (say() for _ in range(6))
+    rows = [(None, alone), (1, twice), (1, twice), (2, both), (None, both), (3, other), (3, third), (4, third), (None, copied), (None, copied), (None, ""), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as component_id")
+    got = near_dup.drop_near_duplicates(df)
+    assert got.columns == df.columns
+    assert sorted(((x.doc_id, x.text) for x in got.collect()), key=str) == sorted([(None, alone), (1, twice), (2, both), (3, other), (3, third), (None, copied), (None, ""), (None, None)], key=str)
