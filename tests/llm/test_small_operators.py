@@ -153,6 +153,35 @@ def test_mix_places_every_document_once(spark, monkeypatch):
     assert pfair_mix.mix(docs(spark, [])).collect() == []
 
 
+def test_mix_of_many_sources(spark):
+    rows = [(k, "t", f"s{k % 1300}") for k in range(2600)] + [(10_000 + k, "t", "hot") for k in range(1300)]
+    got = pfair_mix.mix(docs(spark, rows), block=1).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _, _ in rows)
+    assert len({r.slot for r in got}) == len(rows)
+    counts = spark.createDataFrame([(f"s{k}", 2) for k in range(1300)] + [("hot", 1300)], "source string, n long")
+    weights = {r.source: r.weight for r in pfair_mix.target_weights(counts, period=1 << 15).collect()}
+    assert abs(weights["hot"] / weights["s5"] / 650**0.5 - 1) < 0.1
+    for r in got:
+        assert abs(r.block - r.slot * weights[r.source] / (1 << 15)) < 4
+
+
+def test_paths_fill_a_period(spark):
+    sizes = [333, 401, 1, 265, *[7] * 100, 5000, 24]
+    weights = {f"s{k}": w for k, w in enumerate(sizes)}
+    period = sum(sizes)
+    ways = pfair_mix.paths(spark.createDataFrame(list(weights.items()), "source string, weight int"), period)
+    turns = ways.select("source", "path", F.explode(F.sequence(F.lit(0), F.col("weight") - 1)).alias("turn"))
+    got = turns.select("source", "turn", pfair_mix.slot_on(F.col("path"), F.col("turn")).alias("slot")).collect()
+    assert sorted(r.slot for r in got) == list(range(period))
+    assert all(abs(r.turn - r.slot * weights[r.source] / period) < 4 for r in got)
+
+
+def test_mix_refuses_unlisted_sources(spark):
+    weights = spark.createDataFrame([("a", 1000)], "source string, weight int")
+    with pytest.raises(ValueError, match="without a weight: b"):
+        pfair_mix.mix(docs(spark, [(1, "t", "a"), (2, "t", "b")]), weights)
+
+
 # --- Personal data --------------------------------------------------------------------------
 
 
