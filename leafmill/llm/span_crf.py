@@ -2,9 +2,9 @@
 
 The base patterns find emails, IP addresses, card and phone numbers. Around every stretch that may
 be personal, the text is cut into tokens, and a semi-Markov model scores every segment of up to
-MOST_TOKENS tokens as one of the kinds, by features of the whole segment (digits, groups, Luhn sum,
+MOST_TOKENS tokens (and MOST_DIGITS digits, as no number has more) as one of the kinds, by features of the whole segment (digits, groups, Luhn sum,
 signs, the word before); dynamic programming over segment ends picks boundaries and kinds
-together. Spans of the model are added where no base span stands.
+together. Base spans cut the stretches: the model segments what stands between them.
 
 The weights are fitted by maximum likelihood (forward-backward over segments) on fixed examples
 and on the stretches of a bounded sample of documents, which the base patterns label.
@@ -16,8 +16,8 @@ long texts are read whole, in time in proportion to their length; further column
 
 from __future__ import annotations
 
-import bisect
 import hashlib
+import itertools
 import math
 import re
 from collections import defaultdict
@@ -29,7 +29,10 @@ from pyspark.sql import functions as F
 KINDS = ["email", "ip", "card", "phone", "secret"]
 BASE_KINDS = KINDS[:4]
 MOST_TOKENS = 16
-SAMPLE = 200
+#: In a segment with other characters than letters and digits.
+MOST_DIGITS = 20
+#: Training reads the first STRETCHES stretches of SAMPLE documents.
+SAMPLE, STRETCHES = 200, 20
 DECAY, ROUNDS, RATE = 0.02, 30, 0.3
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -37,23 +40,24 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: Stretches that the model looks at.
-STRETCH = re.compile(r"[^\s@]{1,64}@[^\s@]{1,255}|\+?\(?[0-9](?:[\s().-]{0,2}[0-9]){6,}|[0-9]+(?:\.[0-9]+){3}|(?<![0-9A-Za-z])[0-9a-fA-F]{24,}(?![0-9A-Za-z])")
+#: Stretches that the model looks at; those of numbers end at a line's end.
+STRETCH = re.compile(r"(?<![^\s@])[^\s@]++@[^\s@]+|\+?\(?[0-9](?:(?:[^\S\n]|[().-]){0,2}[0-9]){6,}|[0-9]+(?:\.[0-9]+){3}|(?<![0-9A-Za-z])[0-9a-fA-F]{24,}(?![0-9A-Za-z])")
 #: What a text must hold for any of the patterns to fit.
 HINT = r"[@0-9]|[a-fA-F]{24}"
 _TOKEN = re.compile(r"[^\W_]+|\S")
+_RUN, _HEX = re.compile(r"[0-9]+"), re.compile(r"[0-9a-fA-F]+")
+_DOMAIN_END = re.compile(r"@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+$")
+#: The last word before a segment, with what is between.
+_WORD_BEFORE = re.compile(r"\w+\W*$")
 
 
 def luhn(digits: str) -> bool:
-    total = 0
-    for k, d in enumerate(reversed(digits)):
-        x = int(d) * (1 + k % 2)
-        total += x - 9 * (x > 9)
-    return total % 10 == 0
+    doubled = (2 * int(d) for d in digits[-2::-2])
+    return (sum(map(int, digits[-1::-2])) + sum(x - 9 * (x > 9) for x in doubled)) % 10 == 0
 
 
 def _digits(s: str) -> str:
-    return "".join(c for c in s if "0" <= c <= "9")
+    return s if s.isascii() and s.isdigit() else "".join(_RUN.findall(s))
 
 
 def _emails(text: str):
@@ -92,34 +96,39 @@ def _bucket(n: int) -> str:
     return str(n) if n < 4 else "4-6" if n < 7 else "7-8" if n < 9 else "9-12" if n < 13 else "13-19" if n < 20 else "20+"
 
 
-def features(text: str, begin: int, end: int) -> list[str]:
+def features(text: str, begin: int, end: int) -> tuple[str, ...]:
     """What is seen of a whole segment, and of the word before it."""
     s = text[begin:end]
     digits = _digits(s)
-    runs = re.findall(r"[0-9]+", s)
-    parts = s.split(".")
-    whole = (begin == 0 or not text[begin - 1].isalnum()) and (end == len(text) or not text[end].isalnum())
-    letters = sum(c.isalpha() for c in s)
-    before = re.findall(r"\w+", text[max(0, begin - 24) : begin])
-    out = [
+    n = len(digits)
+    runs = len(_RUN.findall(s))
+    dots, at, brackets = s.count("."), s.count("@"), s.count("(")
+    before, after = text[begin - 1 : begin], text[end : end + 1]
+    whole = not before.isalnum() and not after.isalnum()
+    parts = s.split(".") if dots == 3 else ()
+    plain = s.isalnum()
+    letters = len(s) - n if plain else sum(map(str.isalpha, s))
+    spaces = 0 if plain else sum(map(str.isspace, s))
+    word = _WORD_BEFORE.search(text, max(0, begin - 24), begin)
+    cue = word[0].strip().lower() if word else ""
+    return (
         "bias",
-        f"digits={_bucket(len(digits))}",
-        f"runs={min(len(runs), 6)}",
-        f"at={s.count('@')}",
+        f"digits={_bucket(n)}",
+        f"runs={min(runs, 6)}",
+        f"at={at}",
         f"plus={s[0] == '+'}",
-        f"cut={not whole or (begin > 0 and text[begin - 1] in '+.@-_%') or (end + 1 < len(text) and text[end] in '.@-_' and text[end + 1].isalnum())}",
+        f"cut={not whole or (before != '' and before in '+.@-_%') or (after != '' and after in '.@-_' and text[end + 1 : end + 2].isalnum())}",
         f"edges={s[0].isalnum() or s[0] in '+('}{s[-1].isalnum()}",
         f"letters={_bucket(letters)}",
-        f"dots={min(s.count('.'), 4)}",
-        f"ipv4={len(parts) == 4 and all(p.isdigit() and len(p) < 4 and int(p) <= 255 for p in parts)}",
-        f"luhn={13 <= len(digits) <= 19 and luhn(digits)}",
-        f"hex={len(s) >= 24 and bool(re.fullmatch(r'[0-9a-fA-F]+', s))}",
-        f"domain={bool(re.search(r'@[A-Za-z0-9-]+([.][A-Za-z0-9-]+)+$', s))}",
-        f"spaces={_bucket(sum(c.isspace() for c in s))}",
-        f"brackets={s.count('(') == s.count(')')}{'(' in s}",
-        f"before={before[-1].lower() if before and len(before[-1]) < 9 and before[-1].lower() in _CUES else ''}",
-    ]
-    return out
+        f"dots={min(dots, 4)}",
+        f"ipv4={len(parts) == 4 and all(p.isdigit() and p.isascii() and len(p) < 4 and int(p) <= 255 for p in parts)}",
+        f"luhn={13 <= n <= 19 and luhn(digits)}",
+        f"hex={len(s) >= 24 and plain and bool(_HEX.fullmatch(s))}",
+        f"domain={at > 0 and bool(_DOMAIN_END.search(s))}",
+        f"spaces={_bucket(spaces)}",
+        f"brackets={brackets == s.count(')')}{brackets > 0}",
+        f"before={cue if cue in _CUES else ''}",
+    )
 
 
 #: Words that often stand before personal data.
@@ -155,44 +164,41 @@ EXAMPLES = [
 ]
 
 
+def _segments(text: str, tokens: list[tuple[int, int]]):
+    """(last token, first token, features) of the segments of a stretch that may be personal at all.
+
+    A segment without an @, of several tokens and more than MOST_DIGITS digits, is no candidate,
+    nor is what is longer: a list of numbers has a few candidates for each number."""
+    digits, ats = [0], [0]
+    for s, e in tokens:
+        piece = text[s:e]
+        digits.append(digits[-1] + len(_digits(piece)))
+        ats.append(ats[-1] + piece.count("@"))
+    for j, (_, stop) in enumerate(tokens):
+        if not text[stop - 1].isalnum():
+            continue
+        for i in range(j, max(-1, j - MOST_TOKENS), -1):
+            start = tokens[i][0]
+            n, at = digits[j + 1] - digits[i], ats[j + 1] > ats[i]
+            if i < j and n > MOST_DIGITS and not at and ats[j + 1] == ats[max(0, j - MOST_TOKENS + 1)]:
+                break
+            possible = at or n >= 4 and (n <= MOST_DIGITS or i == j) or stop - start >= 24 and n < 4
+            if possible and (text[start].isalnum() or text[start] in "+("):
+                yield j, i, features(text, start, stop)
+
+
 class Lattice:
     """Segments of a stretch: for each token end, (token begin, kind, features)."""
 
     def __init__(self, text: str, begin: int, end: int):
         self.tokens = tokens_of(text, begin, end)
         self.segments: list[list[tuple[int, str, tuple[str, ...]]]] = [[] for _ in self.tokens]
-        for j, (_, stop) in enumerate(self.tokens):
-            for i in range(max(0, j - MOST_TOKENS + 1), j + 1):
-                start = self.tokens[i][0]
-                piece = text[start:stop]
-                if piece[-1].isalnum() and (piece[0].isalnum() or piece[0] in "+(") and ("@" in piece or sum("0" <= c <= "9" for c in piece) >= 4 or len(piece) >= 24):
-                    seen = tuple(features(text, start, stop))
-                    self.segments[j] += [(i, kind, seen) for kind in KINDS]
+        for j, i, seen in _segments(text, self.tokens):
+            self.segments[j] += [(i, kind, seen) for kind in KINDS]
 
     def score(self, weights: dict, kind: str, seen: tuple[str, ...]) -> float:
         return sum(weights.get((kind, f), 0.0) for f in seen)
 
-    def best(self, weights: dict) -> list[tuple[str, int, int]]:
-        """The best segmentation's (kind, start, end); what is outside scores 0."""
-        top, back = [0.0], [None]
-        for j, ends in enumerate(self.segments):
-            value, choice = top[j], None
-            for i, kind, seen in ends:
-                v = top[i] + self.score(weights, kind, seen)
-                if v > value:
-                    value, choice = v, (i, kind)
-            top.append(value)
-            back.append(choice)
-        out, j = [], len(self.segments)
-        while j:
-            if back[j] is None:
-                j -= 1
-            else:
-                i, kind = back[j]
-                out.append((kind, self.tokens[i][0], self.tokens[j - 1][1]))
-                j = i
-        return out[::-1]
-
     def expected(self, weights: dict) -> list[tuple[float, str, tuple[str, ...]]]:
         """(probability, kind, features) of all segments, by forward-backward."""
         n = len(self.segments)
@@ -211,17 +217,49 @@ class Lattice:
         return [(math.exp(ahead[i] + v + total[j + 1] - ahead[n]), kind, seen) for j, ends in enumerate(scored) for i, kind, seen, v in ends]
 
 
+def best_segments(text: str, begin: int, end: int, weights: dict, seen_before: dict | None = None) -> list[tuple[str, int, int]]:
+    """The best segmentation's (kind, start, end); what is outside scores 0.
+
+    Segments are scored as they come and not kept: a token costs one entry of ``top`` and ``back``.
+    seen_before keeps the best kind of each combination of features."""
+    kinds = {} if seen_before is None else seen_before
+    tokens = tokens_of(text, begin, end)
+    top, back = [0.0], []
+    segments = _segments(text, tokens)
+    one = next(segments, None)
+    for j in range(len(tokens)):
+        value, choice = top[j], None
+        while one is not None and one[0] == j:
+            _, i, seen = one
+            if seen not in kinds:
+                scores = [sum(weights.get((kind, f), 0.0) for f in seen) for kind in KINDS]
+                most = max(range(len(KINDS)), key=lambda k: scores[k])
+                kinds[seen] = scores[most], KINDS[most]
+            score, kind = kinds[seen]
+            if top[i] + score > value:
+                value, choice = top[i] + score, (i, kind)
+            one = next(segments, None)
+        top.append(value)
+        back.append(choice)
+    out, j = [], len(tokens)
+    while j:
+        if back[j - 1] is None:
+            j -= 1
+        else:
+            i, kind = back[j - 1]
+            out.append((kind, tokens[i][0], tokens[j - 1][1]))
+            j = i
+    return out[::-1]
+
+
 def _log_sum(values: list[float]) -> float:
     top = max(values)
     return top + math.log(sum(math.exp(v - top) for v in values))
 
 
-def stretches(text: str) -> list[tuple[int, int]]:
+def stretches(text: str):
     """Parts of the text to look at; they do not overlap."""
-    out: list[tuple[int, int]] = []
-    for m in STRETCH.finditer(text):
-        out.append(m.span())
-    return out
+    return (m.span() for m in STRETCH.finditer(text))
 
 
 def fit(samples: list[str]) -> dict[tuple[str, str], float]:
@@ -263,8 +301,10 @@ def fit(samples: list[str]) -> dict[tuple[str, str], float]:
     return dict(weights)
 
 
-def find_spans(text: str, weights: dict) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """(base spans, all spans), each by kind as listed, then start."""
+def find_spans(text: str, weights: dict, seen_before: dict | None = None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
+    """(base spans, all spans), each by kind as listed, then start.
+
+    Base spans cut the stretches; the model segments what is left between them."""
     base = base_spans(text)
     taken: list[list[int]] = []  # what base spans cover, merged
     for _, s, e in sorted(base, key=lambda x: x[1]):
@@ -272,13 +312,18 @@ def find_spans(text: str, weights: dict) -> tuple[list[tuple[str, int, int]], li
             taken[-1][1] = max(taken[-1][1], e)
         else:
             taken.append([s, e])
-    starts = [s for s, _ in taken]
-    more = []
+    more, k = [], 0
     for a, b in stretches(text):
-        own = taken[max(0, bisect.bisect_right(starts, a) - 1) : bisect.bisect_left(starts, b)]
-        left = [p for p in range(a, b) if text[p].isalnum() and not any(s <= p < e for s, e in own)] if own else [a]
-        if left:  # else base spans hold all of it
-            more += [(k, s, e) for k, s, e in Lattice(text, a, b).best(weights) if not any(x < e and y > s for x, y in own)]
+        while k < len(taken) and taken[k][1] <= a:
+            k += 1
+        at, own = a, k
+        while at < b:
+            inside = own < len(taken) and taken[own][0] < b
+            stop = max(at, taken[own][0]) if inside else b
+            if at < stop and any(map(str.isalnum, text[at:stop])):
+                more += best_segments(text, at, stop, weights, seen_before)
+            at = taken[own][1] if inside else b
+            own += 1
     return base, sorted(base + more, key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
 
 
@@ -286,19 +331,19 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> dict[tuple[str, str], float]:
+def train(docs: DataFrame, sample: int = SAMPLE, most_stretches: int = STRETCHES) -> dict[tuple[str, str], float]:
     """Fits on the documents with a hint of personal data that come first by hashed id."""
 
     def cut(batches):  # only the stretches of a text, with what stands around them
         for batch in batches:
             out = []
             for text in batch.column("text").to_pylist():
-                found = stretches(text)[:20]
+                found = itertools.islice(stretches(text), most_stretches)
                 out.append("\n".join(text[max(0, a - 24) : b + 8] for a, b in found))
             yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(out, pa.string())], names=["h", "text"])
 
     hinted = docs.where(F.rlike("text", F.lit(HINT))).select(F.xxhash64("doc_id", "text").alias("h"), "text").mapInArrow(cut, "h long, text string").where("length(text) > 0")
-    # at most ``sample`` rows of at most 20 stretches reach the driver
+    # at most ``sample`` rows of at most ``most_stretches`` stretches reach the driver
     return fit([r.text for r in hinted.orderBy("h", "text").limit(sample).collect()])
 
 
@@ -308,13 +353,14 @@ def find_personal_data(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     empty = hashlib.sha256(b"").hexdigest()
 
     def find(batches):
+        known: dict = {}
         for batch in batches:
             out = []
             for text in batch.column("text").to_pylist():
                 if text is None:
                     out.append((0, 0, 0, 0, empty, ""))
                     continue
-                base, spans = find_spans(text, weights.value)
+                base, spans = find_spans(text, weights.value, known)
                 out.append((*(sum(k == kind for k, _, _ in base) for kind in BASE_KINDS), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans)))
             columns = zip(zip(*out, strict=True), (*[pa.int64()] * 4, pa.string(), pa.string()), strict=True) if out else ()
             if out:
@@ -339,10 +385,10 @@ def redact(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     weights = docs.sparkSession.sparkContext.broadcast(train(docs, sample))
 
     def hide(batches):
-        hint = re.compile(HINT)
+        hint, known = re.compile(HINT), {}
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            texts = [t if t is None or not hint.search(t) else replace_spans(t, find_spans(t, weights.value)[1]) for t in batch.column(at).to_pylist()]
+            texts = [t if t is None or not hint.search(t) else replace_spans(t, find_spans(t, weights.value, known)[1]) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
     out = docs.mapInArrow(hide, docs.schema)
