@@ -15,6 +15,11 @@ anchor, the first and the last start, and a hash of the bytes that its windows s
    themselves: first by the bytes that 32 neighbouring strings have in common, then by string.
    These are the leaves of the same tree; counting them combines on the map side.
 
+Several sizes are looked for in one run: a site carries its size, and k-gram hashes of one size
+never equal those of another, so texts are shuffled once for all. A shorter size than SIZE finds
+passages: PASSAGE bytes are what some 40 words take, and a run of such strings that holds more than
+PASSAGE_WORDS words is counted as a passage.
+
 Defined cases: null text is empty; texts shorter than ``size`` keep all bytes; repeated rows are
 copies of each other, so all their strings repeat; repeated doc_ids are told apart by their text;
 overlapping occurrences in one text count; further columns are left alone.
@@ -35,13 +40,14 @@ from leafmill.llm import bytewords
 from leafmill.tables import materialize
 
 SIZE = 400
+PASSAGE, PASSAGE_WORDS = 240, 50
 GRAM = 48
 #: Different sites of one k-gram that are compared in one task; k-grams with more are split.
 MOST_SITES = 256
 #: Neighbouring window starts that are split off together.
 STRIDE = 32
 SLICE = 1 << 19
-SITE = "doc_id long, twin long, gram long, bytes_hash long, site long"
+SITE = "doc_id long, twin long, size int, gram long, bytes_hash long, site long"
 
 _values = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _factors = [np.uint64(x | 1) for x in np.random.default_rng(6).integers(1, 1 << 63, 8, dtype=np.uint64).tolist()]
@@ -105,19 +111,21 @@ def _pack(start, more, anchor):
     return (start << 20) | (more << 10) | anchor
 
 
-def sites(docs: DataFrame, size: int) -> DataFrame:
+def sites(docs: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
     """SITE rows of documents (doc_id, twin, text)."""
 
     def rows(batches):
         for batch in batches:
             data, offsets = bytewords.column_bytes(batch.column("text"))
             view = memoryview(data)
-            for owner, first, final, anchor, gram in _sites(data, offsets, size):
-                spans = zip(first.tolist(), (final + size).tolist(), strict=True)
-                hashes = np.array([xxhash.xxh3_64_intdigest(view[a:b]) for a, b in spans], np.uint64)
-                at = pa.array(owner)
-                packed = _pack(first - offsets[owner], final - first, anchor - first)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("twin").take(at), pa.array(gram.view(np.int64)), pa.array(hashes.view(np.int64)), pa.array(packed)], names=["doc_id", "twin", "gram", "bytes_hash", "site"])
+            for size in sizes:
+                for owner, first, final, anchor, gram in _sites(data, offsets, size):
+                    spans = zip(first.tolist(), (final + size).tolist(), strict=True)
+                    hashes = np.array([xxhash.xxh3_64_intdigest(view[a:b]) for a, b in spans], np.uint64)
+                    at = pa.array(owner)
+                    packed = _pack(first - offsets[owner], final - first, anchor - first)
+                    own = bytewords.mix(gram + np.uint64(size))
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("twin").take(at), pa.array(np.full(len(own), size, np.int32)), pa.array(own.view(np.int64)), pa.array(hashes.view(np.int64)), pa.array(packed)], names=["doc_id", "twin", "size", "gram", "bytes_hash", "site"])
 
     return docs.mapInArrow(rows, SITE)
 
@@ -178,35 +186,36 @@ def _diverse(rights, lefts, height: int, first: int, last: int, children: list[t
             stack.append((depth, begin))
 
 
-def _scan(batches, size: int):
-    """Rows sorted by gram and suffix -> (doc_id, twin, span) of sites that are alone in their bytes."""
+def _scan(batches):
+    """Rows sorted by gram and suffix -> (doc_id, twin, size, span) of sites that are alone in their bytes."""
 
     def result(out):
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["doc_id", "twin", "span"])
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["doc_id", "twin", "size", "span"])
 
     def group(rows):
         if len(rows) < 2:
             return
+        size = rows[0][6]
         reach: dict[int, list[int]] = {}
         for left, right, members in maximal_repeats([r[3] for r in rows], [r[4] for r in rows], size):
             for m in members:
                 most = reach.setdefault(m, [0, 0])
                 most[0], most[1] = max(most[0], left), max(most[1], right)
         for m, (left, right) in reach.items():
-            doc_id, twin, site, _, _, n = rows[m]
+            doc_id, twin, site, _, _, n, _ = rows[m]
             if n == 1:
                 anchor = (site >> 20) + (site & 1023)
-                yield doc_id, twin, ((anchor - left) << 11) | (left + right)
+                yield doc_id, twin, size, ((anchor - left) << 11) | (left + right)
 
     gram, rows, out = None, [], []
     for batch in batches:
         grams = batch.column("gram").to_pylist()
-        columns = [batch.column(c).to_pylist() for c in ("doc_id", "twin", "site", "suffix", "prefix", "n")]
-        for g, doc_id, twin, site, suffix, prefix, n in zip(grams, *columns, strict=True):
+        columns = [batch.column(c).to_pylist() for c in ("doc_id", "twin", "site", "suffix", "prefix", "n", "size")]
+        for g, doc_id, twin, site, suffix, prefix, n, size in zip(grams, *columns, strict=True):
             if g != gram:
                 out += group(rows)
                 gram, rows = g, []
-            rows.append((doc_id, twin, site, suffix, prefix[::-1], n))
+            rows.append((doc_id, twin, site, suffix, prefix[::-1], n, size))
         if out:
             yield result(out)
             out = []
@@ -215,8 +224,8 @@ def _scan(batches, size: int):
         yield result(out)
 
 
-def _leaves(contexts: DataFrame, size: int) -> DataFrame:
-    """(core, window, n, doc_id, twin, start): every string of the contexts, as a leaf.
+def _leaves(contexts: DataFrame) -> DataFrame:
+    """(core, window, n, doc_id, twin, size, start): every string of the contexts, as a leaf.
 
     Neighbouring strings travel in one row until the bytes that they share are known to occur
     in another context as well."""
@@ -224,7 +233,7 @@ def _leaves(contexts: DataFrame, size: int) -> DataFrame:
     def rows(batches):
         for batch in batches:
             out = []
-            for doc_id, twin, site, text, n in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "twin", "site", "bytes", "n")), strict=True):
+            for doc_id, twin, site, text, n, size in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "twin", "site", "bytes", "n", "size")), strict=True):
                 start, starts = site >> 20, len(text) - size + 1
                 # strides are counted from the anchor, so that they agree in all sites of the gram
                 anchor = site & 1023
@@ -233,80 +242,94 @@ def _leaves(contexts: DataFrame, size: int) -> DataFrame:
                     if a < b:
                         core = text[anchor - k * STRIDE : anchor - (k + 1) * STRIDE + 1 + size]
                         windows = [xxhash.xxh3_64_intdigest(text[p : p + size]) for p in range(a, b)]
-                        out.append((doc_id, twin, start + a, n, k, core, windows))
+                        out.append((doc_id, twin, start + a, n, size, k, core, windows))
             if out:
-                core = [xxhash.xxh3_64_intdigest(c, seed=k & 0xFFFF) for *_, k, c, _ in out]
+                core = [xxhash.xxh3_64_intdigest(c, seed=(size << 16) | (k & 0xFFFF)) for *_, size, k, c, _ in out]
                 lists = pa.array([np.array(w, np.uint64).view(np.int64) for *_, w in out], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in out], pa.int64()) for i in range(4)), pa.array(np.array(core, np.uint64).view(np.int64)), lists], names=["doc_id", "twin", "start", "n", "core", "windows"])
+                yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in out], pa.int64()) for i in range(5)), pa.array(np.array(core, np.uint64).view(np.int64)), lists], names=["doc_id", "twin", "start", "n", "size", "core", "windows"])
 
-    strides = contexts.select("doc_id", "twin", "site", "bytes", "n").mapInArrow(rows, "doc_id long, twin long, start long, n long, core long, windows array<long>")
+    strides = contexts.select("doc_id", "twin", "size", "site", "bytes", "n").mapInArrow(rows, "doc_id long, twin long, start long, n long, size long, core long, windows array<long>")
     strides = materialize(strides, "strides")
     again = strides.groupBy("core").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("core")
     shared = strides.join(again, "core", "left_semi")
-    return shared.select("core", "n", "doc_id", "twin", "start", F.posexplode("windows").alias("k", "window")).select("core", "window", "n", "doc_id", "twin", (F.col("start") + F.col("k")).alias("start"))
+    each = shared.select("core", "n", "doc_id", "twin", "size", "start", F.posexplode("windows").alias("k", "window"))
+    return each.select("core", "window", "n", "doc_id", "twin", "size", (F.col("start") + F.col("k")).alias("start"))
 
 
-def repeated_spans(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """(doc_id, twin, span): bytes that strings of size bytes cover which start elsewhere, too.
+def repeated_spans(docs: DataFrame, sizes: tuple[int, ...] = (SIZE,)) -> DataFrame:
+    """(doc_id, twin, size, span): bytes that strings of size bytes cover which start elsewhere, too.
 
     docs: doc_id, twin, text; span is the first byte * 2048 + the number of bytes. Spans overlap."""
-    found = materialize(sites(docs, size), "sites")
-    same = found.groupBy("gram", "bytes_hash").agg(F.count(F.lit(1)).alias("n"), F.first("doc_id").alias("doc_id"), F.first("twin").alias("twin"), F.first("site").alias("site"))
+    found = materialize(sites(docs, sizes), "sites")
+    same = found.groupBy("gram", "bytes_hash").agg(F.count(F.lit(1)).alias("n"), F.first("doc_id").alias("doc_id"), F.first("twin").alias("twin"), F.first("site").alias("site"), F.first("size").alias("size"))
     same = materialize(same, "same")
     start, more = F.expr("shiftright(site, 20)"), F.expr("shiftright(site, 10) & 1023")
-    span = (F.shiftleft(start, 11) + more + size).alias("span")
-    copies = found.join(same.where("n > 1").select("gram", "bytes_hash"), ["gram", "bytes_hash"], "left_semi").select("doc_id", "twin", span)
+    span = (F.shiftleft(start, 11) + more + F.col("size")).alias("span")
+    copies = found.join(same.where("n > 1").select("gram", "bytes_hash"), ["gram", "bytes_hash"], "left_semi").select("doc_id", "twin", F.col("size").cast("long").alias("size"), span)
 
     mixed = same.groupBy("gram").agg(F.count(F.lit(1)).alias("sites")).where("sites > 1")
     needed = same.join(mixed, "gram")
     needed = materialize(needed, "needed")
-    cut = F.substring(F.col("text").cast("binary"), start.cast("int") + 1, (more + size).cast("int"))
-    contexts = needed.join(docs, (needed.doc_id.eqNullSafe(docs.doc_id)) & (needed.twin == docs.twin)).select(needed.doc_id, needed.twin, "gram", "site", "n", "sites", cut.alias("bytes"))
+    cut = F.substring(F.col("text").cast("binary"), start.cast("int") + 1, (more + F.col("size")).cast("int"))
+    contexts = needed.join(docs, (needed.doc_id.eqNullSafe(docs.doc_id)) & (needed.twin == docs.twin)).select(needed.doc_id, needed.twin, "size", "gram", "site", "n", "sites", cut.alias("bytes"))
     contexts = materialize(contexts, "contexts")
 
-    few = contexts.where(f"sites <= {MOST_SITES}").select("gram", "doc_id", "twin", "site", "n", F.expr("substring(bytes, int(site & 1023) + 1)").alias("suffix"), F.expr("substring(bytes, 1, int(site & 1023))").alias("prefix"))
-    spans = copies.unionByName(few.repartition("gram").sortWithinPartitions("gram", "suffix").mapInArrow(lambda it: _scan(it, size), "doc_id long, twin long, span long"))
+    few = contexts.where(f"sites <= {MOST_SITES}").select("gram", "doc_id", "twin", "size", "site", "n", F.expr("substring(bytes, int(site & 1023) + 1)").alias("suffix"), F.expr("substring(bytes, 1, int(site & 1023))").alias("prefix"))
+    spans = copies.unionByName(few.repartition("gram").sortWithinPartitions("gram", "suffix").mapInArrow(_scan, "doc_id long, twin long, size long, span long"))
 
     many = contexts.where(f"sites > {MOST_SITES}")
     if not many.isEmpty():
-        leaves = _leaves(many, size)
+        leaves = _leaves(many)
         counts = leaves.groupBy("core", "window").agg(F.sum("n").alias("times")).where("times > 1")
         alone = leaves.where("n = 1").join(counts, ["core", "window"], "left_semi")
-        spans = spans.unionByName(alone.select("doc_id", "twin", (F.shiftleft("start", 11) + size).alias("span")))
+        spans = spans.unionByName(alone.select("doc_id", "twin", "size", (F.shiftleft("start", 11) + F.col("size")).alias("span")))
     return spans
 
 
-def remove_repeats(docs: DataFrame, size: int = SIZE, with_text: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes left)."""
+def _merged(spans) -> list[tuple[int, int]]:
+    """Maximal runs (begin, end) of what the spans cover."""
+    out: list[list[int]] = []
+    for s in sorted(spans or ()):
+        a, b = s >> 11, (s >> 11) + (s & 2047)
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [(a, b) for a, b in out]
+
+
+def remove_repeats(docs: DataFrame, size: int = SIZE, with_text: bool = False, passage: int = PASSAGE, passage_words: int = PASSAGE_WORDS) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages (runs of
+    repeated strings of ``passage`` bytes with more than ``passage_words`` words; they are counted,
+    not removed), and, with_text, kept (the bytes left)."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.withColumn("twin", F.xxhash64("text"))
-    spans = repeated_spans(texts, size).groupBy("doc_id", "twin").agg(F.collect_set("span").alias("spans"))
-    spans = spans.select(F.col("doc_id").alias("d"), F.col("twin").alias("t"), "spans")
+    found = repeated_spans(texts, tuple(sorted({size, passage})))
+    own = lambda n: F.collect_set(F.when(F.col("size") == n, F.col("span")))
+    spans = found.groupBy("doc_id", "twin").agg(own(size).alias("spans"), own(passage).alias("passages"))
+    spans = spans.select(F.col("doc_id").alias("d"), F.col("twin").alias("t"), "spans", "passages")
 
     def cut(batches):
         for batch in batches:
             data, offsets = bytewords.column_bytes(batch.column("text"))
             view, out, texts_left = memoryview(data), [], []
-            for k, spans in enumerate(batch.column("spans").to_pylist()):
-                begin, end = int(offsets[k]), int(offsets[k + 1])
-                digest, at, n_spans, kept, left = hashlib.sha256(), begin, 0, 0, []
-                last = -1
-                for s in sorted(spans or ()):
-                    a, b = begin + (s >> 11), begin + (s >> 11) + (s & 2047)
-                    if a > last:
-                        n_spans += 1
-                        digest.update(view[at:a])
-                        left.append(view[at:a])
-                        kept += a - at
-                    last = at = max(last, b)
-                digest.update(view[at:end])
-                left.append(view[at:end])
-                kept += end - at
-                out.append((end - begin, end - begin - kept, n_spans, digest.hexdigest()))
+            for k, (own, longer) in enumerate(zip(batch.column("spans").to_pylist(), batch.column("passages").to_pylist(), strict=True)):
+                text = view[int(offsets[k]) : int(offsets[k + 1])]
+                runs, left, at = _merged(own), [], 0
+                for a, b in runs:
+                    left.append(text[at:a])
+                    at = b
+                left.append(text[at:])
+                digest, kept = hashlib.sha256(), sum(map(len, left))
+                for piece in left:
+                    digest.update(piece)
+                many = sum(len(bytes(text[a:b]).split()) > passage_words for a, b in _merged(longer))
+                out.append((len(text), len(text) - kept, len(runs), digest.hexdigest(), many))
                 texts_left.append(b"".join(left) if with_text else b"")
             if out:
-                columns = [pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, *[pa.array(texts_left, pa.binary())] * with_text], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
+                columns = [pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, *[pa.array(texts_left, pa.binary())] * with_text], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", *["kept"] * with_text])
 
     joined = texts.join(spans, texts.doc_id.eqNullSafe(F.col("d")) & (texts.twin == F.col("t")), "left")
-    return joined.select("doc_id", "text", "spans").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+    return joined.select("doc_id", "text", "spans", "passages").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long" + ", kept binary" * with_text)

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -7,18 +8,26 @@ import pytest
 from leafmill.llm import suffix_repeats
 
 
-def brute(rows, size):
-    texts = [(i, (t or "").encode()) for i, t in rows]
+def repeated(texts, size):
+    """For each text, a byte for each of its bytes: whether a repeated string covers it."""
     times = Counter(t[p : p + size] for _, t in texts for p in range(len(t) - size + 1))
-    out = []
-    for i, t in texts:
+    for _, t in texts:
         gone = bytearray(len(t))
         for p in range(len(t) - size + 1):
             if times[t[p : p + size]] > 1:
                 gone[p : p + size] = b"\1" * size
+        yield gone
+
+
+def brute(rows, size, passage=240, words=50):
+    texts = [(i, (t or "").encode()) for i, t in rows]
+    out = []
+    for (i, t), gone, shared in zip(texts, repeated(texts, size), repeated(texts, passage), strict=True):
+        cuts = [m.span() for m in re.finditer(b"\1+", bytes(shared))]
+        passages = sum(len(t[a:b].split()) > words for a, b in cuts)
         kept = bytes(b for b, g in zip(t, gone, strict=True) if not g)
         spans = sum(1 for k in range(len(t)) if gone[k] and (k == 0 or not gone[k - 1]))
-        out.append((i, len(t), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+        out.append((i, len(t), sum(gone), spans, hashlib.sha256(kept).hexdigest(), passages))
     return sorted(out, key=str)
 
 
@@ -71,3 +80,15 @@ def test_maximal_repeats_lists_all_occurrences():
     found = list(suffix_repeats.maximal_repeats([t for t, _ in texts], [p[::-1] for _, p in texts], 6))
     assert (0, 7, [0, 1]) in [(left, right, sorted(m)) for left, right, m in found]
     assert (0, 6, [0, 1, 2]) in [(left, right, sorted(m)) for left, right, m in found]
+
+
+def test_passages_shorter_than_the_removed_strings(spark):
+    r = random.Random(3)
+    prose = lambda n: " ".join("".join(r.choice("abcde") for _ in range(5)) for _ in range(n))
+    passage, shorter = prose(56), prose(45)  # 335 and 269 bytes
+    rows = [(k, prose(80)) for k in range(20)]
+    rows += [(100 + k, " ".join([prose(30), passage, prose(30)])) for k in range(3)]
+    rows += [(200 + k, " ".join([prose(30), shorter, prose(30)])) for k in range(3)]
+    got = {x[0]: x for x in run(spark, rows)}
+    assert {i for i, x in got.items() if x[5]} == {100, 101, 102}
+    assert not any(x[2] for x in got.values())
