@@ -1,8 +1,9 @@
 """Benchmark decontamination by Wu-Manber search over words.
 
 A pattern is a window of 10 consecutive item words (an item of fewer words is one window).
-Symbols are words, blocks are two words. A shift table says how far the search may jump; a block
-that ends a pattern selects a bucket by its hash; the window is then compared word by word.
+Symbols are words, blocks are two words. A shift table says how far the search may jump; where it
+says 0, the hash of the window's last block (and, as in the method's prefix table, of its first)
+selects a bucket of patterns, with which the window is compared word by word.
 
 Defined cases: null or empty texts have no words and no hits; an item without words has no
 window; equal items keep all their ids; a null item_id is ignored; repeated rows give repeated
@@ -12,13 +13,13 @@ results; other columns of the documents are left alone.
 from __future__ import annotations
 
 import hashlib
-import pickle
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast, cloudpickle
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,90 +27,147 @@ from leafmill.llm import bytewords
 from leafmill.tables import materialize
 
 WINDOW = 10
-#: A pattern set is broadcast only up to this many bytes of benchmark text; larger ones are
-#: searched for in several passes of at most this size.
-PASS_BYTES = 8 << 20
+#: Search tables are made and broadcast for this many bytes of benchmark text at most; a larger
+#: benchmark is searched for in several passes. A word has two bytes or more with its separator, and
+#: takes 8 bytes as a word and 36 at most as a pattern, so tables take 22 * PASS_BYTES at most, and
+#: 2^MOST_BITS more for each length of patterns.
+PASS_BYTES = 4 << 20
+MOST_BITS = 24
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
 class Machine:
-    """Search tables for the patterns of one length."""
-
-    def __init__(self, length: int, patterns: dict[tuple[int, ...], list[str]]):
-        self.length, self.block = length, min(2, length)
-        self.buckets: dict[int, list[tuple[tuple[int, ...], list[str]]]] = defaultdict(list)
-        words = np.array(list(patterns), np.uint64).reshape(len(patterns), length)
-        blocks = self.blocks(words.ravel()).reshape(-1) if self.block == 1 else None
+    """Search tables for the patterns of one length, all of them flat arrays.
+
+    words: the words of all items, one after the other; a pattern is the ``length`` words from its
+    start. keys: the sorted hashes of (last block, first block), which is what selects a bucket;
+    starts: the patterns' starts, in the order of keys; pattern k belongs to
+    owners[cuts[k] : cuts[k + 1]], numbers of items."""
+
+    def __init__(self, length: int, words: np.ndarray, starts: np.ndarray, owners: np.ndarray):
+        """words; the start in words, and the item, of each pattern; equal patterns are merged."""
+        self.length, self.block, self.words = length, min(2, length), words
+        every = bytewords.chain(*(words[starts + k] for k in range(length)))
+        keys = self._keys(words, starts)
+        order = np.lexsort((owners, every, keys))
+        keys, every, starts, owners = keys[order], every[order], starts[order], owners[order]
+        new = np.append(True, (keys[1:] != keys[:-1]) | (every[1:] != every[:-1]))
+        more = np.append(True, owners[1:] != owners[:-1]) | new
+        self.keys, self.starts = keys[new], starts[new]
+        self.owners = owners[more]
+        self.cuts = np.append(np.flatnonzero(new[more]), len(self.owners))
         per = length - self.block + 1
-        if blocks is None:
-            blocks = bytewords.chain(words[:, :-1], words[:, 1:]).ravel()
-        bits = max(12, min(26, int(blocks.size * 16).bit_length()))
+        bits = max(12, min(MOST_BITS, int(len(self.starts) * per * 16).bit_length()))
         self.drop = np.uint64(64 - bits)
         self.shift = np.full(1 << bits, per, np.uint8 if per < 256 else np.uint16)
-        to_end = np.tile(np.arange(per - 1, -1, -1), len(patterns)).astype(self.shift.dtype)
-        np.minimum.at(self.shift, (blocks >> self.drop).astype(np.int64), to_end)
-        for row, (pattern, items) in zip(blocks.reshape(-1, per)[:, -1].tolist(), patterns.items(), strict=True):
-            self.buckets[row].append((pattern, items))
+        for k in range(per):
+            slots = self._slots(self.blocks(words, self.starts + k))
+            self.shift[slots] = np.minimum(self.shift[slots], per - 1 - k)
+
+    def _slots(self, blocks: np.ndarray) -> np.ndarray:
+        return (blocks >> self.drop).astype(np.int64)
+
+    def blocks(self, words: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The blocks that start at the given words."""
+        return words[at] if self.block == 1 else bytewords.chain(words[at], words[at + 1])
+
+    def _keys(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        return bytewords.chain(self.blocks(words, starts + self.length - self.block), self.blocks(words, starts))
 
-    def blocks(self, words: np.ndarray) -> np.ndarray:
-        """The block that ends at word i + block - 1, for each i."""
-        return words if self.block == 1 else bytewords.chain(words[:-1], words[1:])
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.keys, self.starts, self.owners, self.cuts, self.shift))
 
-    def search(self, words: np.ndarray, first_word: np.ndarray) -> Iterator[tuple[int, list[str]]]:
-        """(first word, items) of each occurrence inside one document.
+    def search(self, words: np.ndarray, first_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, pattern) of each occurrence inside one document, in order.
 
         first_word: for each word, the first word of its document."""
-        if len(words) < self.length:
-            return
-        blocks = self.blocks(words)
-        shifts = self.shift[(blocks >> self.drop).astype(np.int64)].tolist()
-        at, n, back = self.length - self.block, len(shifts), self.length - self.block
+        none = np.zeros(0, np.int64)
+        if len(words) < self.length or not len(self.keys):
+            return none, none
+        blocks = self.blocks(words, np.arange(len(words) - self.block + 1))
+        shifts = self.shift[self._slots(blocks)].tolist()
+        at, n, back, found = self.length - self.block, len(shifts), self.length - self.block, []
         while at < n:
             jump = shifts[at]
             if jump:
                 at += jump
-                continue
-            begin = at - back
-            if (found := self.buckets.get(int(blocks[at]))) and first_word[begin + self.length - 1] <= begin:
-                window = tuple(words[begin : begin + self.length].tolist())
-                for pattern, items in found:
-                    if pattern == window:
-                        yield begin, items
-            at += 1
-
-
-def compile_patterns(items: list[tuple[int, str | None]], window: int = WINDOW) -> list[Machine]:
-    """One machine for each pattern length that occurs."""
-    items = [(i, t) for i, t in items if i is not None]
-    words = bytewords.split_words(pa.array([t for _, t in items], pa.string()), bytewords.NON_ALNUM)
-    by_length: dict[int, dict[tuple[int, ...], list[str]]] = defaultdict(lambda: defaultdict(list))
-    for k, (item, _) in enumerate(items):
-        own = words.hashes[words.offsets[k] : words.offsets[k + 1]].tolist()
-        size = min(window, len(own))
-        for i in range(len(own) - size + 1) if own else ():
-            ids = by_length[size][tuple(own[i : i + size])]
-            if str(item) not in ids:
-                ids.append(str(item))
-    return [Machine(k, dict(v)) for k, v in sorted(by_length.items())]
+            else:
+                found.append(at - back)
+                at += 1
+        begins = np.array(found, np.int64)
+        begins = begins[first_word[begins + self.length - 1] <= begins]
+        keys = self._keys(words, begins)
+        low, high = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
+        hits = [(none, none)]
+        while len(begins):  # as often as patterns share a bucket
+            left = low < high
+            begins, low, high = begins[left], low[left], high[left]
+            equal = np.ones(len(begins), bool)
+            for k in range(self.length):
+                equal &= self.words[self.starts[low] + k] == words[begins + k]
+            hits.append((begins[equal], low[equal]))
+            low = low + 1
+        begins, patterns = (np.concatenate(x) for x in zip(*hits, strict=True))
+        order = np.lexsort((patterns, begins))
+        return begins[order], patterns[order]
+
+
+class Tables:
+    """The machines of a slice of the benchmark, one for each pattern length, and its item ids."""
+
+    def __init__(self, items: list[tuple[int, str | None]], window: int = WINDOW):
+        items = [(i, t) for i, t in items if i is not None]
+        split = bytewords.split_words(pa.array([t for _, t in items], pa.string()), bytewords.NON_ALNUM)
+        self.ids = sorted({str(i) for i, _ in items})
+        number = {x: k for k, x in enumerate(self.ids)}
+        item = np.array([number[str(i)] for i, _ in items], np.int32)
+        counts = split.counts
+        self.machines = []
+        for length in sorted({min(window, n) for n in counts.tolist() if n}):
+            rows = np.flatnonzero(counts >= window if length == window else counts == length)
+            each = counts[rows] - length + 1
+            ahead = np.cumsum(each) - each
+            starts = np.repeat(split.offsets[rows] - ahead, each) + np.arange(each.sum())
+            self.machines.append(Machine(length, split.hashes, starts, np.repeat(item[rows], each)))
+
+    @property
+    def nbytes(self) -> int:
+        return sum(m.nbytes for m in self.machines) + max((m.words.nbytes for m in self.machines), default=0)
+
+    def parts(self) -> tuple:
+        """Plain arrays, which a process unpacks once and keeps."""
+        return self.ids, [vars(m) for m in self.machines]
+
+    @classmethod
+    def of(cls, parts: tuple) -> Tables:
+        out = cls.__new__(cls)
+        out.ids, out.machines = parts[0], []
+        for own in parts[1]:
+            machine = Machine.__new__(Machine)
+            vars(machine).update(own)
+            out.machines.append(machine)
+        return out
 
 
 def _broadcast(items: DataFrame, window: int) -> Broadcast:
-    """The search tables of a slice of the benchmark, with their code."""
-    machines = compile_patterns([tuple(r) for r in items.collect()], window)
-    return items.sparkSession.sparkContext.broadcast(cloudpickle.dumps(machines))
+    """The search tables of a slice of the benchmark (PASS_BYTES of text at most)."""
+    tables = Tables([tuple(r) for r in items.select("item_id", "text").collect()], window)
+    return items.sparkSession.sparkContext.broadcast(tables.parts())
 
 
-def _scan(machines: list[Machine], batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[tuple[int, int]], set[str]]]:
-    """For each row of a batch: its number of words, first word, hit intervals and items."""
+def _scan(tables: Tables, batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[tuple[int, int]], set[str]]]:
+    """For each row of a batch: its number, its words, hit intervals and items."""
     words = bytewords.split_words(batch.column("text"), bytewords.NON_ALNUM)
     first = np.repeat(words.offsets[:-1], words.counts)
     hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
     items: dict[int, set[str]] = defaultdict(set)
-    for machine in machines:
-        for begin, ids in machine.search(words.hashes, first):
-            row = int(np.searchsorted(words.offsets, begin, "right")) - 1
-            hits[row].append((begin - int(words.offsets[row]), machine.length))
-            items[row].update(ids)
+    for machine in tables.machines:
+        begins, patterns = machine.search(words.hashes, first)
+        rows = np.searchsorted(words.offsets, begins, "right") - 1
+        for row, begin, k in zip(rows.tolist(), (begins - words.offsets[rows]).tolist(), patterns.tolist(), strict=True):
+            hits[row].append((begin, machine.length))
+            items[row].update(tables.ids[i] for i in machine.owners[machine.cuts[k] : machine.cuts[k + 1]])
     for row, n in enumerate(words.counts.tolist()):
         yield row, n, hits.get(row, []), items.get(row, set())
 
@@ -126,11 +184,45 @@ def _items_digest(ids: set[str]) -> str:
     return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
 
 
-def _passes(benchmark: DataFrame, pass_bytes: int) -> list[DataFrame]:
-    """Slices of the benchmark of about pass_bytes or less each (one item at least)."""
-    size = benchmark.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    n = -(-size // (pass_bytes // 2)) if size > pass_bytes else 1
-    return [benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) for k in range(n)]
+def _pieces(benchmark: DataFrame, window: int, most_bytes: int) -> DataFrame:
+    """(item_id, text) with items of more than most_bytes cut into pieces, which overlap by
+    window - 1 words, so that they hold the item's windows."""
+    word = re.compile("[0-9A-Za-z\u0080-\U0010ffff]+")
+
+    def cut(batches):
+        for batch in batches:
+            out = []
+            for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                spans = [m.span() for m in word.finditer(text)]
+                begin = 0
+                while begin + window <= len(spans) or not begin:
+                    end = min(len(spans), begin + window)
+                    while end < len(spans) and 4 * (spans[end][1] - spans[begin][0]) <= most_bytes:
+                        end += 1
+                    out.append((item, text[spans[begin][0] : spans[end - 1][1]] if spans else ""))
+                    begin = end - window + 1 if end < len(spans) else len(spans) + 1
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], batch.schema.field("item_id").type), pa.array([t for _, t in out], pa.string())], names=["item_id", "text"])
+
+    benchmark = benchmark.select("item_id", "text")
+    long = F.coalesce(F.octet_length("text") > most_bytes, F.lit(False))
+    return benchmark.where(~long).unionByName(benchmark.where(long).mapInArrow(cut, benchmark.schema))
+
+
+def _passes(benchmark: DataFrame, window: int, pass_bytes: int) -> list[DataFrame]:
+    """Slices of the benchmark of pass_bytes at most. (One window that is longer is a slice.)"""
+    total, longest = benchmark.agg(F.sum(F.octet_length("text")), F.max(F.octet_length("text"))).first()
+    if (total or 0) <= pass_bytes:
+        return [benchmark]
+    pieces = materialize(_pieces(benchmark, window, pass_bytes // 4), "benchmark")
+    n = -(-2 * total // pass_bytes)
+    for _ in range(20):
+        slice_of = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+        size = F.sum(F.octet_length("text"))
+        largest, pieces_in = pieces.groupBy(slice_of.alias("k")).agg(size.alias("n"), F.countDistinct("text").alias("pieces")).agg(F.max(F.struct("n", "pieces"))).first()[0]
+        if largest <= pass_bytes or pieces_in == 1:
+            break
+        n *= 2
+    return [pieces.where(slice_of == k) for k in range(n)]
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pass_bytes: int = PASS_BYTES) -> DataFrame:
@@ -139,13 +231,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     The search reads each document once and shuffles nothing. A benchmark of more than
     pass_bytes is searched for slice by slice and the hits of the slices are put together.
     """
-    slices = _passes(benchmark.select("item_id", "text"), pass_bytes)
+    slices = _passes(benchmark.select("item_id", "text"), window, pass_bytes)
     texts = docs.select("doc_id", "text")
     if len(slices) == 1:
         machines = _broadcast(slices[0], window)
 
         def search(batches):
-            tables = pickle.loads(machines.value)
+            tables = Tables.of(machines.value)
             for whole in batches:
                 for batch in bytewords.rows_of(whole):
                     rows = [(n, _covered(hits), len(ids), _items_digest(ids), bool(hits)) for _, n, hits, ids in _scan(tables, batch)]
@@ -173,7 +265,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
 def _hits_with(machines):
     def search(batches):
-        tables = pickle.loads(machines.value)
+        tables = Tables.of(machines.value)
         for whole in batches:
             for batch in bytewords.rows_of(whole):
                 rows = [(n, [{"begin": b, "length": k} for b, k in hits], sorted(ids)) for _, n, hits, ids in _scan(tables, batch)]
@@ -184,12 +276,12 @@ def _hits_with(machines):
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """The documents, with all their columns, in which no window of the benchmark occurs."""
-    slices = _passes(benchmark.select("item_id", "text"), pass_bytes)
+    slices = _passes(benchmark.select("item_id", "text"), window, pass_bytes)
     for part in slices:
         machines = _broadcast(part, window)
 
         def keep(batches, machines=machines):
-            tables = pickle.loads(machines.value)
+            tables = Tables.of(machines.value)
             for whole in batches:
                 for batch in bytewords.rows_of(whole):
                     yield batch.filter(pa.array([not hits for _, _, hits, _ in _scan(tables, batch)], pa.bool_()))

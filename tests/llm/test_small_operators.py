@@ -61,6 +61,30 @@ def test_contamination_equals_brute_force(spark, pass_bytes):
     assert kept.columns == docs(spark, rows).columns
 
 
+def test_tables_are_flat_and_bounded():
+    r = random.Random(2)
+    text = " ".join(r.choice("abcdefgh") for _ in range(100_000))
+    tables = wu_manber.Tables([(1, text), (2, text[:50_000]), (None, text)])
+    assert tables.nbytes <= 22 * 1.5 * len(text) + (1 << wu_manber.MOST_BITS)
+    assert all(m.starts.dtype == "int64" and m.shift.nbytes <= 1 << wu_manber.MOST_BITS for m in tables.machines)
+    again = wu_manber.Tables.of(tables.parts())
+    assert [len(m.keys) for m in again.machines] == [len(m.keys) for m in tables.machines]
+
+
+def test_long_items_are_cut_with_all_their_windows(spark):
+    r = random.Random(7)
+    say = lambda n: ", ".join(f"w{r.randrange(50)}é" for _ in range(n))
+    items = [(1, say(300)), (2, "short one"), (3, "x" * 3000), (4, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    pieces = [tuple(x) for x in wu_manber._pieces(bench, 10, 400).collect()]
+    windows = lambda rows: {(i, tuple(w[k : k + min(10, len(w))])) for i, t in rows for w in [words(t)] for k in range(max(1, len(w) - 9)) if w}
+    assert windows(pieces) == windows(items)
+    assert len([1 for i, _ in pieces if i == 1]) > 5
+    rows = [(k, f"{say(3)} {' '.join(words(items[0][1])[k * 10 : k * 10 + 12])} {say(2)}", "s") for k in range(29)] + [(40, "x" * 3000, "s")]
+    got = wu_manber.find_contamination(docs(spark, rows), bench, pass_bytes=1600).collect()
+    assert sorted((tuple(x) for x in got), key=str) == contamination(rows, items)
+
+
 def test_contamination_of_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [tuple(x)[1:4] for x in wu_manber.find_contamination(docs(spark, [(1, "a b", "s")]), none).collect()] == [(2, 0, 0)]
