@@ -60,7 +60,7 @@ from w left join h using (doc_id) left join n using (doc_id) left join c on c.k
 
 _SHARES = {"symbols": ("n_symbols", "word_chars"), "exclaims": ("n_exclaims", "word_chars"), "capitals": ("n_capitals", "word_chars"), "copied_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words")}
 _CUTS = ", ".join(map(str, quality_rules.CUTOFFS))
-_RATE = quality_rules.ALPHA / len(quality_rules.RULES)
+_RATE = quality_rules.ALPHA
 
 SQL["op2_quality_rules"] = rf"""
 with t as (select row_number() over () as r, doc_id, coalesce(lang, '') as lang, coalesce(text, '') as text from documents),
@@ -73,16 +73,14 @@ win as (select r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from (selec
 dup as (select r, i from (select r, i, count(*) over (partition by r, g) as c from win) where c > 1),
 rep as (select r, count(distinct j) as n from (select r, unnest([i, i + 1, i + 2]) as j from dup) group by r),
 m as (select a.r, doc_id, lang, len(w) as n_words, word_chars, n_symbols, n_exclaims, n_capitals, len(lines) as n_lines, len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(rep.n, 0) as n_repeat_words from a left join rep on a.r = rep.r),
-f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, {', '.join(f'case when {of} > 0 then least({x} / {of}, 1.0) else 0 end as s_{r}' for r, (x, of) in _SHARES.items())} from m),
+f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, greatest({', '.join(f'(case when {of} > 0 then least({x} / {of}, 1.0) else 0 end) / {quality_rules.WORST[r]}' for r, (x, of) in _SHARES.items())}) as s from m),
 clean as (select doc_id from labels group by doc_id having min(quality) = 1 and max(toxic) = 0),
 held as (select * from f where not base_failed and doc_id in (select doc_id from clean)),
-sc as ({' union all '.join(f"select lang, '{r}' as rule, s_{r} as s from held" for r in _SHARES)}),
-tests as (select lang, rule, cutoff, n, k from (select lang, rule, c.cutoff, count(*) as n, count(*) filter (s > c.cutoff) as k from sc, (select unnest([{_CUTS}]) as cutoff) c group by all)),
-p as (select lang, rule, cutoff, n, case when k > {_RATE} * n then 1 else list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_RATE}) + (n - i) * ln(1 - {_RATE})))) end as p from tests),
-fit as (select lang, rule, min(cutoff) as cut from p where p <= {quality_rules.DELTA} / (select count(*) from (select distinct lang, rule from tests)) group by all),
-cuts as (select lang, {', '.join(f"min(cut) filter (rule = '{r}') as cut_{r}" for r in _SHARES)} from fit group by lang)
+tests as (select lang, cutoff, n, k from (select lang, c.cutoff, count(*) as n, count(*) filter (s > c.cutoff) as k from held, (select unnest([{_CUTS}]) as cutoff) c group by all)),
+p as (select lang, cutoff, n, case when k > {_RATE} * n then 1 else list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_RATE}) + (n - i) * ln(1 - {_RATE})))) end as p from tests),
+cuts as (select lang, min(cutoff) as cut from p where p <= {quality_rules.DELTA} / (select count(distinct lang) from tests) group by lang)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       not base_failed and not ({' or '.join(f'coalesce(s_{r} > cut_{r}, false)' for r in _SHARES)}) as kept
+       not base_failed and not coalesce(s > cut, false) as kept
 from f left join cuts using (lang)"""
 
 

@@ -1,13 +1,16 @@
 """Quality rules whose cutoffs are chosen with a risk guarantee, in DataFrame operations only.
 
-Each rule scores a document between 0 (clean) and 1. Labelled clean documents are the holdout. In
-each stratum (language), a cutoff of a rule is certified when the exact binomial test rejects that
-it turns away more than ALPHA / rules of the clean documents: P(Bin(n, ALPHA / rules) <= k) must be
-at most DELTA / (strata x rules). That is Bonferroni's correction over strata and rules; the
-cutoffs of one rule are tested in a fixed sequence, from the highest down to the first that fails
-(what a lower cutoff turns away contains what a higher one does), which needs no further share of
-DELTA. With probability 1 - DELTA, all certified cutoffs together turn away at most ALPHA of the
-clean documents of each stratum. The lowest certified cutoff is used; without one the rule is silent.
+Each rule scores a document by a share between 0 (clean) and 1; the shares are put on one scale by
+the share that is as bad as can be (WORST). Labelled clean documents are the holdout. Rules are
+certified together, along a fixed sequence of joint cutoffs: at the cutoff c, all rules of a
+stratum (language) turn away what scores over c * WORST. A joint cutoff is certified when the exact
+binomial test rejects that it turns away more than ALPHA of the clean documents of the stratum:
+P(Bin(n, ALPHA) <= k) must be at most DELTA / strata. That is Bonferroni's correction over strata;
+the cutoffs of a stratum are tested from the highest down to the first that fails (what a lower one
+turns away contains what a higher one does), which needs no further share of DELTA, and as rules
+share their cutoff, neither does their number. With probability 1 - DELTA, at most ALPHA of the
+clean documents of each stratum are turned away. The lowest certified cutoff is used; without one
+the rules are silent. Four strata need 174 clean labels each, or more, to certify any cutoff.
 
 Defined cases: a null text has no words and fails; a null language is a stratum of its own; strata
 without labels have no cutoffs; a document with several labels counts as clean only if all say so;
@@ -24,8 +27,10 @@ from pyspark.sql import functions as F
 from leafmill.tables import materialize
 
 ALPHA, DELTA = 0.025, 0.05
-RULES = ["symbols", "exclaims", "capitals", "copied_lines", "repeats"]
-CUTOFFS = [0.01, 0.02, 0.03, 0.05, 0.08, 0.12, 0.18, 0.25, 0.35, 0.5, 0.65, 0.8]
+#: Rules, and the shares at which a document is as bad as it can be.
+WORST = {"symbols": 0.25, "exclaims": 0.25, "capitals": 1.0, "copied_lines": 1.0, "repeats": 1.0}
+#: The fixed sequence of joint cutoffs, in shares of WORST.
+CUTOFFS = [0.05, 0.08, 0.1, 0.12, 0.15, 0.18, 0.22, 0.26, 0.3, 0.35, 0.4, 0.5, 0.6, 0.8]
 SPACE = r"[\x20\x09-\x0D]+"
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = "#*$%&|<>"
@@ -52,7 +57,8 @@ def _repeated_words(hashes: Column, order: Column) -> Column:
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and a score for each rule."""
+    """doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and
+    badness: the worst of the rules' scores."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), text.alias("text"))
     words = F.array_remove(F.split("text", SPACE), "")
@@ -75,7 +81,8 @@ def measures(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("n_repeat_words", _repeated_words(F.col("hashes"), F.col("order"))).drop("hashes", "order")
     share = lambda x, of: F.when(F.col(of) > 0, F.least(F.col(x) / F.col(of), F.lit(1.0))).otherwise(F.lit(0.0))
     scores = {"symbols": share("n_symbols", "word_chars"), "exclaims": share("n_exclaims", "word_chars"), "capitals": share("n_capitals", "word_chars"), "copied_lines": share("n_dup_lines", "n_lines"), "repeats": share("n_repeat_words", "n_words")}
-    return rows.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *(scores[r].alias(r) for r in RULES))
+    badness = F.greatest(*(scores[r] / worst for r, worst in WORST.items()))
+    return rows.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", badness.alias("badness"))
 
 
 def binomial_tail(n: Column, k: Column, rate: float) -> Column:
@@ -91,18 +98,17 @@ def binomial_tail(n: Column, k: Column, rate: float) -> Column:
 
 
 def certified_cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """lang and, for each rule, ``cut_<rule>``: the lowest certified cutoff or null."""
+    """lang, n (clean labels) and cutoff: the lowest certified joint cutoff or null."""
     clean = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).where("quality = 1 and toxic = 0").select("doc_id")
     held = measured.where(~base_failed()).join(clean, "doc_id", "left_semi")
-    passed = lambda r: sum((F.col(r) > c).cast("int") for c in CUTOFFS)
-    each = held.select("lang", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), passed(r).alias("passed")) for r in RULES))).alias("x")).select("lang", "x.*")
-    counts = each.groupBy("lang", "rule", "passed").agg(F.count(F.lit(1)).alias("rows"))
+    passed = sum((F.col("badness") > c).cast("int") for c in CUTOFFS)
+    counts = held.groupBy("lang", passed.alias("passed")).agg(F.count(F.lit(1)).alias("rows"))
     turned = [F.struct(F.lit(c).alias("cutoff"), F.sum(F.when(F.col("passed") > g, F.col("rows")).otherwise(0)).alias("k")) for g, c in enumerate(CUTOFFS)]
-    tests = counts.groupBy("lang", "rule").agg(F.sum("rows").alias("n"), F.array(*turned).alias("tests")).select("lang", "rule", "n", F.explode("tests").alias("x")).select("lang", "rule", "n", "x.*")
-    tests = materialize(tests, "tests")  # strata x rules x cutoffs rows
-    most = delta / max(1, tests.select("lang", "rule").distinct().count())
-    fit = tests.where(binomial_tail(F.col("n"), F.col("k"), alpha / len(RULES)) <= most)
-    return fit.groupBy("lang").agg(*(F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES))
+    strata = materialize(counts.groupBy("lang").agg(F.sum("rows").alias("n"), F.array(*turned).alias("tests")), "tests")  # a row for each stratum
+    most = delta / max(1, strata.count())
+    tests = strata.select("lang", "n", F.explode("tests").alias("x")).select("lang", "n", "x.*")
+    fits = binomial_tail(F.col("n"), F.col("k"), alpha) <= most
+    return tests.withColumn("fits", fits).groupBy("lang", "n").agg(F.min(F.when(F.col("fits"), F.col("cutoff"))).alias("cutoff"))
 
 
 def base_failed() -> Column:
@@ -113,8 +119,6 @@ def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float
     """One row per document: doc_id, the five counts, base_failed, kept."""
     measured = materialize(measures(docs), "measures")
     cutoffs = certified_cutoffs(measured, labels, alpha, delta)
-    turned = F.lit(False)
-    for r in RULES:
-        turned = turned | F.coalesce(F.col(r) > F.col(f"cut_{r}"), F.lit(False))
+    turned = F.coalesce(F.col("badness") > F.col("cutoff"), F.lit(False))
     out = measured.join(cutoffs, "lang", "left").withColumn("base_failed", base_failed())
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~turned).alias("kept"))

@@ -5,6 +5,7 @@ import math
 import random
 import re
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -148,6 +149,23 @@ def test_rules_reject_junk_and_keep_clean(spark):
     assert sum(x.kept for x in silent if 10_000 <= x.doc_id < 10_050) == 50
 
 
+def test_rules_are_certified_together(spark):
+    """Joint cutoffs against a plain computation; a stratum of 200 clean labels is judged, one of 100 is not."""
+    r = random.Random(5)
+    rows = [(k, lang, round(r.random() ** 4, 3)) for lang, n in (("a", 1500), ("b", 200), ("c", 100)) for k in range(n)]
+    measured = spark.createDataFrame([(k * 10 + "abc".index(lang), lang, 100, 0, x) for k, lang, x in rows], "doc_id long, lang string, n_words long, n_repeat_words long, badness double")
+    labels = measured.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    got = {x.lang: (x.n, x.cutoff) for x in quality_rules.certified_cutoffs(measured, labels, 0.1, 0.05).collect()}
+    for lang in "abc":
+        own = [x for _, g, x in rows if g == lang]
+        tail = lambda k, n=len(own): float(sum(math.comb(n, i) * 9 ** (n - i) for i in range(k + 1)) / Fraction(10) ** n)
+        fits = [c for c in quality_rules.CUTOFFS if tail(sum(x > c for x in own)) <= 0.05 / 3 and sum(x > c for x in own) <= 0.1 * len(own)]
+        assert got[lang] == (len(own), min(fits, default=None))
+    few = quality_rules.certified_cutoffs(measured.where("lang <> 'a' and badness < 0.01"), labels).collect()
+    assert all(x.cutoff is None for x in few if x.n < 146)
+    assert (1 - quality_rules.ALPHA) ** 173 > quality_rules.DELTA / 4 >= (1 - quality_rules.ALPHA) ** 174
+
+
 # --- Mixing ---------------------------------------------------------------------------------
 
 
