@@ -195,6 +195,29 @@ def test_mix_places_every_document_once(spark, monkeypatch):
     assert pfair_mix.mix(docs(spark, [])).collect() == []
 
 
+def test_mix_carries_clashing_columns_and_rows_without_ids(spark, monkeypatch):
+    monkeypatch.setattr(pfair_mix, "BUCKET", 4)
+    names = ["doc", "mix_source", "mix_key", "mix_bucket", "mix_rank", "mix_offset", "mix_weight", "mix_turn", "mix_slot", "mix_size", "mix_group", "weight", "turn", "n"]
+    rows = [(k if k % 2 else None, f"t{k}", "hot" if k % 3 else None) for k in range(200)] + [(None, LONG, "s"), (7, None, "s"), (7, None, "s")]
+    got = pfair_mix.mix(docs(spark, rows, *names), block=3)
+    assert got.columns == [*docs(spark, rows, *names).columns, "block", "slot", "place"]
+    out = got.collect()
+    assert Counter((r.doc_id, r.text, r.source) for r in out) == Counter(rows)
+    assert all(r[c] == "x" for r in out for c in names)
+    assert len({(r.slot, r.place) for r in out}) == len(rows)
+    for s in {r.source for r in out}:
+        own = sorted((r.block, r.place) for r in out if r.source == s)
+        assert own == [(k // 3, k % 3) for k in range(len(own))]
+
+
+@pytest.mark.parametrize("sources", [1000, 1001, 5000])
+def test_mix_of_thousands_of_sources(spark, sources):
+    rows = [(k, "t", f"s{k}") for k in range(sources)] + [(10_000 + k, "t", "hot") for k in range(100)]
+    got = pfair_mix.mix(docs(spark, rows).select("doc_id", "source")).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _, _ in rows)
+    assert len({(r.slot, r.place) for r in got}) == len(rows)
+
+
 def test_mix_of_many_sources(spark):
     rows = [(k, "t", f"s{k % 1300}") for k in range(2600)] + [(10_000 + k, "t", "hot") for k in range(1300)]
     got = pfair_mix.mix(docs(spark, rows), block=1).collect()
