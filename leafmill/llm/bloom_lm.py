@@ -2,13 +2,17 @@
 
 Counting: each batch of training text sends its distinct n-grams (words and word pairs) with
 their counts to the shards of the hash space, packed; a shard adds them up. The number of shards
-grows with the text, so a shard's size does not. Pairs that occur once are left out.
+grows with the text, so a shard's size does not. All n-grams are kept, those that occur once, too.
 
-Filter: an n-gram of count c is entered at levels 1..q, q = 1 + floor(log2(c)). Each
-shard fills its own segment; the segments, together, are broadcast. Their size is bounded by
-``filter_bytes``: when the n-grams would need more, the lowest counts are left out first.
+Filter: an n-gram of count c is entered at levels 1..q, q = 1 + floor(log2(c)). Each shard fills a
+segment for words and one for pairs; an entry takes ``bits_per_entry`` bits, at any size.
+
+Scoring: probing levels upwards until one is absent gives back a count to within its level. Up to
+``filter_bytes`` the segments are broadcast, all together. Beyond that no worker can hold them, so
+the probes travel instead: each piece of text sends its distinct n-grams to the tasks that hold
+their segments, one after the other, and gets the levels back. Both ways ask the same segments, so
+scores do not depend on the way.
 
-Scoring: probing levels upwards until one is absent gives back a count to within its level.
 p(w | v) = k c(v w) / c(v) + (1 - k) (c(w) + 1) / (N + V + 1), where the weight k is the one of
 WEIGHTS under which the training text is likeliest with each token's own occurrence taken out.
 
@@ -16,7 +20,8 @@ Exact counts of single tokens, for the base score, come from a broadcast table o
 frequent ones, of bounded size, and for all others from a join.
 
 Defined cases: null is the empty text, which is one end token; a null doc_id counts as training;
-repeated rows count as often as they occur; further columns are left alone.
+repeated rows count as often as they occur; texts are read whole, a long one as a piece of its own;
+an empty table gives no rows; further columns are left alone.
 """
 
 from __future__ import annotations
@@ -31,14 +36,15 @@ from leafmill.llm import bytewords
 from leafmill.tables import materialize
 
 WEIGHTS = np.array([0.02, 0.1, 0.25, 0.5, 0.75])
+#: Of a filter that is broadcast.
 FILTER_BYTES = 128 << 20
-MOST_SEGMENT_BITS = 10
-#: At least; up to twice as many, as segments have a power of two of bits.
 BITS_PER_ENTRY = 8
 PROBES = 4
 #: Tokens in the broadcast table of exact counts.
 HEAD = 1 << 20
 SHARD_BYTES = 8 << 20
+#: Text that is scored at once.
+PIECE = 1 << 20
 BASE = 2.0
 END = np.uint64(0x5851F42D4C957F2D)
 WORD, PAIR = 0, 1
@@ -104,8 +110,6 @@ def count_ngrams(training: DataFrame, bits: int) -> DataFrame:
                     more = [unpack(x) for x in part.column("keys").to_pylist()]
                     times = [np.frombuffer(x, np.int64) for x in part.column("counts").to_pylist()]
                     keys, counts = _merge(np.concatenate([keys, *more]), np.concatenate([counts, *times]))
-                if kind == PAIR:
-                    keys, counts = keys[counts > 1], counts[counts > 1]
                 rows.append((table.column("shard")[0].as_py(), kind, pack(keys), counts.tobytes()))
         return pa.Table.from_batches([_packed(rows)])
 
@@ -126,50 +130,47 @@ _EDGES = np.ceil(BASE ** np.arange(0, 62) - 1e-9)
 MEANS = np.append(0.0, (_EDGES[:-1] + np.maximum(_EDGES[:-1], _EDGES[1:] - 1)) / 2)
 
 
+#: What tells the entries of a key's levels apart.
+_LEVEL_KEYS = np.arange(len(MEANS), dtype=np.uint64) * U64(bytewords.MULTIPLIER)
+
+
 class LevelFilter:
     """Segments of one Bloom filter; a key's top bits choose the segment."""
 
-    def __init__(self, data: np.ndarray, bits: int, segment_bits: int):
-        self.data, self.bits, self.segment_bits = data, bits, segment_bits
+    def __init__(self, data: np.ndarray, shard_bits: int):
+        """data: a row of bytes for each of the 2^shard_bits segments, or for the only one at hand."""
+        self.data, self.shard_bits = data, shard_bits
+        self.flat, self.width = data.reshape(-1), data.shape[1]
 
-    def slots(self, keys: np.ndarray, level: int):
-        """Bit numbers of a key's entry for a level, one array for each probe."""
-        h = bytewords.mix(keys + U64(level) * U64(bytewords.MULTIPLIER))
-        base = (keys >> U64(64 - self.bits)) << U64(self.segment_bits) if self.bits else U64(0)
-        step = (h >> U64(32)) | U64(1)
-        mask = U64((1 << self.segment_bits) - 1)
-        return (base + ((h + U64(k) * step) & mask) for k in range(PROBES))
+    def slot(self, keys: np.ndarray, h: np.ndarray, probe: int) -> np.ndarray:
+        """Bit numbers of one probe. h: hashes of keys and level."""
+        low = (h + U64(probe) * ((h >> U64(32)) | U64(1))) & U64(0xFFFFFFFF)
+        at = (low * U64(8 * self.width)) >> U64(32)
+        return at + (keys >> U64(64 - self.shard_bits)) * U64(8 * self.width) if self.shard_bits else at
 
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
         most = levels(counts)
         for level in range(1, int(most.max(initial=0)) + 1):
-            for slot in self.slots(keys[most >= level], level):
-                np.bitwise_or.at(self.data, (slot >> U64(3)).astype(np.int64), (1 << (slot & U64(7)).astype(np.uint8)).astype(np.uint8))
+            own = keys[most >= level]
+            h = bytewords.mix(own + _LEVEL_KEYS[level])
+            for k in range(PROBES):
+                slot = self.slot(own, h, k)
+                np.bitwise_or.at(self.flat, (slot >> U64(3)).astype(np.int64), (1 << (slot & U64(7)).astype(np.uint8)).astype(np.uint8))
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """The count that stands for the highest level up to which all are present."""
-        out = np.zeros(len(keys), np.int64)
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """The highest level up to which all are present, of each key."""
+        out = np.zeros(len(keys), np.uint8)
         left = np.arange(len(keys))
         level = 1
-        while len(left):
+        while len(left) and level < len(MEANS):
+            h = bytewords.mix(keys[left] + _LEVEL_KEYS[level])
             for k in range(PROBES):
-                slot = next(x for i, x in enumerate(self.slots(keys[left], level)) if i == k)
-                left = left[(self.data[(slot >> U64(3)).astype(np.int64)] >> (slot & U64(7)).astype(np.uint8)) & 1 > 0]
+                slot = self.slot(keys[left], h, k)
+                there = (self.flat[(slot >> U64(3)).astype(np.int64)] >> (slot & U64(7)).astype(np.uint8)) & 1 > 0
+                left, h = left[there], h[there]
             out[left] = level
             level += 1
-        return MEANS[out]
-
-
-def _cutoff(histogram: list[tuple[int, int, int]], most_entries: float) -> int:
-    """The least count from which on all n-grams fit. histogram: level, n-grams, least count."""
-    entries = 0
-    cut = None
-    for level, n, least in sorted(histogram, reverse=True):
-        entries += level * n
-        if entries > most_entries and cut is not None:
-            return cut
-        cut = least
-    return cut or 1
+        return out
 
 
 def _histogram(counted: DataFrame) -> DataFrame:
@@ -191,7 +192,76 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(7)) == 2, F.lit(False))
 
 
-def score_documents(docs: DataFrame, filter_bytes: int = FILTER_BYTES, bits_per_entry: int = BITS_PER_ENTRY, head: int = HEAD, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def _segments(counted: DataFrame, widths: dict[int, int]) -> DataFrame:
+    """(kind, shard, bits): the filter's segments, of widths[kind] bytes."""
+
+    def rows(batches):
+        for batch in batches:
+            for shard, kind, keys, counts in zip(*(batch.column(c).to_pylist() for c in ("shard", "kind", "keys", "counts")), strict=True):
+                part = LevelFilter(np.zeros((1, widths[kind]), np.uint8), 0)
+                part.add(unpack(keys), np.frombuffer(counts, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([shard], pa.int32()), pa.array([part.data.tobytes()], pa.binary())], names=["kind", "shard", "bits"])
+
+    return counted.mapInArrow(rows, "kind int, shard int, bits binary")
+
+
+def _grams(batch: pa.RecordBatch):
+    """(tokens, offsets, distinct words, their places, distinct pairs, their places) of a piece."""
+    out, before, offsets = tokens(batch.column("text"))
+    return out, offsets, *np.unique(out, return_inverse=True), *np.unique(bytewords.chain(before, out), return_inverse=True)
+
+
+def _cut_by_shard(keys: np.ndarray, shard_bits: int) -> tuple[list[int], list[int]]:
+    """The shards of sorted keys, and where each begins, with the end."""
+    shards = (keys >> U64(64 - shard_bits)).astype(np.int64) if shard_bits else np.zeros(len(keys), np.int64)
+    cuts = np.flatnonzero(np.append(True, shards[1:] != shards[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return shards[cuts].tolist(), [*cuts.tolist(), len(keys)]
+
+
+def _answered(pieces: DataFrame, segments: DataFrame, shard_bits: int, widths: dict[int, int]) -> DataFrame:
+    """(piece, kind, shard, levels) of the distinct n-grams of the pieces, in the keys' order.
+
+    Requests meet their segment in a sorted partition, segment first, and are read one by one."""
+
+    def ask(batches):
+        for batch in batches:
+            for whole in _by_piece(batch):
+                _, _, words, _, pairs, _ = _grams(whole)
+                rows = []
+                for kind, keys in ((WORD, words), (PAIR, pairs)):
+                    shards, cuts = _cut_by_shard(keys, shard_bits)
+                    rows += [(kind, shard, pack(keys[a:b])) for shard, a, b in zip(shards, cuts, cuts[1:], strict=False)]
+                piece = whole.column("piece")[0].as_py()
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([piece] * len(rows), pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["kind", "shard", "piece", "data"])
+
+    def answer(batches):
+        at, segment = None, None
+        for batch in batches:
+            out = []
+            for kind, shard, piece, data in zip(*(batch.column(c).to_pylist() for c in ("kind", "shard", "piece", "data")), strict=True):
+                if piece is None:
+                    at, segment = (kind, shard), LevelFilter(np.frombuffer(data, np.uint8).reshape(1, -1), 0)
+                    continue
+                keys = unpack(data)
+                found = segment.levels(keys) if at == (kind, shard) else np.zeros(len(keys), np.uint8)
+                out.append((piece, kind, shard, found.tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["piece", "kind", "shard", "levels"])
+
+    requests = pieces.mapInArrow(ask, "kind int, shard int, piece long, data binary")
+    both = segments.select("kind", "shard", F.lit(None).cast("long").alias("piece"), F.col("bits").alias("data")).unionByName(requests)
+    return both.repartition("kind", "shard").sortWithinPartitions("kind", "shard", F.asc_nulls_first("piece")).mapInArrow(answer, "piece long, kind int, shard int, levels binary")
+
+
+def _by_piece(batch: pa.RecordBatch):
+    """Slices of a batch, one for each piece; a piece's rows stand together."""
+    piece = batch.column("piece").to_numpy()
+    cuts = [*np.flatnonzero(np.append(True, piece[1:] != piece[:-1])).tolist(), len(piece)] if len(piece) else [0]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        yield batch.slice(a, b - a)
+
+
+def score_documents(docs: DataFrame, filter_bytes: int = FILTER_BYTES, bits_per_entry: int = BITS_PER_ENTRY, head: int = HEAD, shard_bytes: int = SHARD_BYTES, piece: int = PIECE) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
@@ -202,37 +272,9 @@ def score_documents(docs: DataFrame, filter_bytes: int = FILTER_BYTES, bits_per_
     histogram = _histogram(counted).collect()  # a row for each kind and level
     words = [r for r in histogram if r.kind == WORD]
     n_tokens, n_types = sum(r.total for r in words), sum(r.n for r in words)
-
-    entries = sum(r.n * r.level for r in histogram)
-    top = min(bits, MOST_SEGMENT_BITS)
-    wanted = max(1.0, min(entries * bits_per_entry, filter_bytes * 8) / (1 << top))
-    segment_bits = max(13, int(np.ceil(np.log2(wanted))))
-    while segment_bits > 13 and (1 << (top + segment_bits)) > filter_bytes * 8:
-        segment_bits -= 1
-    least = _cutoff([(r.level, r.n, r.least) for r in histogram], (1 << (top + segment_bits)) / bits_per_entry)
-
-    def segments(batches):
-        for batch in batches:
-            for shard, keys, counts in zip(*(batch.column(c).to_pylist() for c in ("shard", "keys", "counts")), strict=True):
-                k, c = unpack(keys), np.frombuffer(counts, np.int64)
-                part = LevelFilter(np.zeros(1 << (segment_bits - 3), np.uint8), 0, segment_bits)
-                part.add(k[c >= least], c[c >= least])
-                yield pa.RecordBatch.from_arrays([pa.array([shard >> (bits - top)], pa.int32()), pa.array([part.data.tobytes()], pa.binary())], names=["segment", "bits"])
-
-    def union(batches):  # rows of a segment may come in several batches
-        merged: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for segment, part in zip(batch.column("segment").to_pylist(), batch.column("bits").to_pylist(), strict=True):
-                merged.setdefault(segment, np.zeros(len(part), np.uint8))
-                merged[segment] |= np.frombuffer(part, np.uint8)
-        for segment, part in merged.items():
-            yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["segment", "bits"])
-
-    parts = counted.mapInArrow(segments, "segment int, bits binary").repartition("segment").mapInArrow(union, "segment int, bits binary")
-    whole = np.zeros((1 << top, 1 << (segment_bits - 3)), np.uint8)
-    for row in parts.toLocalIterator():  # filter_bytes in all, or less
-        whole[row.segment] |= np.frombuffer(row.bits, np.uint8)
-    model = spark.sparkContext.broadcast((whole.ravel(), top, segment_bits))
+    entries = {kind: sum(r.n * r.level for r in histogram if r.kind == kind) for kind in (WORD, PAIR)}
+    widths = {kind: 64 + entries[kind] * bits_per_entry // (8 << bits) for kind in (WORD, PAIR)}
+    segments = _segments(counted, widths)
 
     from_count, n_head = 1 << 62, 0
     for r in sorted(words, key=lambda r: -r.level):
@@ -253,59 +295,93 @@ def score_documents(docs: DataFrame, filter_bytes: int = FILTER_BYTES, bits_per_
     head_keys = frequent.column("key").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(head_keys)
     table = spark.sparkContext.broadcast((head_keys[order], frequent.column("c").to_numpy()[order]))
+    end = np.array([END])
 
-    def score(batches):
-        data, own_bits, own_segment = model.value
-        lookup = LevelFilter(data, own_bits, own_segment)
+    def scored_piece(batch: pa.RecordBatch, grams, one: np.ndarray, two: np.ndarray, ends: float) -> pa.RecordBatch:
+        """one, two: counts that stand for the levels of the distinct words and pairs; ends: of END."""
         keys, exact_counts = table.value
         log_total = np.log10(n_tokens + n_types + 1)
-        for whole_batch in batches:
-            for batch in bytewords.rows_of(whole_batch, 2 << 20):
-                out, before, offsets = tokens(batch.column("text"))
-                types, which = np.unique(out, return_inverse=True)
-                at = np.minimum(np.searchsorted(keys, types), max(0, len(keys) - 1))
-                in_head = keys[at] == types if len(keys) else np.zeros(len(types), bool)
-                c = np.where(in_head, exact_counts[at], 0) if len(keys) else np.zeros(len(types), np.int64)
-                base = np.where(in_head, np.log10(c + 1.0), 0.0)[which]
-                known = in_head[which]
-                sizes = np.diff(offsets)
-
-                one = lookup.counts(types)
-                pairs = lookup.counts(bytewords.chain(before, out))
-                c_here = one[which]
-                c_before = np.append(c_here[:1], c_here[:-1])
-                c_before[offsets[:-1]] = lookup.counts(np.array([END]))[0]
-                ahead = np.maximum(c_before, np.maximum(pairs, 1))
-                training_row = ~batch.column("held_out").to_numpy(zero_copy_only=False)
-                single = (c_here + 1) / (n_tokens + n_types + 1)
-                ratio = pairs / ahead
-                one_out = np.maximum(pairs - 1, 0) / np.maximum(ahead - 1, 1)
-                single_out = np.maximum(c_here, 1) / (n_tokens + n_types)
-                scores, apart = [], []
-                for k in WEIGHTS:
-                    scores.append(np.add.reduceat(np.log10(k * ratio + (1 - k) * single), offsets[:-1]))
-                    apart.append(np.add.reduceat(np.log10(k * one_out + (1 - k) * single_out), offsets[:-1]) * training_row)
-                tail = np.flatnonzero(~known)
-                owner = np.searchsorted(offsets, tail, "right") - 1
-                tail_offsets = np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32)
-                lists = np.arange(0, len(WEIGHTS) * (batch.num_rows + 1), len(WEIGHTS), dtype=np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("row"),
-                        batch.column("doc_id"),
-                        batch.column("held_out"),
-                        pa.array(sizes),
-                        pa.array(np.add.reduceat(known.astype(np.int64), offsets[:-1])),
-                        pa.array(np.add.reduceat(base, offsets[:-1]) - sizes * log_total),
-                        pa.ListArray.from_arrays(lists, pa.array(np.array(scores).T.ravel())),
-                        pa.ListArray.from_arrays(lists, pa.array(np.array(apart).T.ravel())),
-                        pa.ListArray.from_arrays(tail_offsets, pa.array(out[tail].view(np.int64))),
-                    ],
-                    names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "scores", "apart", "tail"],
-                )
+        out, offsets, types, which, _, which_pair = grams
+        at = np.minimum(np.searchsorted(keys, types), max(0, len(keys) - 1))
+        in_head = keys[at] == types if len(keys) else np.zeros(len(types), bool)
+        c = np.where(in_head, exact_counts[at], 0) if len(keys) else np.zeros(len(types), np.int64)
+        base = np.where(in_head, np.log10(c + 1.0), 0.0)[which]
+        known = in_head[which]
+        sizes = np.diff(offsets)
+
+        pairs = two[which_pair]
+        c_here = one[which]
+        c_before = np.append(c_here[:1], c_here[:-1])
+        c_before[offsets[:-1]] = ends
+        ahead = np.maximum(c_before, np.maximum(pairs, 1))
+        training_row = ~batch.column("held_out").to_numpy(zero_copy_only=False)
+        single = (c_here + 1) / (n_tokens + n_types + 1)
+        ratio = pairs / ahead
+        one_out = np.maximum(pairs - 1, 0) / np.maximum(ahead - 1, 1)
+        single_out = np.maximum(c_here, 1) / (n_tokens + n_types)
+        scores, apart = [], []
+        for k in WEIGHTS:
+            scores.append(np.add.reduceat(np.log10(k * ratio + (1 - k) * single), offsets[:-1]))
+            apart.append(np.add.reduceat(np.log10(k * one_out + (1 - k) * single_out), offsets[:-1]) * training_row)
+        tail = np.flatnonzero(~known)
+        owner = np.searchsorted(offsets, tail, "right") - 1
+        tail_offsets = np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32)
+        lists = np.arange(0, len(WEIGHTS) * (batch.num_rows + 1), len(WEIGHTS), dtype=np.int32)
+        return pa.RecordBatch.from_arrays(
+            [
+                batch.column("row"),
+                batch.column("doc_id"),
+                batch.column("held_out"),
+                pa.array(sizes),
+                pa.array(np.add.reduceat(known.astype(np.int64), offsets[:-1])),
+                pa.array(np.add.reduceat(base, offsets[:-1]) - sizes * log_total),
+                pa.ListArray.from_arrays(lists, pa.array(np.array(scores).T.ravel())),
+                pa.ListArray.from_arrays(lists, pa.array(np.array(apart).T.ravel())),
+                pa.ListArray.from_arrays(tail_offsets, pa.array(out[tail].view(np.int64))),
+            ],
+            names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "scores", "apart", "tail"],
+        )
 
     rows = texts.withColumn("row", F.monotonically_increasing_id())
-    scored = materialize(rows.mapInArrow(score, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, scores array<double>, apart array<double>, tail array<long>"), "scores")
+    result = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, scores array<double>, apart array<double>, tail array<long>"
+    if sum(w << bits for w in widths.values()) <= filter_bytes:
+        whole = {kind: np.zeros((1 << bits, w), np.uint8) for kind, w in widths.items()}
+        for r in segments.toLocalIterator():  # filter_bytes in all, or less
+            whole[r.kind][r.shard] = np.frombuffer(r.bits, np.uint8)
+        model = spark.sparkContext.broadcast((whole[WORD], whole[PAIR]))
+
+        def score(batches):
+            one, two = (LevelFilter(x, bits) for x in model.value)
+            ends = MEANS[one.levels(end)[0]]
+            for batch in batches:
+                for part in bytewords.rows_of(batch, piece):
+                    grams = _grams(part)
+                    yield scored_piece(part, grams, MEANS[one.levels(grams[2])], MEANS[two.levels(grams[4])], ends)
+
+        scored = rows.mapInArrow(score, result)
+    else:
+        segments = materialize(segments, "segments")
+        own = int(END) >> (64 - bits) if bits else 0
+        ending = segments.where((F.col("kind") == WORD) & (F.col("shard") == own)).first()
+        ends = MEANS[LevelFilter(np.frombuffer(ending.bits, np.uint8).reshape(1, -1), 0).levels(end)[0]] if ending else 0.0
+
+        def deal(batches):
+            for batch in batches:
+                for part in bytewords.rows_of(batch, piece):
+                    yield part.append_column("piece", pa.array([part.column("row")[0].as_py()] * part.num_rows, pa.int64()))
+
+        def score_group(part: pa.Table, levels_of: pa.Table) -> pa.Table:
+            batch = part.combine_chunks().to_batches()[0]
+            grams = _grams(batch)
+            found = {(k, s): x for k, s, x in zip(*(levels_of.column(c).to_pylist() for c in ("kind", "shard", "levels")), strict=True)}
+            counts = [MEANS[np.frombuffer(b"".join(found[kind, s] for s in _cut_by_shard(keys, bits)[0]), np.uint8)] for kind, keys in ((WORD, grams[2]), (PAIR, grams[4]))]
+            return pa.Table.from_batches([scored_piece(batch, grams, *counts, ends)])
+
+        pieces = materialize(rows.mapInArrow(deal, "doc_id long, text string, held_out boolean, row long, piece long"), "pieces")
+        answers = materialize(_answered(pieces, segments, bits, widths), "answers")
+        scored = pieces.groupBy("piece").cogroup(answers.groupBy("piece")).applyInArrow(score_group, result)
+
+    scored = materialize(scored, "scores")
     sums = scored.agg(*(F.sum(F.element_at("apart", i + 1)).alias(f"w{i}") for i in range(len(WEIGHTS)))).first()
     best = max(range(len(WEIGHTS)), key=lambda i: sums[i] or 0.0) if sums[0] is not None else 0
 

@@ -21,7 +21,7 @@ def brute(rows):
     bi = Counter(p for t in train for p in zip([b"\n", *t], t, strict=False))
     n, v = sum(uni.values()), len(uni)
     mean = lambda c: 0.0 if not c else ((lo := 2 ** int(math.log2(c))) + 2 * lo - 1) / 2
-    c2 = {k: mean(c) for k, c in bi.items() if c > 1}
+    c2 = {k: mean(c) for k, c in bi.items()}
     c1 = {k: mean(c) for k, c in uni.items()}
 
     def likelihood(t, k, apart):
@@ -51,20 +51,45 @@ def texts(seed, n):
     return [(i, r.choice(base) if r.random() < 0.3 else t + r.choice(["", " Rare%d" % i])) for i, t in enumerate(base)]
 
 
-@pytest.mark.parametrize(("head", "shard_bytes"), [(1 << 20, 1 << 20), (7, 500), (0, 3000)])
-def test_equals_brute_force(spark, head, shard_bytes):
-    rows = [*texts(1, 120), (500, None), (None, "a w1é"), (3, "W1É w2é"), (3, "W1É w2é")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as score", "'a' as row")
-    got = sorted((tuple(r) for r in bloom_lm.score_documents(df, bits_per_entry=64, head=head, shard_bytes=shard_bytes).collect()), key=str)
-    want = brute(rows)
-    assert [g[:5] for g in got] == [w[:5] for w in want]
-    np.testing.assert_allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-9)
+ROWS = [*texts(1, 120), (500, None), (None, "a w1é"), (3, "W1É w2é"), (3, "W1É w2é"), (501, "long w3é text " * 20_000)]
+
 
+def run(spark, rows, **how):
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as score", "'a' as row", "2 as piece")
+    return sorted((tuple(r) for r in bloom_lm.score_documents(df, **how).collect()), key=str)
 
-def test_empty_table(spark):
-    assert bloom_lm.score_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+@pytest.mark.parametrize(("head", "shard_bytes", "filter_bytes"), [(1 << 20, 1 << 20, 1 << 30), (7, 500, 1 << 30), (0, 3000, 0), (1 << 20, 1 << 30, 0)])
+def test_equals_brute_force(spark, head, shard_bytes, filter_bytes):
+    got = run(spark, ROWS, bits_per_entry=256, head=head, shard_bytes=shard_bytes, filter_bytes=filter_bytes)
+    want = brute(ROWS)
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    np.testing.assert_allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-9)
 
 
-def test_a_full_filter_leaves_out_the_lowest_counts():
-    assert bloom_lm._cutoff([(1, 1000, 1), (2, 100, 2), (3, 10, 4)], 250) == 2
-    assert bloom_lm._cutoff([(1, 1000, 1), (2, 100, 2)], 5000) == 1
+def test_scores_do_not_depend_on_how_the_filter_is_asked(spark):
+    broadcast = run(spark, ROWS, shard_bytes=2000)
+    shuffled = run(spark, ROWS, shard_bytes=2000, filter_bytes=0, piece=500)
+    assert [g[:5] for g in shuffled] == [w[:5] for w in broadcast]
+    np.testing.assert_allclose([g[5:] for g in shuffled], [w[5:] for w in broadcast], rtol=1e-9)
+
+
+@pytest.mark.parametrize("filter_bytes", [1 << 30, 0])
+def test_empty_table(spark, filter_bytes):
+    assert run(spark, [], filter_bytes=filter_bytes) == []
+
+
+def test_all_ngrams_are_entered(spark):
+    """The filter grows with the text, and holds what occurs once."""
+    once = spark.createDataFrame([(k, " ".join(f"u{k}x{i}" for i in range(50))) for k in range(40)], "doc_id long, text string")
+    counted = bloom_lm.count_ngrams(once, 2)
+    n = {r.kind: r.n for r in bloom_lm._histogram(counted).collect() if r.level == 1}
+    assert n == {bloom_lm.WORD: 2000, bloom_lm.PAIR: 51 * 40}
+    part = bloom_lm.LevelFilter(np.zeros((4, 4000), np.uint8), 2)
+    keys = np.random.default_rng(1).integers(0, 1 << 63, 3000, dtype=np.uint64) << np.uint64(1)
+    counts = np.random.default_rng(2).integers(1, 9, 3000)
+    part.add(keys, counts)
+    found = part.levels(keys)
+    assert (found >= bloom_lm.levels(counts)).all()
+    assert (found == bloom_lm.levels(counts)).mean() > 0.9
+    assert part.levels(keys + np.uint64(1)).mean() < 0.1
