@@ -21,7 +21,7 @@ TEXT = pa.array(["some words, here", None])
         lambda: bytewords.split_words(TEXT).hashes,
         lambda: near_dup.minima(*near_dup.shingle_sets(TEXT, 2)),
         lambda: bloom_lm.tokens(TEXT)[0],
-        lambda: list(suffix_repeats._sites(*bytewords.column_bytes(pa.array(["x" * 900])), 400)),
+        lambda: list(suffix_repeats._anchors(*bytewords.column_bytes(pa.array(["x" * 900])), 280)),
         lambda: weak_quality.measures(TEXT)[0],
         lambda: span_crf.base_spans("a@b.c"),
         lambda: [wu_manber._covered([(1, 2)]), wu_manber.Machine],
