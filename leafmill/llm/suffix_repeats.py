@@ -1,11 +1,11 @@
 """Removal of long byte strings that occur more than once, by enhanced suffix arrays.
 
-A string of 280 bytes or more that starts at two places contains the same anchor at both: the start
+A string of ``size`` bytes that starts at two places contains the same anchor at both: the start
 of the smallest of its k-gram hashes. Suffixes are therefore sorted at anchors only, about one in
-120 bytes, without losing any repeat. A *site* is an anchor with its context: the bytes of all
-strings of ``size`` bytes that hold the anchor's k-gram.
+180 bytes, without losing any repeat. All window starts that share an anchor are one *site*: the
+anchor, the first and the last start, and a hash of the bytes that its windows span.
 
-1. Sites with equal contexts repeat as a whole: every string of theirs occurs again.
+1. Sites with equal hashes repeat as a whole: every string of theirs occurs again.
 2. Sites that share an anchor's k-gram but not all bytes are compared exactly. Spark deals their
    bytes out by k-gram and sorts them by the suffix from the anchor, which is an enhanced suffix
    array; a stack scan over its common prefixes visits the intervals of the tree. In each interval
@@ -15,9 +15,11 @@ strings of ``size`` bytes that hold the anchor's k-gram.
    themselves: first by the bytes that 32 neighbouring strings have in common, then by string.
    These are the leaves of the same tree; counting them combines on the map side.
 
-The same repeats serve two sizes: strings of ``size`` bytes are removed; strings of ``passage``
-bytes, which is what some 45 words take, make passages, and runs of them that hold more than
-``passage_words`` words are counted.
+Several sizes are looked for in one run: a site carries its size, and k-gram hashes of one size
+never equal those of another, so texts are shuffled once for all. A document is known by one hash
+of its id and text. A shorter size than SIZE finds
+passages: PASSAGE bytes are what some 45 words take, and a run of such strings that holds more than
+PASSAGE_WORDS words is counted as a passage.
 
 Defined cases: null text is empty; texts shorter than ``size`` keep all bytes; repeated rows are
 copies of each other, so all their strings repeat; repeated doc_ids are told apart by their text;
@@ -46,8 +48,7 @@ MOST_SITES = 256
 #: Neighbouring window starts that are split off together.
 STRIDE = 32
 SLICE = 1 << 19
-SITE = "key long, gram long, bytes_hash long, site long"
-SPAN = "key long, size int, span long"
+SITE = "key long, size int, gram long, bytes_hash long, site long"
 
 _values = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _factors = [np.uint64(x | 1) for x in np.random.default_rng(6).integers(1, 1 << 63, 8, dtype=np.uint64).tolist()]
@@ -72,8 +73,8 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - done)], x[width - done :]) if width > done else x
 
 
-def _anchors(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(row, anchor, k-gram hash) of slices of data; anchors are positions in data."""
+def _sites(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row, first start, last start, anchor, k-gram hash), positions in data, of slices of it."""
     lengths = np.diff(offsets)
     row = 0
     while row < len(lengths):
@@ -84,44 +85,48 @@ def _anchors(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[tuple
         while last + 1 < len(lengths) and offsets[last + 2] - offsets[row] <= SLICE:
             last += 1
         begin, end = int(offsets[row]), int(offsets[last + 1])
-        before = -1  # a slice may begin with the anchor that the one before ended with
         for at in range(begin, end - size + 1, SLICE):
             stop = min(end, at + SLICE + size - 1)
             grams = _grams(data[at:stop])
             keys = (grams & ~_POSITION) | np.arange(len(grams), dtype=np.uint64)
             anchors = (_sliding_min(keys, size - GRAM + 1) & _POSITION).astype(np.int64)
-            owner = np.full(len(anchors), -1, np.int32)
+            valid = np.zeros(len(anchors), bool)
+            owner = np.zeros(len(anchors), np.int32)
             for r in range(row, last + 1):
                 a, b = max(int(offsets[r]) - at, 0), min(int(offsets[r + 1]) - size + 1 - at, len(anchors))
                 if a < b:
+                    valid[a:b] = True
                     owner[a:b] = r
-            starts = np.flatnonzero(owner >= 0)
-            new = np.ones(len(starts), bool)
-            new[1:] = (np.diff(anchors[starts]) != 0) | (np.diff(owner[starts]) != 0)
+            starts = np.flatnonzero(valid)
             if len(starts):
-                new[0] = anchors[starts[0]] + at != before
-                before = int(anchors[starts[-1]]) + at
-            first = starts[new]
-            if len(first):
-                yield owner[first], anchors[first] + at, grams[anchors[first]]
+                new = np.ones(len(starts), bool)
+                new[1:] = (np.diff(anchors[starts]) != 0) | (np.diff(starts) != 1) | (np.diff(owner[starts]) != 0)
+                first = starts[new]
+                final = starts[np.append(np.flatnonzero(new)[1:] - 1, len(starts) - 1)]
+                yield owner[first], first + at, final + at, anchors[first] + at, grams[anchors[first]]
         row = last + 1
 
 
-def sites(docs: DataFrame, size: int, least: int) -> DataFrame:
-    """SITE rows of documents (key, text): the anchors of strings of ``least`` bytes, each with the
-    context of ``size``: site holds the anchor, and the bytes left of it and from it, in one long."""
+def _pack(start, more, anchor):
+    """first start, last start and anchor of a site, relative to its text, in one long."""
+    return (start << 20) | (more << 10) | anchor
+
+
+def sites(docs: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
+    """SITE rows of documents (key, text)."""
 
     def rows(batches):
         for batch in batches:
             data, offsets = bytewords.column_bytes(batch.column("text"))
             view = memoryview(data)
-            for owner, anchor, gram in _anchors(data, offsets, least):
-                left = np.minimum(anchor - offsets[owner], size - GRAM)
-                right = np.minimum(offsets[owner + 1] - anchor, size)
-                spans = zip((anchor - left).tolist(), (anchor + right).tolist(), left.tolist(), strict=True)
-                hashes = np.array([xxhash.xxh3_64_intdigest(view[a:b], seed=x) for a, b, x in spans], np.uint64)
-                packed = ((anchor - offsets[owner]) << 20) | (left << 10) | right
-                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(owner)), pa.array(gram.view(np.int64)), pa.array(hashes.view(np.int64)), pa.array(packed)], names=["key", "gram", "bytes_hash", "site"])
+            for size in sizes:
+                for owner, first, final, anchor, gram in _sites(data, offsets, size):
+                    spans = zip(first.tolist(), (final + size).tolist(), strict=True)
+                    hashes = np.array([xxhash.xxh3_64_intdigest(view[a:b]) for a, b in spans], np.uint64)
+                    at = pa.array(owner)
+                    packed = _pack(first - offsets[owner], final - first, anchor - first)
+                    own = bytewords.mix(gram + np.uint64(size))
+                    yield pa.RecordBatch.from_arrays([batch.column("key").take(at), pa.array(np.full(len(own), size, np.int32)), pa.array(own.view(np.int64)), pa.array(hashes.view(np.int64)), pa.array(packed)], names=["key", "size", "gram", "bytes_hash", "site"])
 
     return docs.mapInArrow(rows, SITE)
 
@@ -182,34 +187,36 @@ def _diverse(rights, lefts, height: int, first: int, last: int, children: list[t
             stack.append((depth, begin))
 
 
-def _scan(batches, sizes: tuple[int, ...]):
-    """Rows sorted by gram and suffix -> SPAN of sites that are alone in their bytes."""
+def _scan(batches):
+    """Rows sorted by gram and suffix -> (key, size, span) of sites that are alone in their bytes."""
 
     def result(out):
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["key", "size", "span"])
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["key", "size", "span"])
 
     def group(rows):
         if len(rows) < 2:
             return
-        reach: dict[tuple[int, int], list[int]] = {}
-        for left, right, members in maximal_repeats([r[2] for r in rows], [r[3] for r in rows], min(sizes)):
-            for size in sizes:
-                for m in members if left + right >= size else ():
-                    most = reach.setdefault((m, size), [0, 0])
-                    most[0], most[1] = max(most[0], left), max(most[1], right)
-        for (m, size), (left, right) in reach.items():
-            key, site, _, _, n = rows[m]
+        size = rows[0][5]
+        reach: dict[int, list[int]] = {}
+        for left, right, members in maximal_repeats([r[2] for r in rows], [r[3] for r in rows], size):
+            for m in members:
+                most = reach.setdefault(m, [0, 0])
+                most[0], most[1] = max(most[0], left), max(most[1], right)
+        for m, (left, right) in reach.items():
+            key, site, _, _, n, _ = rows[m]
             if n == 1:
-                yield key, size, (((site >> 20) - left) << 11) | (left + right)
+                anchor = (site >> 20) + (site & 1023)
+                yield key, size, ((anchor - left) << 11) | (left + right)
 
     gram, rows, out = None, [], []
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("gram", "key", "site", "suffix", "prefix", "n")]
-        for g, key, site, suffix, prefix, n in zip(*columns, strict=True):
+        grams = batch.column("gram").to_pylist()
+        columns = [batch.column(c).to_pylist() for c in ("key", "site", "suffix", "prefix", "n", "size")]
+        for g, key, site, suffix, prefix, n, size in zip(grams, *columns, strict=True):
             if g != gram:
                 out += group(rows)
                 gram, rows = g, []
-            rows.append((key, site, suffix, prefix[::-1], n))
+            rows.append((key, site, suffix, prefix[::-1], n, size))
         if out:
             yield result(out)
             out = []
@@ -218,8 +225,8 @@ def _scan(batches, sizes: tuple[int, ...]):
         yield result(out)
 
 
-def _leaves(contexts: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
-    """(core, window, n, key, size, start): every string of the contexts that holds the k-gram, as a leaf.
+def _leaves(contexts: DataFrame) -> DataFrame:
+    """(core, window, n, key, size, start): every string of the contexts, as a leaf.
 
     Neighbouring strings travel in one row until the bytes that they share are known to occur
     in another context as well."""
@@ -227,24 +234,22 @@ def _leaves(contexts: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
     def rows(batches):
         for batch in batches:
             out = []
-            for key, site, text, n in zip(*(batch.column(c).to_pylist() for c in ("key", "site", "bytes", "n")), strict=True):
-                at = (site >> 10) & 1023  # of the anchor in the context
-                for size in sizes:
-                    low, high = max(0, at + GRAM - size), min(at, len(text) - size)
-                    # strides are counted from the anchor, so that they agree in all sites of the gram
-                    for k in range((at - high) // STRIDE, (at - low) // STRIDE + 1):
-                        a, b = max(low, at - (k + 1) * STRIDE + 1), min(high, at - k * STRIDE) + 1
-                        if a < b:
-                            core = text[at - k * STRIDE : at - (k + 1) * STRIDE + 1 + size]
-                            core_hash = xxhash.xxh3_64_intdigest(core, seed=(size << 16) | k)
-                            windows = [xxhash.xxh3_64_intdigest(text[p : p + size]) for p in range(a, b)]
-                            out.append((key, (site >> 20) - at + a, n, size, core_hash, windows))
+            for key, site, text, n, size in zip(*(batch.column(c).to_pylist() for c in ("key", "site", "bytes", "n", "size")), strict=True):
+                start, starts = site >> 20, len(text) - size + 1
+                # strides are counted from the anchor, so that they agree in all sites of the gram
+                anchor = site & 1023
+                for k in range((anchor - starts + 1) // STRIDE, anchor // STRIDE + 1):
+                    a, b = max(0, anchor - (k + 1) * STRIDE + 1), min(starts, anchor - k * STRIDE + 1)
+                    if a < b:
+                        core = text[anchor - k * STRIDE : anchor - (k + 1) * STRIDE + 1 + size]
+                        windows = [xxhash.xxh3_64_intdigest(text[p : p + size]) for p in range(a, b)]
+                        out.append((key, start + a, n, size, k, core, windows))
             if out:
-                lists = pa.array([np.array(r[-1], np.uint64).view(np.int64) for r in out], pa.list_(pa.int64()))
-                core = np.array([r[4] for r in out], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in out], pa.int64()) for i in range(4)), pa.array(core), lists], names=["key", "start", "n", "size", "core", "windows"])
+                core = [xxhash.xxh3_64_intdigest(c, seed=(size << 16) | (k & 0xFFFF)) for *_, size, k, c, _ in out]
+                lists = pa.array([np.array(w, np.uint64).view(np.int64) for *_, w in out], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in out], pa.int64()) for i in range(4)), pa.array(np.array(core, np.uint64).view(np.int64)), lists], names=["key", "start", "n", "size", "core", "windows"])
 
-    strides = contexts.select("key", "site", "bytes", "n").mapInArrow(rows, "key long, start long, n long, size long, core long, windows array<long>")
+    strides = contexts.select("key", "size", "site", "bytes", "n").mapInArrow(rows, "key long, start long, n long, size long, core long, windows array<long>")
     strides = materialize(strides, "strides")
     again = strides.groupBy("core").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("core")
     shared = strides.join(again, "core", "left_semi")
@@ -252,34 +257,33 @@ def _leaves(contexts: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
     return each.select("core", "window", "n", "key", "size", (F.col("start") + F.col("k")).alias("start"))
 
 
-def repeated_spans(docs: DataFrame, size: int = SIZE, passage: int | None = None) -> DataFrame:
-    """(key, size, span): bytes that strings of size bytes cover which start elsewhere, too, for
-    ``size`` and ``passage`` (which is no longer).
+def repeated_spans(docs: DataFrame, sizes: tuple[int, ...] = (SIZE,)) -> DataFrame:
+    """(key, size, span): bytes that strings of size bytes cover which start elsewhere, too.
 
     docs: key, text; span is the first byte * 2048 + the number of bytes. Spans overlap."""
-    sizes = (size,) if passage in (None, size) else (size, passage)
-    found = sites(docs, size, min(sizes))
-    same = found.groupBy("gram", "bytes_hash").agg(F.count(F.lit(1)).alias("n"), F.first("key").alias("key"), F.first("site").alias("site"))
+    found = sites(docs, sizes)  # read twice rather than written: it is as large as the texts
+    same = found.groupBy("gram", "bytes_hash").agg(F.count(F.lit(1)).alias("n"), F.first("key").alias("key"), F.first("site").alias("site"), F.first("size").alias("size"))
     same = materialize(same, "same")
-    anchor, left, right = F.expr("shiftright(site, 20)"), F.expr("shiftright(site, 10) & 1023"), F.expr("site & 1023")
-    copies = found.join(same.where("n > 1").select("gram", "bytes_hash"), ["gram", "bytes_hash"], "left_semi")
-    copies = copies.select("key", F.explode(F.array(*map(F.lit, sizes))).alias("size"), (F.shiftleft(anchor - left, 11) + left + right).alias("span"), (left + right).alias("n")).where("n >= size").drop("n")
+    start, more = F.expr("shiftright(site, 20)"), F.expr("shiftright(site, 10) & 1023")
+    span = (F.shiftleft(start, 11) + more + F.col("size")).alias("span")
+    copies = found.join(same.where("n > 1").select("gram", "bytes_hash"), ["gram", "bytes_hash"], "left_semi").select("key", F.col("size").cast("long").alias("size"), span)
 
     mixed = same.groupBy("gram").agg(F.count(F.lit(1)).alias("sites")).where("sites > 1")
-    needed = materialize(same.join(mixed, "gram"), "needed")
-    cut = F.substring(F.col("text").cast("binary"), (anchor - left).cast("int") + 1, (left + right).cast("int"))
-    contexts = needed.join(docs, "key").select("key", "gram", "site", "n", "sites", cut.alias("bytes"))
+    needed = same.join(mixed, "gram")
+    needed = materialize(needed, "needed")
+    cut = F.substring(F.col("text").cast("binary"), start.cast("int") + 1, (more + F.col("size")).cast("int"))
+    contexts = needed.join(docs, "key").select("key", "size", "gram", "site", "n", "sites", cut.alias("bytes"))
     contexts = materialize(contexts, "contexts")
 
-    few = contexts.where(f"sites <= {MOST_SITES}").select("gram", "key", "site", "n", F.substring("bytes", left.cast("int") + 1, F.length("bytes")).alias("suffix"), F.substring("bytes", F.lit(1), left.cast("int")).alias("prefix"))
-    spans = copies.unionByName(few.repartition("gram").sortWithinPartitions("gram", "suffix").mapInArrow(lambda it: _scan(it, sizes), SPAN))
+    few = contexts.where(f"sites <= {MOST_SITES}").select("gram", "key", "size", "site", "n", F.expr("substring(bytes, int(site & 1023) + 1)").alias("suffix"), F.expr("substring(bytes, 1, int(site & 1023))").alias("prefix"))
+    spans = copies.unionByName(few.repartition("gram").sortWithinPartitions("gram", "suffix").mapInArrow(_scan, "key long, size long, span long"))
 
     many = contexts.where(f"sites > {MOST_SITES}")
     if not many.isEmpty():
-        leaves = _leaves(many, sizes)
+        leaves = _leaves(many)
         counts = leaves.groupBy("core", "window").agg(F.sum("n").alias("times")).where("times > 1")
         alone = leaves.where("n = 1").join(counts, ["core", "window"], "left_semi")
-        spans = spans.unionByName(alone.select("key", F.col("size").cast("int").alias("size"), (F.shiftleft("start", 11) + F.col("size")).alias("span")))
+        spans = spans.unionByName(alone.select("key", "size", (F.shiftleft("start", 11) + F.col("size")).alias("span")))
     return spans
 
 
@@ -301,9 +305,9 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, with_text: bool = False, p
     not removed), and, with_text, kept (the bytes left)."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.withColumn("key", F.xxhash64("doc_id", "text"))
-    found = repeated_spans(texts.select("key", "text"), size, min(passage, size))
+    found = repeated_spans(texts.select("key", "text"), tuple(sorted({size, passage})))
     own = lambda n: F.collect_set(F.when(F.col("size") == n, F.col("span")))
-    spans = found.groupBy("key").agg(own(size).alias("spans"), own(min(passage, size)).alias("passages"))
+    spans = found.groupBy("key").agg(own(size).alias("spans"), own(passage).alias("passages"))
 
     def cut(batches):
         for batch in batches:
