@@ -42,9 +42,9 @@ BITS_PER_ENTRY = 8
 PROBES = 4
 #: Tokens in the broadcast table of exact counts.
 HEAD = 1 << 20
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: Text that is scored at once.
-PIECE = 1 << 20
+PIECE = 1 << 19
 BASE = 2.0
 END = np.uint64(0x5851F42D4C957F2D)
 WORD, PAIR = 0, 1
@@ -85,11 +85,12 @@ def _merge(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def count_ngrams(training: DataFrame, bits: int) -> DataFrame:
-    """PACKED rows, one per shard and kind, of the n-grams of the training texts."""
+    """PACKED rows, one per shard and kind, of the n-grams of the training texts; of pairs, counts
+    holds the levels."""
 
     def partial(batches):
         for whole in batches:
-            for batch in bytewords.rows_of(whole, 4 << 20):
+            for batch in bytewords.rows_of(whole, 2 << 20):
                 out, before, _ = tokens(batch.column("text"))
                 rows = []
                 for kind, grams in ((WORD, out), (PAIR, bytewords.chain(before, out))):
@@ -97,7 +98,7 @@ def count_ngrams(training: DataFrame, bits: int) -> DataFrame:
                     shards = (keys >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
                     cuts = np.append(np.flatnonzero(np.append(True, shards[1:] != shards[:-1])), len(keys))
                     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                        rows.append((int(shards[a]), kind, pack(keys[a:b]), counts[a:b].astype(np.int64).tobytes()))
+                        rows.append((int(shards[a]), kind, pack(keys[a:b]), counts[a:b].astype(np.uint32).tobytes()))
                 yield _packed(rows)
 
     def total(table: pa.Table) -> pa.Table:
@@ -108,9 +109,9 @@ def count_ngrams(training: DataFrame, bits: int) -> DataFrame:
                 keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
                 for part in own.to_batches(max_chunksize=64):  # added up in steps, to hold little at a time
                     more = [unpack(x) for x in part.column("keys").to_pylist()]
-                    times = [np.frombuffer(x, np.int64) for x in part.column("counts").to_pylist()]
+                    times = [np.frombuffer(x, np.uint32).astype(np.int64) for x in part.column("counts").to_pylist()]
                     keys, counts = _merge(np.concatenate([keys, *more]), np.concatenate([counts, *times]))
-                rows.append((table.column("shard")[0].as_py(), kind, pack(keys), counts.tobytes()))
+                rows.append((table.column("shard")[0].as_py(), kind, pack(keys), (counts if kind == WORD else levels(counts)).tobytes()))
         return pa.Table.from_batches([_packed(rows)])
 
     return training.select("text").mapInArrow(partial, PACKED).groupBy("shard").applyInArrow(total, PACKED)
@@ -122,7 +123,12 @@ def _packed(rows) -> pa.RecordBatch:
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
-    return (1 + np.floor(np.log(np.maximum(counts, 1)) / np.log(BASE) + 1e-9)).astype(np.int64)
+    return (1 + np.floor(np.log(np.maximum(counts, 1)) / np.log(BASE) + 1e-9)).astype(np.uint8)
+
+
+def levels_of(kind: int, counts: bytes) -> np.ndarray:
+    """The levels in a row of counted n-grams."""
+    return levels(np.frombuffer(counts, np.int64)) if kind == WORD else np.frombuffer(counts, np.uint8)
 
 
 #: The count that stands for each level: the middle of the whole numbers in it.
@@ -148,8 +154,8 @@ class LevelFilter:
         at = (low * U64(8 * self.width)) >> U64(32)
         return at + (keys >> U64(64 - self.shard_bits)) * U64(8 * self.width) if self.shard_bits else at
 
-    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        most = levels(counts)
+    def add(self, keys: np.ndarray, most: np.ndarray) -> None:
+        """Enters keys at all levels up to their highest."""
         for level in range(1, int(most.max(initial=0)) + 1):
             own = keys[most >= level]
             h = bytewords.mix(own + _LEVEL_KEYS[level])
@@ -174,14 +180,14 @@ class LevelFilter:
 
 
 def _histogram(counted: DataFrame) -> DataFrame:
-    """(kind, level, n, least, total): n-grams by level."""
+    """(kind, level, n, least, total): n-grams by level; total: of words, their occurrences."""
 
     def rows(batches):
         for batch in batches:
             for kind, counts in zip(batch.column("kind").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                c = np.frombuffer(counts, np.int64)
-                own, at = np.unique(levels(c), return_inverse=True)
-                total = np.bincount(at, c, len(own)).astype(np.int64)
+                own, at = np.unique(levels_of(kind, counts), return_inverse=True)
+                own = own.astype(np.int64)
+                total = np.bincount(at, np.frombuffer(counts, np.int64) if kind == WORD else None, len(own)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([kind] * len(own), pa.int32()), pa.array(own), pa.array(np.bincount(at, minlength=len(own)).astype(np.int64)), pa.array(np.ceil(BASE ** (own - 1) - 1e-9).astype(np.int64)), pa.array(total)], names=["kind", "level", "n", "least", "total"])
 
     each = counted.mapInArrow(rows, "kind int, level long, n long, least long, total long")
@@ -199,7 +205,7 @@ def _segments(counted: DataFrame, widths: dict[int, int]) -> DataFrame:
         for batch in batches:
             for shard, kind, keys, counts in zip(*(batch.column(c).to_pylist() for c in ("shard", "kind", "keys", "counts")), strict=True):
                 part = LevelFilter(np.zeros((1, widths[kind]), np.uint8), 0)
-                part.add(unpack(keys), np.frombuffer(counts, np.int64))
+                part.add(unpack(keys), levels_of(kind, counts))
                 yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([shard], pa.int32()), pa.array([part.data.tobytes()], pa.binary())], names=["kind", "shard", "bits"])
 
     return counted.mapInArrow(rows, "kind int, shard int, bits binary")
