@@ -226,10 +226,12 @@ def _scan(batches):
 
 
 def _leaves(contexts: DataFrame) -> DataFrame:
-    """(core, window, n, key, size, start): every string of the contexts, as a leaf.
+    """(key, size, span) of the strings of contexts alone in their bytes that occur in others, too.
 
-    Neighbouring strings travel in one row until the bytes that they share are known to occur
-    in another context as well."""
+    Every string of a context is a leaf. STRIDE neighbouring strings travel in one row, with hashes
+    of the bytes that all of them share (core) and that they span together (whole). Wholes that
+    occur twice need no look at their strings; of others, one row for each whole is taken apart,
+    where its core occurs in another whole."""
 
     def rows(batches):
         for batch in batches:
@@ -243,18 +245,24 @@ def _leaves(contexts: DataFrame) -> DataFrame:
                     if a < b:
                         core = text[anchor - k * STRIDE : anchor - (k + 1) * STRIDE + 1 + size]
                         windows = [xxhash.xxh3_64_intdigest(text[p : p + size]) for p in range(a, b)]
-                        out.append((key, start + a, n, size, k, core, windows))
+                        whole = xxhash.xxh3_64_intdigest(text[a : b - 1 + size])
+                        out.append((key, start + a, n, size, whole, k, core, windows))
             if out:
-                core = [xxhash.xxh3_64_intdigest(c, seed=(size << 16) | (k & 0xFFFF)) for *_, size, k, c, _ in out]
+                core = [xxhash.xxh3_64_intdigest(c, seed=(size << 16) | (k & 0xFFFF)) for _, _, _, size, _, k, c, _ in out]
                 lists = pa.array([np.array(w, np.uint64).view(np.int64) for *_, w in out], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in out], pa.int64()) for i in range(4)), pa.array(np.array(core, np.uint64).view(np.int64)), lists], names=["key", "start", "n", "size", "core", "windows"])
+                yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in out], pa.int64()) for i in range(4)), pa.array(np.array([r[4] for r in out], np.uint64).view(np.int64)), pa.array(np.array(core, np.uint64).view(np.int64)), lists], names=["key", "start", "n", "size", "whole", "core", "windows"])
 
-    strides = contexts.select("key", "size", "site", "bytes", "n").mapInArrow(rows, "key long, start long, n long, size long, core long, windows array<long>")
+    strides = contexts.select("key", "size", "site", "bytes", "n").mapInArrow(rows, "key long, start long, n long, size long, whole long, core long, windows array<long>")
     strides = materialize(strides, "strides")
-    again = strides.groupBy("core").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("core")
-    shared = strides.join(again, "core", "left_semi")
-    each = shared.select("core", "n", "key", "size", "start", F.posexplode("windows").alias("k", "window"))
-    return each.select("core", "window", "n", "key", "size", (F.col("start") + F.col("k")).alias("start"))
+    whole = strides.groupBy("core", "whole").agg(F.sum("n").alias("times"), F.first("key").alias("key"), F.first("start").alias("start"), F.first("size").alias("size"), F.first("windows").alias("windows"))
+    whole = materialize(whole, "wholes")
+    several = strides.where("n = 1").join(whole.where("times > 1").select("core", "whole"), ["core", "whole"], "left_semi")
+    several = several.select("key", "size", (F.shiftleft("start", 11) + F.col("size") + F.size("windows") - 1).alias("span"))
+    open_cores = whole.groupBy("core").agg(F.count(F.lit(1)).alias("wholes")).where("wholes > 1").select("core")
+    each = whole.join(open_cores, "core", "left_semi").select("core", "times", "key", "size", "start", F.posexplode("windows").alias("k", "window"))
+    counts = each.groupBy("core", "window").agg(F.sum("times").alias("all")).where("all > 1")
+    alone = each.where("times = 1").join(counts, ["core", "window"], "left_semi")
+    return several.unionByName(alone.select("key", "size", (F.shiftleft(F.col("start") + F.col("k"), 11) + F.col("size")).alias("span")))
 
 
 def repeated_spans(docs: DataFrame, sizes: tuple[int, ...] = (SIZE,)) -> DataFrame:
@@ -280,10 +288,7 @@ def repeated_spans(docs: DataFrame, sizes: tuple[int, ...] = (SIZE,)) -> DataFra
 
     many = contexts.where(f"sites > {MOST_SITES}")
     if not many.isEmpty():
-        leaves = _leaves(many)
-        counts = leaves.groupBy("core", "window").agg(F.sum("n").alias("times")).where("times > 1")
-        alone = leaves.where("n = 1").join(counts, ["core", "window"], "left_semi")
-        spans = spans.unionByName(alone.select("key", "size", (F.shiftleft("start", 11) + F.col("size")).alias("span")))
+        spans = spans.unionByName(_leaves(many))
     return spans
 
 
