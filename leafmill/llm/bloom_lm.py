@@ -38,13 +38,13 @@ from leafmill.tables import materialize
 WEIGHTS = np.array([0.02, 0.1, 0.25, 0.5, 0.75])
 #: Of a filter that is broadcast.
 FILTER_BYTES = 128 << 20
-BITS_PER_ENTRY = 8
+BITS_PER_ENTRY = 7
 PROBES = 4
 #: Tokens in the broadcast table of exact counts.
-HEAD = 1 << 20
+HEAD = 1 << 19
 SHARD_BYTES = 4 << 20
 #: Text that is scored at once.
-PIECE = 1 << 19
+PIECE = 1 << 18
 BASE = 2.0
 END = np.uint64(0x5851F42D4C957F2D)
 WORD, PAIR = 0, 1
