@@ -18,7 +18,7 @@ anchor, the first and the last start, and a hash of the bytes that its windows s
 Several sizes are looked for in one run: a site carries its size, and k-gram hashes of one size
 never equal those of another, so texts are shuffled once for all. A document is known by one hash
 of its id and text. A shorter size than SIZE finds
-passages: PASSAGE bytes are what some 45 words take, and a run of such strings that holds more than
+passages: PASSAGE bytes are what some 50 words take, and a run of such strings that holds more than
 PASSAGE_WORDS words is counted as a passage.
 
 Defined cases: null text is empty; texts shorter than ``size`` keep all bytes; repeated rows are
@@ -41,10 +41,10 @@ from leafmill.llm import bytewords
 from leafmill.tables import materialize
 
 SIZE = 400
-PASSAGE, PASSAGE_WORDS = 280, 50
+PASSAGE, PASSAGE_WORDS = 300, 50
 GRAM = 48
 #: Different sites of one k-gram that are compared in one task; k-grams with more are split.
-MOST_SITES = 256
+MOST_SITES = 1024
 #: Neighbouring window starts that are split off together.
 STRIDE = 32
 SLICE = 1 << 19

@@ -19,7 +19,7 @@ def repeated(texts, size):
         yield gone
 
 
-def brute(rows, size, passage=280, words=50):
+def brute(rows, size, passage=300, words=50):
     texts = [(i, (t or "").encode()) for i, t in rows]
     out = []
     for (i, t), gone, shared in zip(texts, repeated(texts, size), repeated(texts, passage), strict=True):
@@ -85,7 +85,7 @@ def test_maximal_repeats_lists_all_occurrences():
 def test_passages_shorter_than_the_removed_strings(spark):
     r = random.Random(3)
     prose = lambda n: " ".join("".join(r.choice("abcde") for _ in range(5)) for _ in range(n))
-    passage, shorter = prose(56), prose(48)  # 335 and 287 bytes
+    passage, shorter = prose(56), prose(50)  # 335 and 299 bytes
     rows = [(k, prose(80)) for k in range(20)]
     rows += [(100 + k, " ".join([prose(30), passage, prose(30)])) for k in range(3)]
     rows += [(200 + k, " ".join([prose(30), shorter, prose(30)])) for k in range(3)]
