@@ -12,7 +12,7 @@ anchor, the first and the last start, and a hash of the bytes that its windows s
    members are ordered by what stands left of the anchor; members whose left extensions differ
    and which come from different child intervals form a maximal repeat, with all occurrences.
 3. A k-gram with more different sites than one task should hold is split by the strings
-   themselves: first by the bytes that 32 neighbouring strings have in common, then by string.
+   themselves: first by the bytes that 16 neighbouring strings have in common, then by string.
    These are the leaves of the same tree; counting them combines on the map side.
 
 Several sizes are looked for in one run: a site carries its size, and k-gram hashes of one size
@@ -46,7 +46,7 @@ GRAM = 48
 #: Different sites of one k-gram that are compared in one task; k-grams with more are split.
 MOST_SITES = 1024
 #: Neighbouring window starts that are split off together.
-STRIDE = 32
+STRIDE = 16
 SLICE = 1 << 19
 SITE = "key long, size int, gram long, bytes_hash long, site long"
 
