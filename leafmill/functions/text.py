@@ -35,9 +35,9 @@ SECTION_LABELS = [r"[下上]一?页", r"[下上]一?頁", r"第[0-9]+页", r"\([
 CHAPTER_LABELS = [r"[下上]一?章", r"[下上]一?[节節]", r"第.+[章节節]"]
 SITE_WORDS = ["起点中文网", "起点中文網", "顶点小说", "頂點小說", "笔趣阁", "筆趣閣", "小说网", "小說網", "小说阅读网", "小說閱讀網", "小说阅读", "小說閱讀", "阅读网", "閱讀網", "书吧", "書吧", "69书吧", "69書吧"]
 GENERIC_BOOK = r"(?i)^(首页|主页|home|index|返回|返回目录|目录|章节目录|章節目錄|章节列表|章節列表|章节|章節|最新章节|最新章節|正文|内容|內容|简介|簡介|作品信息|书籍信息|書籍信息|小说|小說|阅读|閱讀|catalog|toc|contents?)$"
-#: Confirmed glyph substitutions, and what was meant.
+# Confirmed glyph substitutions, and what was meant.
 GLYPHS = {"伱": "你"}
-#: Advertisement patterns, in order; the subset that both Java and RE2 understand.
+# Advertisement patterns, in order.
 ADS = [
     r"(?i)[（(]本章未完[，,]?请?点击下一页继续阅读[）)]",
     r"(?i)本章未完[，,]?请?点击下一页继续.*",
@@ -50,6 +50,7 @@ ADS = [
     r"(?m)^\s*[）)]",
     r"手机用户请到.*阅读",
     r"请记住本书.*网址",
+    r"【[^】\r\n]{1,120}】(小说|小說)(免费|免費)(阅读|閱讀)[，,][ \t\x{3000}]*(请|請)收藏[ \t\x{3000}]*[^【】\r\n]{1,32}【1qxs\.com】",
     r"([请請]?[记記]住首[发發][网網]站(域名)?|[请請][记記]住[网網]址)[^<\n]*",
     r"百度搜索.*最新章节",
     r"一秒记住.*为您提供",
@@ -59,16 +60,24 @@ ADS = [
     r"添加書籤\s*返回目錄\s*章節報錯\s*分享給朋友[:：]?\s*",
     r"由於[緩缓存]原因[^<\n]{0,120}(更新|網站|网站|站)",
     r"[请請][用戶用户]直接[瀏覽浏览]器[訪访]問[^<\n]{0,120}",
+    r"(阅[|｜\s]*读[|｜\s]*模[|｜\s]*式|畅[|｜\s]*读[|｜\s]*模[|｜\s]*式)[^<\n]{0,60}无[|｜\s]*法[|｜\s]*显[|｜\s]*示[|｜\s]*本[|｜\s]*章[|｜\s]*节[|｜\s]*全[|｜\s]*部[|｜\s]*内[|｜\s]*容[^<\n]{0,120}",
     r"请[|｜\s]*返[|｜\s]*回[|｜\s]*原[|｜\s]*网[|｜\s]*页[|｜\s]*阅[|｜\s]*读",
     r"加[|｜\s]*载[|｜\s]*更[|｜\s]*多",
+    r"小[^\x{4e00}-\x{9fff}]{0,3}说[^\x{4e00}-\x{9fff}]{0,3}网[^\x{4e00}-\x{9fff}]{0,6}最[^\x{4e00}-\x{9fff}]{0,3}新[^\x{4e00}-\x{9fff}]{0,3}章[^\x{4e00}-\x{9fff}]{0,3}节[^\x{4e00}-\x{9fff}]{0,6}更[^\x{4e00}-\x{9fff}]{0,3}新[^\x{4e00}-\x{9fff}]{0,3}快",
+    r"最[^\x{4e00}-\x{9fff}]{0,3}新[^\x{4e00}-\x{9fff}]{0,3}章[^\x{4e00}-\x{9fff}]{0,3}节[^\x{4e00}-\x{9fff}]{0,6}更[^\x{4e00}-\x{9fff}]{0,3}新[^\x{4e00}-\x{9fff}]{0,3}快",
+    r"幻[^\x{4e00}-\x{9fff}]{0,3}想[^\x{4e00}-\x{9fff}]{0,3}姬[^\x{4e00}-\x{9fff}]{0,6}免[^\x{4e00}-\x{9fff}]{0,3}费[^\x{4e00}-\x{9fff}]{0,3}(阅|讀)[^\x{4e00}-\x{9fff}]{0,3}(读|讀)",
+    r"萝[^\x{4e00}-\x{9fff}]{0,3}拉[^\x{4e00}-\x{9fff}]{0,3}小[^\x{4e00}-\x{9fff}]{0,3}说[^\x{4e00}-\x{9fff}]{0,3}[0-9]{1,3}[^\x{4e00}-\x{9fff}]{0,3}最[^\x{4e00}-\x{9fff}]{0,3}新[^\x{4e00}-\x{9fff}]{0,3}章[^\x{4e00}-\x{9fff}]{0,3}节[^\x{4e00}-\x{9fff}]{0,6}更[^\x{4e00}-\x{9fff}]{0,3}新[^\x{4e00}-\x{9fff}]{0,3}快",
+    r"(?i)(天天看小说|天天看小說)[^<\n]*ttks\.tw",
     r"⚡?\s*天天看[小小說]{2}[^<\n]*",
     r"(?i)https?://[^\s<>\"]+",
     r"(?i)www\.[a-z0-9]+\.(com|net|org|cc)",
 ]
-#: Characters that only one script uses.
+#: What any of ADS holds: brackets, a Han character, or the begin of an address.
+AD_HINT = r"[()（）\x{4E00}-\x{9FFF}]|(?i:https?://|www\.)"
+# Characters that only one script uses.
 MARKERS = {"hans": "这为来时们个过还说对", "hant": "這為來時們個過還說對", "jpan": "のはをがにでとたし"}
 SCRIPT_SAMPLE = 12000
-#: Japanese and traditional variants with one simplified form.
+# Japanese and traditional variants with one simplified form, and words that keep 著.
 VARIANTS = {"気": "气", "対": "对", "悪": "恶", "帰": "归", "戦": "战", "発": "发", "読": "读", "図": "图", "関": "关", "経": "经"}
 KEPT_ZHU = ["著名", "著作", "著者", "著称", "显著", "名著", "原著", "编著", "专著", "论著", "土著", "巨著", "译著", "昭著", "卓著", "遗著"]
 
@@ -174,9 +183,9 @@ def repair_glyphs(text: Column, glyphs: dict[str, str] = GLYPHS) -> Column:
     return F.translate(text, "".join(glyphs), "".join(glyphs.values()))
 
 
-def remove_ads(text: Column, patterns: list[str] = ADS) -> Column:
-    """F11"""
-    return _chain(text, patterns)
+def remove_ads(text: Column, patterns: list[str] = ADS, hint: str | None = AD_HINT) -> Column:
+    """F11. Texts without a hint of any pattern are left as they are, unsearched."""
+    return F.when(F.rlike(text, F.lit(hint)), _chain(text, patterns)).otherwise(text) if hint else _chain(text, patterns)
 
 
 def normalize_ws(html: Column) -> Column:

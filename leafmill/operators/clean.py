@@ -61,13 +61,13 @@ def select_nodes(nodes: DataFrame, selectors: list[str]) -> DataFrame:
 def remove_subtrees(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """Nodes outside all roots (page_id, pos, end_pos).
 
-    Running counts of root starts less ends tell what is inside one: no join on ranges."""
-    starts = roots.select("page_id", "pos", F.lit(1).alias("d"))
-    ends = roots.select("page_id", (F.col("end_pos") + 1).alias("pos"), F.lit(-1).alias("d"))
-    deltas = starts.unionByName(ends).groupBy("page_id", "pos").agg(F.sum("d").alias("d"))
-    depth = F.sum(F.coalesce("d", F.lit(0))).over(Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    # an end may fall on a number that no node has only at the page's very end
-    return nodes.join(deltas, ["page_id", "pos"], "left").withColumn("inside", depth).where("inside = 0").drop("d", "inside")
+    A root reaches to its end_pos, and subtrees nest, so what stands behind the farthest end so far
+    is outside: a running maximum over document order. No join on ranges, and the end's own node
+    may have been removed before."""
+    ends = roots.groupBy("page_id", "pos").agg(F.max("end_pos").alias("root_end"))
+    farthest = F.max("root_end").over(Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    rows = nodes.join(ends, ["page_id", "pos"], "left").withColumn("root_end", farthest)
+    return rows.where("root_end is null or pos > root_end").drop("root_end")
 
 
 def remove_elements(nodes: DataFrame, selectors: list[str] = REMOVED) -> DataFrame:

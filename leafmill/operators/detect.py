@@ -79,12 +79,12 @@ def confidence_of(score: Column) -> Column:
 
 
 def detect_content(pages: DataFrame, profile: Profile = ZH, tags: tuple[str, ...] = ("article", "main", "section")) -> DataFrame:
-    """The best valid container of a page: page_id, tag, score, confidence, text_len, preview."""
+    """The best valid container of a page: page_id, tag, score, confidence, text_len, text (all of it), preview."""
     rows = reduce(DataFrame.unionByName, (container_features(pages, t).withColumn("ord", F.lit(k)) for k, t in enumerate(tags)))
     scored = rows.where(valid_content(profile)).withColumn("score", content_score(profile)).where("score >= 10")
     best = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("score"), "ord"))
     kept = scored.withColumn("k", best).where("k = 1")
-    return kept.select("page_id", "tag", "score", confidence_of(F.col("score")).alias("confidence"), "text_len", T.preview(F.col("text")).alias("preview"))
+    return kept.select("page_id", "tag", "score", confidence_of(F.col("score")).alias("confidence"), "text_len", "text", T.preview(F.col("text")).alias("preview"))
 
 
 def subtree_totals(nodes: DataFrame) -> DataFrame:

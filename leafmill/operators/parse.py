@@ -1,4 +1,4 @@
-"""Sections of pages, JSON titles, and the parse of pages by rule or detection (C3, C6, F24, J14, J-2 to J-7)."""
+"""Sections of pages, JSON titles, and the parse of pages by rule or detection (C3, C6, F24, J14, J-2, J-7)."""
 
 from __future__ import annotations
 
@@ -75,7 +75,7 @@ def parse_pages(pages: DataFrame, site_rules: list[dict], before: dict[str, Call
     """page_id, rule_id, method, title, content_text, confidence.
 
     A page with a rule is cut by the rule's content tag (rule, confidence 1); pages without one, or
-    where the cut gives nothing, go by detection. Pages without content are dropped; a missing
+    where the cut gives nothing, go by detection, with all of the text that it finds. Pages without content are dropped; a missing
     title is "Unknown Chapter". ``before`` maps rule ids to transforms of the rule's pages (J-2)."""
     matched = rules.match_rule(pages, site_rules)
     for rule_id, transform in (before or {}).items():
@@ -85,7 +85,7 @@ def parse_pages(pages: DataFrame, site_rules: list[dict], before: dict[str, Call
     parts = [detect.container_features(matched.where(F.col("rule_id") == i), t).where("text_len > 0").select("page_id", F.col("text").alias("content_text")) for i, t in tags.items()]
     ruled = reduce(DataFrame.unionByName, parts) if parts else None
     titles = detect.detect_title(pages).select("page_id", F.coalesce(F.nullif("title", F.lit("")), F.lit("Unknown Chapter")).alias("title"))
-    found = detect.detect_content(pages, profile).select("page_id", F.col("preview").alias("detected"), F.col("confidence").alias("found"))
+    found = detect.detect_content(pages, profile).select("page_id", F.col("text").alias("detected"), F.col("confidence").alias("found"))
     rows = matched.select("page_id", "rule_id").join(titles, "page_id").join(found, "page_id", "left")
     rows = rows.join(ruled, "page_id", "left") if ruled is not None else rows.withColumn("content_text", F.lit(None).cast("string"))
     by_rule = F.col("content_text").isNotNull()

@@ -132,7 +132,7 @@ select doc_id, cast(pos as int) as pos from l where not (regexp_matches({_COLLAP
 def paragraph_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J-9, J7, P18: lines as paragraphs, sources as hosts."""
     docs = table(spark, sf_dir, "documents")
-    lines = clean.lines_of(docs).join(docs.select("doc_id", F.col("source").alias("host")), "doc_id").withColumnRenamed("line", "text")
+    lines = docs.select("doc_id", F.col("source").alias("host"), F.posexplode(F.split("text", "\n")).alias("pos", "text"))
     return rules.filter_paragraphs(lines, rules.compile_filters(FILTERS)[0]).select("doc_id", "pos")
 
 

@@ -142,6 +142,35 @@ def test_selectors_and_cleaning(spark):
     assert pars == ["one", "two link", "three", "no"]
 
 
+def test_removal_keeps_what_follows(spark):
+    """The last node of a removed control may be gone already; paragraphs behind it stay."""
+    html = '<p>first</p><a>加入书签</a><div class="share">s</div><p>real content one</p><div class="ad"><p>x</p></div><p>real content two</p>'
+    nodes = nodes_of(spark, html)
+    assert clean.clean_content(nodes).first().content == "<p>first</p><p>real content one</p><p>real content two</p>"
+    outer = nodes.where("tag = 'div'").select("page_id", "pos", "end_pos")
+    assert [r.text for r in clean.remove_subtrees(nodes, outer).where("kind = 'text'").orderBy("pos").collect()] == ["first", "加入书签", "real content one", "real content two"]
+
+
+def test_parse_returns_all_of_the_content(spark):
+    from leafmill.operators import parse
+
+    body = "".join(f"<p>line {k} of a chapter that goes on</p>" for k in range(150))
+    pages = spark.createDataFrame([(1, "https://x.example.org/1", f"<html><body><article class='content'>{body}</article></body></html>")], "page_id long, url string, html string")
+    got = parse.parse_pages(pages, [], profile=detect.LATIN).first()
+    assert got.method == "detection"
+    assert got.content_text == "".join(f"line {k} of a chapter that goes on" for k in range(150))
+
+
+ADVERTS = ["小说网 最新章节 更新快", "最*新章节更新-快", "幻想姬 免费阅读", "天天看小说 x ttks.tw", "阅|读模式 a 无法显示本章节全部内容 b", "【书】小说免费阅读，请收藏 站【1qxs.com】", "(第2/3页)", "WWW.abc.com", "HTTPS://a.b/c"]
+
+
+@pytest.mark.parametrize("advert", ADVERTS)
+def test_adverts_go(spark, advert):
+    df = spark.createDataFrame([(f"one {advert}\ntwo",), ("plain text, no advert",)], "t string")
+    got = [r.x for r in df.select(T.remove_ads(F.col("t")).alias("x"), T.remove_ads(F.col("t"), hint=None).alias("y")).where("x = y").collect()]
+    assert [" ".join(x.split()) for x in got] == ["one two", "plain text, no advert"]
+
+
 def test_clean_text(spark):
     df = spark.createDataFrame([("伱好（本章未完，请点击下一页继续阅读）　再见 https://a.b/c",)], "t string")
     assert df.select(T.clean_text(F.col("t"))).first()[0] == "你好 再见"
