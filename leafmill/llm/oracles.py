@@ -9,17 +9,17 @@ SQL: dict[str, str] = {}
 
 def _terms(terms: list[str]) -> str:
     """One 0/1 per term that stands in t between characters other than letters and digits."""
-    return " + ".join(f"cast(regexp_matches(t, '(^|[^a-z0-9]){x}($|[^a-z0-9])') as int)" for x in terms)
+    return " + ".join(f"cast(regexp_matches(t, '(^|[^\\p{{L}}\\p{{N}}]){x}($|[^\\p{{L}}\\p{{N}}])') as int)" for x in terms)
 
 
 _CASES = sorted(url_terms.RULES, key=lambda r: -len(r[0] + r[1]))
 _FITS = [(f"(host = '{h}' or suffix(host, '.{h}')) and prefix(path, '{p}')", h + p, v) for h, p, v in _CASES]
 
 SQL["op3_url_filter"] = f"""
-with a as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
-b as (select page_id, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), '{url_terms.UPPER}', '{url_terms.UPPER.lower()}') as host,
+with a as (select page_id, regexp_replace(coalesce(url, ''), '(?s)^.*?://', '') as whole, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+b as (select page_id, whole, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), '{url_terms.UPPER}', '{url_terms.UPPER.lower()}') as host,
              regexp_extract(substr(coalesce(rest, ''), length(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1)) + 1), '^([^?#]*)', 1) as path from a),
-c as (select *, lower(host || path) as t from b),
+c as (select *, translate(coalesce(try(url_decode(whole)), whole), '{url_terms.UPPER}', '{url_terms.UPPER.lower()}') as t from b),
 d as (select *, {_terms(url_terms.STRICT)} as n_strict, {_terms(url_terms.SOFT)} as n_soft from c)
 select page_id, host, path,
        case {' '.join(f"when {f} then '{r}'" for f, r, _ in _FITS)} end as rule,

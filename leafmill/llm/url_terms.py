@@ -1,15 +1,19 @@
 """URL filters: rules by host and path, then a weighted vocabulary counted by Aho-Corasick.
 
 The most specific rule that fits decides. Where none fits, one automaton finds all terms of the
-vocabulary in host and path; a term counts only where no letter or digit stands on either side.
-One strict term blocks, as do two or more distinct soft terms.
-
-Defined cases: a null url, or one without ``://``, has an empty host and path, fits no rule and
-is allowed; repeated rows give repeated results; further columns stay out of the result.
+vocabulary in the whole url but its scheme: host, path, query and fragment, with percent escapes
+decoded. A term counts only where no letter or digit, of any script, stands on either side. One
+strict term blocks, as do two or more distinct soft terms.
+
+Defined cases: a null url, or one without ``://``, has an empty host and path and fits no rule; a
+null url is allowed, the other is searched from its start; escapes that are no hexadecimal number
+stay as they are, as do all escapes of a url that do not decode to UTF-8; only A-Z are lower-cased;
+repeated rows give repeated results; further columns stay out of the result.
 """
 
 from __future__ import annotations
 
+from urllib.parse import unquote_to_bytes
 
 import ahocorasick
 import pyarrow as pa
@@ -41,6 +45,16 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(host, UPPER, UPPER.lower()), path
 
 
+_LOWER = str.maketrans(UPPER, UPPER.lower())
+
+
+def _searched(rest: str) -> str:
+    try:
+        return unquote_to_bytes(rest).decode().translate(_LOWER)
+    except UnicodeDecodeError:
+        return rest.translate(_LOWER)
+
+
 def _count(automaton, text: str) -> tuple[int, int]:
     """(strict terms, distinct soft terms) with a boundary on both sides."""
     strict, soft = 0, set()
@@ -55,7 +69,7 @@ def _count(automaton, text: str) -> tuple[int, int]:
 
 
 def term_counts(urls: DataFrame, strict: list[str], soft: list[str]) -> DataFrame:
-    """urls (page_id, host, path, …) with n_strict and n_soft."""
+    """urls (…, rest: the url without its scheme) with n_strict and n_soft."""
     terms = [(t.lower(), True) for t in strict] + [(t.lower(), False) for t in soft if t not in strict]
 
     def count(batches):
@@ -66,7 +80,7 @@ def term_counts(urls: DataFrame, strict: list[str], soft: list[str]) -> DataFram
         for batch in batches:
             if not batch.num_rows:
                 continue
-            found = [_count(automaton, (h + p).lower()) for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)]
+            found = [_count(automaton, _searched(u)) for u in batch.column("rest").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.int32()), pa.array([x for _, x in found], pa.int32())], names=[*batch.schema.names, "n_strict", "n_soft"])
 
     from pyspark.sql.types import IntegerType, StructType
@@ -78,7 +92,8 @@ def term_counts(urls: DataFrame, strict: list[str], soft: list[str]) -> DataFram
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, strict: list[str] = STRICT, soft: list[str] = SOFT, min_soft: int = MIN_SOFT) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, n_strict, n_soft."""
     host, path = host_and_path(F.col("url"))
-    parts = pages.select("page_id", host.alias("host"), path.alias("path"))
+    rest = F.regexp_replace(F.coalesce("url", F.lit("")), r"(?s)^.*?://", "")
+    parts = pages.select("page_id", host.alias("host"), path.alias("path"), rest.alias("rest"))
     counted = term_counts(parts, strict, soft)
     rule = verdict = F.lit(None).cast("string")
     for h, p, v in sorted(rules, key=lambda r: len(r[0] + r[1])):  # a longer rule overrides

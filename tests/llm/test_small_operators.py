@@ -106,7 +106,18 @@ def test_urls(spark):
         "https://x.org/casinos/": (None, "allow"),
         "https://free-bets.org/a": (None, "block"),
         "https://free.org/free": (None, "allow"),
+        "https://x.org/casinoé": (None, "allow"),
+        "https://x.org/éporn": (None, "allow"),
+        "https://x.org/a?q=porn#x": (None, "block"),
+        "https://x.org/a?q=p%6Frn": (None, "block"),
+        "https://x.org/a%20casino%20b": (None, "block"),
+        "https://x.org/%E9%zz/casino": (None, "block"),
+        "https://x.org/%C3%A9casino": (None, "allow"),
+        "https://x.org/a?u=http://y.org/bonus#win": (None, "block"),
+        "https://x.org/" + "a/" * 200_000 + "casino": (None, "block"),
         "no url": (None, "allow"),
+        "casino": (None, "block"),
+        "casino://x.org/": (None, "allow"),
         "": (None, "allow"),
     }
     df = spark.createDataFrame([(k, u) for k, u in enumerate(rows)] + [(None, None), (3, None)], "page_id long, url string").selectExpr("*", "'z' as rule", "1 as host")
