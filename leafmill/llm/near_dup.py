@@ -7,7 +7,8 @@
    dropped; the rest are confirmed on the full sets.
 3. In buckets whose members still lie in several components, each member is first tried with one
    neighbour, whose signature agrees most. What is apart after that is compared member by member, in
-   blocks dealt over the cluster, on the full sets; only links that join two components come out.
+   blocks dealt over the cluster, on the full sets; members of the bucket's largest component meet
+   only members of the others, and only links that join two components come out.
 4. Components are found by alternating large-star and small-star.
 
 A pair at the threshold shares no bucket with probability (1 - 0.8^4)^32 = 5e-8.
@@ -160,17 +161,22 @@ def _open(members: DataFrame, found: DataFrame) -> DataFrame:
     three members or more that lie in two components or more."""
     placed = members.where("n > 2").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     placed = materialize(placed.select("bucket", "n", "center", "rep", "component"), "placed")
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    return placed.join(mixed, "bucket", "left_semi")
+    parts = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
+    mixed = parts.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    return placed.join(mixed.select("bucket", F.col("main.component").alias("main"), F.col("main.size").alias("main_size")), "bucket")
 
 
-def _dealt(members: DataFrame, *more: str) -> DataFrame:
-    """A bucket of n members as pairs (i, j) of blocks of about BLOCK members."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = dealt.select("bucket", "rep", "center", "component", "signature", *more, "block", other)
-    return dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "center", "component", "signature", *more)
+def _dealt(members: DataFrame) -> DataFrame:
+    """A bucket as pairs (i, j) of blocks of about BLOCK members: all pairs of the blocks outside its
+    largest component, and each of them with each block of that component."""
+    in_main = F.col("component") == F.col("main")
+    rest, main = F.ceil((F.col("n") - F.col("main_size")) / BLOCK).cast("int"), F.ceil(F.col("main_size") / BLOCK).cast("int")
+    dealt = members.withColumns({"rest_blocks": rest, "main_blocks": main})
+    own = F.pmod(F.xxhash64("rep"), F.when(in_main, F.col("main_blocks")).otherwise(F.col("rest_blocks"))).cast("int")
+    dealt = dealt.withColumn("block", F.when(in_main, F.col("rest_blocks") + own).otherwise(own))
+    others = F.col("rest_blocks") + F.when(in_main, 0).otherwise(F.col("main_blocks"))
+    dealt = dealt.select("bucket", "rep", "center", "component", "signature", "shingles", "block", F.explode(F.sequence(F.lit(0), others - 1)).alias("other"))
+    return dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "center", "component", "signature", "shingles")
 
 
 def _block_pair(table: pa.Table):
@@ -209,7 +215,9 @@ def _best_partners(members: DataFrame) -> DataFrame:
         return _pairs(found, ("a", "b"))
 
     largest = members.groupBy("rep", "component", "signature").agg(F.max(F.struct("n", "bucket", "center")).alias("x")).select("rep", "component", "signature", "x.*")
-    return _dealt(largest).where("i = j").groupBy("bucket", "i", "j").applyInArrow(best, "a long, b long").distinct()
+    block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK)).cast("int")
+    dealt = largest.withColumns({"block": block, "i": block, "j": block}).select("bucket", "i", "j", "block", "rep", "center", "component", "signature")
+    return dealt.groupBy("bucket", "i", "j").applyInArrow(best, "a long, b long").distinct()
 
 
 def _across(members: DataFrame, percent: int) -> DataFrame:
@@ -243,7 +251,7 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
                         found.append((int(reps[x]), int(reps[y])))
         return _pairs(found, ("u", "v"))
 
-    return _dealt(members, "shingles").groupBy("bucket", "i", "j").applyInArrow(join, "u long, v long").distinct()
+    return _dealt(members).groupBy("bucket", "i", "j").applyInArrow(join, "u long, v long").distinct()
 
 
 def _same_ids(known: DataFrame, classes: DataFrame) -> DataFrame:

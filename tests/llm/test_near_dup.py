@@ -76,7 +76,9 @@ def test_ids_with_several_texts_join_all_of_them(spark):
     assert sorted((x.doc_id, x.component_id, x.kept) for x in got) == [(0, 0, True), (0, 0, True), (1, 0, False), (2, 0, False), (3, 3, True)]
 
 
-def test_blocks_are_compared_even_without_best_partners(spark, monkeypatch):
+@pytest.mark.parametrize("block", [3, 512])
+def test_blocks_are_compared_even_without_best_partners(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dup, "BLOCK", block)
     monkeypatch.setattr(near_dup, "_best_partners", lambda members: spark.createDataFrame([], "a long, b long"))
     rows = corpus(3, 10, 80)
     got = near_dup.components_of(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()
