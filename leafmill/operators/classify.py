@@ -168,12 +168,16 @@ def valid_nav_link(url: Column, text: Column, purpose: Column, current: Column)
     return F.coalesce(U.is_http(url) & (~F.rlike(p, F.lit(NAV_INVALID)) | indexed) & ~same & ~short & ~trailing, F.lit(False))
 
 
+def hidden() -> Column:
+    """By attribute or inline style."""
+    return F.map_contains_key("attrs", "hidden") | F.rlike(F.coalesce(F.col("attrs")["style"], F.lit("")), F.lit(r"(?i)display\s*:\s*none|visibility\s*:\s*(hidden|collapse)"))
+
+
 def visible(nodes: DataFrame, ancestors: bool = True) -> DataFrame:
-    """Nodes that are not hidden by attribute or inline style, nor inside one that is."""
-    hidden = F.map_contains_key("attrs", "hidden") | F.rlike(F.coalesce(F.col("attrs")["style"], F.lit("")), F.lit(r"(?i)display\s*:\s*none|visibility\s*:\s*(hidden|collapse)"))
+    """Nodes that are not hidden, nor inside one that is."""
     if not ancestors:
-        return nodes.where(~hidden)
-    gone = nodes.where(hidden).select(F.col("page_id").alias("p"), F.col("pos").alias("a"), F.col("end_pos").alias("b"))
+        return nodes.where(~hidden())
+    gone = nodes.where(hidden()).select(F.col("page_id").alias("p"), F.col("pos").alias("a"), F.col("end_pos").alias("b"))
     return nodes.join(gone, (F.col("page_id") == F.col("p")) & F.col("pos").between(F.col("a"), F.col("b")), "left_anti")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import text as T
 from leafmill.functions import urls as U
 from leafmill.operators import classify
-from leafmill.sources.pages import attribute, decoded, page_links, page_metas, without_code
+from leafmill.sources.pages import attribute, decoded, html_nodes, page_links, page_metas, without_code
 
 # Names of content containers, in order of preference, and label families.
 KNOWN_IDS = "pagecontent contentbox bmsy_content bookpartinfo htmlContent text_area chapter_content chapterContent chaptercontent partbody BookContent read-content article_content article-content BookTextRead booktext book_text BookText BookTextt readtext readcon read TextContent txtContent text_c txt_td TXT txt zjneirong contentTxt oldtext a_content contents content2 contentts content1 content booktxt nr rtext articlecontent novelcontent text-content articlebody ChapterContents acontent chapterinfo read_content chapter-content readerFt partContent ChapterBody showcontent luf_news_contents tt_text J_BookRead zjny cont-body Lab_Contents auto-chapter readpage_leftntxt".split()
@@ -27,6 +27,7 @@ NAV_TEXTS = {
 }
 RELS = {"next": ["next"], "prev": ["prev", "previous"], "index": ["index", "contents", "up"]}
 SELECTOR_TAGS = ["h1"]
+CONTAINERS = ["div", "article", "section", "main", "td"]
 
 
 @dataclass(frozen=True)
@@ -78,19 +79,42 @@ def confidence_of(score: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score / 100))
 
 
-def detect_content(pages: DataFrame, profile: Profile = ZH, tags: tuple[str, ...] = ("article", "main", "section")) -> DataFrame:
-    """The best valid container of a page: page_id, tag, score, confidence, text_len, text (all of it), preview."""
-    rows = reduce(DataFrame.unionByName, (container_features(pages, t).withColumn("ord", F.lit(k)) for k, t in enumerate(tags)))
-    scored = rows.where(valid_content(profile)).withColumn("score", content_score(profile)).where("score >= 10")
-    best = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("score"), "ord"))
-    kept = scored.withColumn("k", best).where("k = 1")
-    return kept.select("page_id", "tag", "score", confidence_of(F.col("score")).alias("confidence"), "text_len", "text", T.preview(F.col("text")).alias("preview"))
+def _known_order() -> Column:
+    """The place of an element among the known containers; null for others."""
+    known = [("id", n) for n in KNOWN_IDS] + [("class", n) for n in KNOWN_CLASSES] + [("tag", n) for n in KNOWN_TAGS]
+    places = F.create_map(*(F.lit(x) for k, (by, n) in enumerate(known) for x in (f"{by}:{n}", k)))
+    at = lambda by, c: F.try_element_at(places, F.concat(F.lit(f"{by}:"), c))
+    return F.array_min(F.concat(F.array(at("id", F.col("id")), at("tag", F.col("tag"))), F.transform("classes", lambda c: at("class", c))))
+
+
+def detect_content(pages: DataFrame, profile: Profile = ZH) -> DataFrame:
+    """page_id, method, tag, score, confidence, text_len, text (all of it), preview.
+
+    The first known container that is visible and valid (J3, confidence .9, no score), or else the
+    visible, valid, not structural one of CONTAINERS with the best score (A1, A2, W1). Every page is
+    taken apart once; the text is cut out of the page by the element's place in its source."""
+    stripped = pages.select("page_id", without_code(F.col("html")).alias("html"))
+    nodes = html_nodes(stripped)
+    solid, n = F.greatest("solid", F.lit(1)), F.greatest("text_len", F.lit(1))
+    shares = {"han": F.col("han") / solid, "link_density": F.col("link_text") / n, "text_density": T.density(F.col("text_len"), F.col("html_len"))}
+    valid = subtree_totals(nodes).withColumns(shares).where(valid_content(profile)).withColumn("known", _known_order())
+    valid = valid.where(F.col("known").isNotNull() | F.col("tag").isin(CONTAINERS))
+    valid = valid.withColumn("id_class", F.trim(F.concat_ws(" ", "id", F.array_join("classes", " ")))).withColumn("score", F.when(F.col("known").isNull(), content_score(profile)))
+    free = F.col("known").isNotNull() | ((F.col("score") >= 10) & ~F.col("tag").isin("nav", "header", "footer", "aside") & ~F.rlike("id_class", F.lit(classify.STRUCTURAL)))
+    hidden = nodes.where(classify.hidden()).select("page_id", F.col("pos").alias("a"), F.col("end_pos").alias("b"))
+    shown = valid.where(free).alias("v").join(hidden.alias("h"), (F.col("v.page_id") == F.col("h.page_id")) & F.col("pos").between(F.col("a"), F.col("b")), "left_anti")
+    best = F.row_number().over(Window.partitionBy("page_id").orderBy(F.asc_nulls_last("known"), F.desc("score"), "pos"))
+    kept = shown.withColumn("k", best).where("k = 1").select("page_id", "known", "tag", "score", "src_off", "src_end")
+    cut = kept.join(stripped, "page_id").withColumn("text", decoded(F.substr("html", F.col("src_off") + 1, F.col("src_end") - F.col("src_off"))))
+    sure = F.when(F.col("known").isNotNull(), F.lit(0.9)).otherwise(confidence_of(F.col("score")))
+    method = F.when(F.col("known").isNotNull(), "known").otherwise("scored")
+    return cut.select("page_id", method.alias("method"), "tag", "score", sure.alias("confidence"), F.length("text").alias("text_len"), "text", T.preview(F.col("text")).alias("preview"))
 
 
 def subtree_totals(nodes: DataFrame) -> DataFrame:
     """For each element, totals of its subtree, from running sums: no join on ranges.
 
-    page_id, pos, tag, id, classes, text_len, han, solid, link_text, links, breaks, html_len."""
+    page_id, pos, tag, id, classes, src_off, src_end, text_len, han, solid, link_text, links, breaks, html_len."""
     w = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     in_link = nodes.where("tag = 'a'").select("page_id", F.col("pos").alias("a"), F.col("end_pos").alias("b"))
     # links do not nest, so a running count of starts minus ends tells what is inside one
@@ -101,10 +125,10 @@ def subtree_totals(nodes: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     solid = F.regexp_replace(text, rf"{T.SPACE}+", "")
     measured = {"text_len": F.length(text), "han": F.regexp_count(text, F.lit(T.HAN)), "solid": F.length(solid), "link_text": F.when(F.col("inside") > 0, F.length(text)).otherwise(0), "links": (F.col("tag") == "a").cast("int"), "breaks": F.col("tag").isin("p", "br").cast("int")}
-    sums = rows.select("page_id", "pos", "end_pos", "tag", "id", "classes", "kind", (F.col("src_end") - F.col("src_off")).alias("html_len"), *(F.sum(c).over(w).alias(f"r_{k}") for k, c in measured.items()), *(c.alias(f"o_{k}") for k, c in measured.items()))
+    sums = rows.select("page_id", "pos", "end_pos", "tag", "id", "classes", "kind", "src_off", "src_end", (F.col("src_end") - F.col("src_off")).alias("html_len"), *(F.sum(c).over(w).alias(f"r_{k}") for k, c in measured.items()), *(c.alias(f"o_{k}") for k, c in measured.items()))
     at_end = sums.select("page_id", F.col("pos").alias("end_pos"), *(F.col(f"r_{k}").alias(f"e_{k}") for k in measured))
     out = sums.where("kind = 'element'").join(at_end, ["page_id", "end_pos"])
-    return out.select("page_id", "pos", "tag", "id", "classes", "html_len", *((F.col(f"e_{k}") - F.col(f"r_{k}") + F.col(f"o_{k}")).alias(k) for k in measured))
+    return out.select("page_id", "pos", "tag", "id", "classes", "src_off", "src_end", "html_len", *((F.col(f"e_{k}") - F.col(f"r_{k}") + F.col(f"o_{k}")).alias(k) for k in measured))
 
 
 def known_content(nodes: DataFrame, profile: Profile = ZH) -> DataFrame:

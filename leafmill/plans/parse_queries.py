@@ -29,7 +29,7 @@ def query(sql: str | None = None):
 
 
 @query(f"""with {CONTENT}, m as (select page_id, case when regexp_matches(url, '(?i)(casino|pills|bets)') and not regexp_matches(url, '(?i)/fr/') then 'shop' when regexp_matches(url, '(?i)^http.*://blog\\..*$') and not regexp_matches(url, '(?i)page=2') then 'blog' when regexp_matches(url, '(?i)\\.example\\.org/') then 'org' when regexp_matches(url, '(?i)/en/[0-9]+') and not regexp_matches(url, '(?i)^https://m\\.') then 'english' end as rule_id from pages)
-select page_id, rule_id, case when rule_id is not null then 'rule' else 'detection' end as method, md5(text) as content from m join c4 using (page_id) where rule_id is not null or (text_len >= 500 and link_density <= 0.5 and score >= 10)""")
+select page_id, rule_id, case when rule_id is not null then 'rule' else 'detection' end as method, md5(text) as content from m join c4 using (page_id) where rule_id is not null or (text_len >= 500 and link_density <= 0.5)""")
 def parse_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = parse.parse_pages(S.read_pages(spark, sf_dir), RULES, profile=detect.LATIN)
     return rows.select("page_id", "rule_id", "method", F.md5(F.col("content_text").cast("binary")).alias("content"))

@@ -240,3 +240,35 @@ def test_cooldowns():
     assert step(429, None, 110.0) == [170.0]
     assert step(503, None, 120.0) == []
     assert step(503, 90.0, 120.0) == [210.0]
+
+
+def test_content_is_a_known_container_or_else_the_best(spark):
+    body, more = "<p>正文内容很长。</p>" * 100, "<p>别的内容更长。</p>" * 400
+    rows = [
+        ("known", f"<div class='box'>{more}</div><div id='content'>{body}</div>"),
+        ("order", f"<div class='Text'>{more}</div><div id='content'>{body}</div><div id='chapter_content'>{body}x</div>"),
+        ("class", f"<div class='a noveltext b'>{body}</div>"),
+        ("short", f"<div id='content'>短</div><div class='reading'>{body}</div>"),
+        ("hidden", f"<div style='display: none'><div id='content'>{body}</div></div><td class='text'>{body}</td>"),
+        ("scored", f"<div class='comment'>{more}</div><div class='book-x'>{body}</div>"),
+        ("structural", f"<div class='sidebar'>{more}</div><nav class='main'>{more}</nav>"),
+        ("links", "<div id='content'>" + "<a href='/x'>正文内容很长。</a>" * 100 + "</div>"),
+        ("script", "<div id='content'><script>" + "内容" * 600 + "</script></div>"),
+        ("empty", ""),
+        ("null", None),
+    ]
+    pages = spark.createDataFrame([(k, "http://a.b/", h) for k, (_, h) in enumerate(rows)], "page_id long, url string, html string")
+    got = {rows[r.page_id][0]: r for r in detect.detect_content(pages).collect()}
+    text, longer = "正文内容很长。" * 100, "别的内容更长。" * 400
+    assert {k: (r.method, r.tag, r.text) for k, r in got.items()} == {
+        "known": ("known", "div", text),
+        "order": ("known", "div", text + "x"),
+        "class": ("known", "div", text),
+        "short": ("scored", "div", text),
+        "hidden": ("scored", "td", text),
+        "scored": ("scored", "div", text),
+    }
+    assert (got["known"].confidence, got["known"].score, got["known"].text_len) == (0.9, None, len(text))
+    # +25 name, +20 or 0 density, +10 paragraphs, +15 Han, +.7 length
+    assert got["scored"].score == pytest.approx(25 + (20 if len(text) / len(f"<div class='book-x'>{body}</div>") > 0.5 else 0) + 10 + 15 + 0.7)
+    assert detect.detect_content(pages.limit(0)).collect() == []
