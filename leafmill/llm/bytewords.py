@@ -167,3 +167,32 @@ def rows_of(batch: pa.RecordBatch, most_bytes: int = 8 << 20, column: str = "tex
         end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + most_bytes, "right")) - 1)
         yield batch.slice(begin, end - begin)
         begin = end
+
+
+def word_places(data: np.ndarray, offsets: np.ndarray, separators: bytes = SPACES) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of split_words begin and end in the column's bytes."""
+    is_word, _ = _tables(separators)
+    inside = np.zeros(len(data) + 2, bool)
+    inside[1:-1] = is_word[data]
+    edge = inside[1:] & ~inside[:-1]
+    stop = ~inside[1:] & inside[:-1]
+    cuts = offsets[1:-1]
+    cuts = np.unique(cuts[(cuts > 0) & (cuts < len(data))])
+    cuts = cuts[inside[cuts + 1] & inside[cuts]]
+    edge[cuts] = True
+    stop[cuts] = True
+    return np.flatnonzero(edge), np.flatnonzero(stop)
+
+
+def stem_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, lengths: range) -> list[np.ndarray]:
+    """Hashes of the first ``length`` bytes of each word, for each length, A-Z lower-cased; what a
+    shorter word gets has no meaning."""
+    _, values = _tables(b"")
+    at = np.zeros(len(begin), np.uint64)
+    out = []
+    power, _ = _powers(PIECE)
+    for k in range(lengths.stop - 1):
+        at = at + values[data[np.minimum(begin + k, len(data) - 1)]] * power[k]
+        if k + 1 in lengths:
+            out.append(mix(at))
+    return out

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import bloom_lm, near_dup, oracles, pfair_mix, quality_rules, quotation, span_crf, suffix_repeats, url_terms, weak_quality, wu_manber
+from leafmill.llm import bloom_lm, near_dup, oracles, pfair_mix, quality_rules, quotation, span_crf, suffix_repeats, toxic_sentences, url_terms, weak_quality, wu_manber
 from leafmill.tables import table
 
 
@@ -51,5 +51,9 @@ def op10_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_quality.classify(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_repeats, op2_quality_rules, op3_url_filter, op4_minhash, op5_quotation, op6_pfair_mix, op7_span_crf, op8_bloom_lm, op9_decontaminate, op10_weak_quality)}
+def op11_toxic_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic_sentences.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_repeats, op2_quality_rules, op3_url_filter, op4_minhash, op5_quotation, op6_pfair_mix, op7_span_crf, op8_bloom_lm, op9_decontaminate, op10_weak_quality, op11_toxic_sentences)}
 ORACLES: dict[str, str] = oracles.SQL
