@@ -82,14 +82,9 @@ def hazards(logits: np.ndarray) -> np.ndarray:
     return np.logaddexp(0.0, logits)
 
 
-def evidence(feature: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Of each of BINS features, the likelihood ratio statistic of being more frequent in toxic
-    documents; 0 if it is not."""
-    once = np.unique(doc.astype(np.uint64) << np.uint64(20) | feature.astype(np.uint64))
-    side = toxic[(once >> np.uint64(20)).astype(np.int64)]
-    name = (once & np.uint64(BINS - 1)).astype(np.int64)
-    bad, good = np.bincount(name[side], minlength=BINS), np.bincount(name[~side], minlength=BINS)
-    n_bad, n_good = toxic.sum(), (~toxic).sum()
+def evidence(bad: np.ndarray, good: np.ndarray, n_bad: int, n_good: int) -> np.ndarray:
+    """Of each feature, in bad of n_bad toxic and good of n_good other documents, the likelihood
+    ratio statistic of being more frequent in toxic ones; 0 if it is not."""
     rate = (bad + good) / (n_bad + n_good)
 
     def part(k, n, p):
@@ -107,21 +102,30 @@ def fit(texts: list[str], toxic: list[bool], rounds: int = 400, decay: float = 2
     y = np.array(toxic, bool)
     if not y.any() or y.all():
         return None
-    features, instances, docs, seen = [], [], [], 0
-    for lo in range(0, len(texts), 256):
-        feature, instance, doc, _, _ = sentences(pa.array(texts[lo : lo + 256], pa.string()))
-        feature, instance = _distinct(feature, instance)
-        features.append(feature)
-        instances.append(instance + seen)
-        docs.append(doc + lo)
-        seen += len(doc)
-    feature, instance, doc = np.concatenate(features), np.concatenate(instances), np.concatenate(docs)
-    all_docs = doc
-    held = evidence(feature, doc[instance], y)[feature] >= EVIDENCE
-    names, column = np.unique(feature[held], return_inverse=True)
-    instance, place = np.unique(instance[held], return_inverse=True)
-    doc, n_docs, n = doc[instance], len(y), len(names)
-    empty = np.bincount(all_docs, minlength=n_docs) - np.bincount(doc, minlength=n_docs)
+
+    def parts():
+        for lo in range(0, len(texts), 128):
+            feature, instance, doc, _, _ = sentences(pa.array(texts[lo : lo + 128], pa.string()))
+            yield lo, *_distinct(feature, instance), doc
+
+    counts = np.zeros((2, BINS), np.int64)
+    for lo, feature, instance, doc in parts():
+        name, owner = _distinct(feature, doc[instance])
+        for side in (0, 1):
+            counts[side] += np.bincount(name[y[lo + owner] == side], minlength=BINS)
+    chosen = evidence(counts[1], counts[0], y.sum(), (~y).sum()) >= EVIDENCE
+    columns, places, docs, n_sentences, seen = [], [], [], [], 0
+    for lo, feature, instance, doc in parts():
+        held = chosen[feature]
+        some, place = np.unique(instance[held], return_inverse=True)
+        columns.append(feature[held])
+        places.append(place + seen)
+        docs.append(doc[some] + lo)
+        n_sentences.append(np.bincount(doc, minlength=min(128, len(texts) - lo)))
+        seen += len(some)
+    names, column = np.unique(np.concatenate(columns), return_inverse=True)
+    place, doc, n_docs, n = np.concatenate(places), np.concatenate(docs), len(y), len(names)
+    empty = np.concatenate(n_sentences) - np.bincount(doc, minlength=n_docs)
     share = np.where(y, 0.5 / y.sum(), 0.5 / (~y).sum())
     w, m, v = np.full(n, -FLOOR / 2), np.zeros(n), np.zeros(n)
     for step in range(1, rounds + 1):

@@ -56,10 +56,8 @@ def test_noisy_or_equals_plain_product():
 
 
 def test_evidence_is_zero_for_words_of_clean_texts():
-    feature = np.array([1, 1, 2, 2, 3])
-    doc = np.array([0, 1, 2, 3, 3])
-    g = toxic_sentences.evidence(feature, doc, np.array([True, True, False, False]))
-    assert g[1] == pytest.approx(2 * 4 * math.log(2)) and g[2] == g[3] == g[4] == 0
+    g = toxic_sentences.evidence(np.array([2, 0, 1]), np.array([0, 2, 1]), 2, 2)
+    assert g[0] == pytest.approx(2 * 4 * math.log(2)) and g[1] == g[2] == 0
 
 
 def test_documents_of_every_kind(spark):
