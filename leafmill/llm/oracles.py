@@ -108,3 +108,18 @@ mixed as (select r, blocks.source, block, (block // w) * {period} + slots.slot a
 SQL["op6_pfair_mix"] = f"""
 with recursive t as (select row_number() over () as r, doc_id, source from documents), {mixed("t")}
 select doc_id, t.source, block, cast(slot as bigint) as slot, place from mixed join t using (r)"""
+
+_CRC = "xor(list_reduce(list_transform(range(1, length(s) + 1), lambda i: cast(ascii(s[i]) as bigint)), lambda crc, b: list_reduce(range(8), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)), xor(crc, b)), 4294967295), 4294967295)"
+
+SQL["op12_prefix_trie"] = f"""
+with t as (select conv_id, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} as x, row_number() over (partition by conv_id order by turn nulls first) as pos from conversations where conv_id is not null),
+own as (select conv_id, list(x order by pos) as xs from t group by 1),
+h as (select conv_id, xs, conv_id - conv_id % 5 as base, {_CRC} % 9 as h from (select *, cast(conv_id as varchar) as s from own)),
+r as (select h.conv_id, list_concat(coalesce(b.xs, [])[1:h.h], h.xs[h.h + 1:]) as path from h left join own b on b.conv_id = h.base),
+n as (select conv_id, path[1:d] as path, cast(d as bigint) as depth, d = len(path) as ends from (select conv_id, path, unnest(range(0, len(path) + 1)) as d from r)),
+nodes as (select path, depth, min(conv_id) as conv_id, count(*) as n_convs, sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (ends), '')) as ends_sha256 from n group by path, depth),
+kids as (select path[1:depth - 1] as path, count(*) as n_children from nodes where depth > 0 group by 1),
+own_sums as (select nodes.path, depth, case when n_children is null then 1 else 0 end as leaf, case when depth > 0 then (n_convs - 1) * strlen(nodes.path[depth].text) else 0 end as saved from nodes left join kids on kids.path = nodes.path),
+subs as (select path, sum(leaf) as n_leaves, sum(saved) as saved from (select path[1:d] as path, leaf, saved from (select path, leaf, saved, unnest(range(0, depth + 1)) as d from own_sums)) group by 1)
+select nodes.conv_id, nodes.depth, up.conv_id as parent_conv_id, nodes.n_convs, coalesce(n_children, 0) as n_children, cast(n_leaves as bigint) as n_leaves, cast(saved as bigint) as saved_tokens, nodes.ends_sha256
+from nodes join subs on subs.path = nodes.path left join kids on kids.path = nodes.path left join nodes up on nodes.depth > 0 and up.path = nodes.path[1:nodes.depth - 1]"""
