@@ -123,3 +123,18 @@ own_sums as (select nodes.path, depth, case when n_children is null then 1 else
 subs as (select path, sum(leaf) as n_leaves, sum(saved) as saved from (select path[1:d] as path, leaf, saved from (select path, leaf, saved, unnest(range(0, depth + 1)) as d from own_sums)) group by 1)
 select nodes.conv_id, nodes.depth, up.conv_id as parent_conv_id, nodes.n_convs, coalesce(n_children, 0) as n_children, cast(n_leaves as bigint) as n_leaves, cast(saved as bigint) as saved_tokens, nodes.ends_sha256
 from nodes join subs on subs.path = nodes.path left join kids on kids.path = nodes.path left join nodes up on nodes.depth > 0 and up.path = nodes.path[1:nodes.depth - 1]"""
+
+SQL["op13_phrases"] = r"""
+with p as (select row_number() over () as r, lang, w from (
+         select coalesce(lang, 'und') as lang, regexp_extract_all(unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') as w from documents) where len(w) > 0),
+n as (select lang, sum(len(w)) as n from p group by 1),
+f as (select lang, k, phrase, count(*) as f from (
+        select lang, k, array_to_string(w[i : i + k - 1], ' ') as phrase from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from p, (select unnest([1, 2, 3, 4]) as k) where len(w) >= k)) group by all having count(*) >= 30),
+c as (select lang, k as size, phrase, string_split(phrase, ' ') as w, f as a from f where k > 1),
+cut as (select c.lang, c.phrase, c.a, c.k, x.f as l, y.f as r, cast(2000000 * cast(c.a as hugeint) // (x.f + y.f) as bigint) as score
+        from (select lang, phrase, w, a, unnest(range(1, size)) as k from c) c join f x on x.lang = c.lang and x.phrase = array_to_string(c.w[:c.k], ' ') join f y on y.lang = c.lang and y.phrase = array_to_string(c.w[c.k + 1:], ' ')),
+best as (select * from cut qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+inner_ as (select lang, array_to_string(w[i : i + m - 1], ' ') as phrase, max(a) as longer from (select *, unnest(range(1, size - m + 2)) as i from (select *, unnest(range(2, size)) as m from c)) group by all),
+kept as (select best.* from best left join inner_ using (lang, phrase) where longer is null or 100 * cast(longer as hugeint) < 80 * cast(a as hugeint)),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from kept)
+select lang, rank, phrase, a, l, r, cast(n as bigint) as n, score from ranked join n using (lang) where rank <= 2000"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import bloom_lm, near_dup, oracles, pfair_mix, prefix_trie, quality_rules, quotation, span_crf, suffix_repeats, toxic_sentences, url_terms, weak_quality, wu_manber
+from leafmill.llm import bloom_lm, near_dup, oracles, pfair_mix, phrases, prefix_trie, quality_rules, quotation, span_crf, suffix_repeats, toxic_sentences, url_terms, weak_quality, wu_manber
 from leafmill.tables import table
 
 
@@ -59,5 +59,9 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.rebuilt_prefixes(table(spark, sf_dir, "conversations")).drop("turn_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_repeats, op2_quality_rules, op3_url_filter, op4_minhash, op5_quotation, op6_pfair_mix, op7_span_crf, op8_bloom_lm, op9_decontaminate, op10_weak_quality, op11_toxic_sentences, op12_prefix_trie)}
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_repeats, op2_quality_rules, op3_url_filter, op4_minhash, op5_quotation, op6_pfair_mix, op7_span_crf, op8_bloom_lm, op9_decontaminate, op10_weak_quality, op11_toxic_sentences, op12_prefix_trie, op13_phrases)}
 ORACLES: dict[str, str] = oracles.SQL
