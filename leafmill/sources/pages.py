@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,6 +19,7 @@ ENTITIES = [("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 ENDS = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
+BOUNDS = {"table", "ul", "ol", "div", "article", "section", "body"}
 NODES = "page_id long, pos int, end_pos int, depth int, parent_pos int, kind string, tag string, id string, classes array<string>, attrs map<string,string>, text string, src_off int, src_end int"
 
 
@@ -86,65 +88,120 @@ def page_scripts(pages: DataFrame) -> DataFrame:
     return each.select("page_id", "pos", attribute(F.col("start"), "src").alias("src"), attribute(F.col("start"), "type").alias("type"), F.substr("raw", F.length("start") + 1).alias("body"))
 
 
-class _Builder(HTMLParser):
-    """Nodes in document order; unclosed tags end where their parent or a sibling ends them."""
+_NAME = re.compile(r"[A-Za-z][^\s/>]*")
+_ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*)?(?:\s*=\s*(?:([\"'])|([^\s>]*)))?")
+_RAW = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE) for tag in ("script", "style")}
 
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
+
+class _Builder:
+    """Nodes in document order; unclosed tags end where their parent or a sibling ends them.
+
+    Takes any text, in time linear in it: every search either moves on or ends at the text's end, and
+    the open elements that a tag may end are kept apart from those it cannot."""
+
+    def __init__(self, html: str):
+        self.html = html
         self.rows: list[list] = []
         self.open: list[int] = []
-        self.starts = [0]
-
-    def run(self, html: str) -> list[list]:
-        for k, c in enumerate(html):
-            if c == "\n":
-                self.starts.append(k + 1)
-        self.feed(html)
-        self.close()
-        self._end_until(0, len(html))
+        self.depth_of: dict[str, int] = {}  # open elements by tag
+        self.edges: list[int] = []  # places in ``open`` of what ends by itself or bounds what does
+
+    def run(self) -> list[list]:
+        html, end = self.html, len(self.html)
+        at = text = 0  # text: where the text begins that is not a node yet
+        while at < end:
+            at = html.find("<", at)
+            if at < 0:
+                break
+            ahead = html[at + 1 : at + 3]
+            if ahead[:1] == "!" or ahead[:1] == "?":
+                self._text(text, at)
+                stop = html.find("-->", at + 4) + 2 if html.startswith("<!--", at) and html[at + 4 : at + 5] != ">" else html.find(">", at)
+                text = at = stop + 1 if stop > 1 else end
+            elif ahead[:1] == "/" and ahead[1:].isalpha() and ahead[1:].isascii():
+                self._text(text, at)
+                stop = html.find(">", at)
+                stop = stop + 1 if stop >= 0 else end
+                self._end(_NAME.match(html, at + 2)[0].lower(), stop)
+                text = at = stop
+            elif ahead[:1].isalpha() and ahead[:1].isascii():
+                self._text(text, at)
+                text = at = self._start(at)
+            else:
+                at += 1
+        self._text(text, end)
+        self._end_until(0, end)
         return self.rows
 
-    def _at(self) -> int:
-        line, column = self.getpos()
-        return self.starts[line - 1] + column
-
-    def _end_until(self, keep: int, at: int) -> None:
-        while len(self.open) > keep:
-            row = self.rows[self.open.pop()]
-            row[1], row[11] = len(self.rows) - 1, at
+    def _text(self, begin: int, end: int) -> None:
+        if end > begin:
+            self._add("text", "", {}, unescape(self.html[begin:end]), begin, end)
 
     def _add(self, kind: str, tag: str, attrs: dict, text: str, at: int, end: int) -> None:
         parent = self.open[-1] if self.open else None
         pos = len(self.rows)
         self.rows.append([pos, pos, len(self.open), parent, kind, tag, attrs.get("id", ""), attrs.get("class", "").split(), attrs, text, at, end])
 
-    def handle_starttag(self, tag, attrs):
-        at = self._at()
-        for k in range(len(self.open) - 1, -1, -1):
+    def _end_until(self, keep: int, at: int) -> None:
+        while len(self.open) > keep:
+            row = self.rows[self.open.pop()]
+            row[1], row[11] = len(self.rows) - 1, at
+            self.depth_of[row[5]] -= 1
+            if self.edges and self.edges[-1] == len(self.open):
+                self.edges.pop()
+
+    def _end(self, tag: str, at: int) -> None:
+        if self.depth_of.get(tag):
+            k = len(self.open) - 1
+            while self.rows[self.open[k]][5] != tag:
+                k -= 1
+            self._end_until(k, at)
+
+    def _attributes(self, at: int) -> tuple[dict, int, bool]:
+        """Attributes, the first of a name, from ``at`` on; where the tag ends; whether by itself."""
+        html, out = self.html, {}
+        while True:
+            m = _ATTRIBUTE.match(html, at)
+            name, quote, value = m.groups()
+            stop = m.end()
+            if quote:
+                close = html.find(quote, stop)
+                if close < 0:
+                    return out, len(html), False
+                value, stop = html[stop:close], close + 1
+            if name:
+                out.setdefault(name.lower(), unescape(value or ""))
+            if stop >= len(html):
+                return out, len(html), False
+            if html[stop] == ">":
+                return out, stop + 1, html[stop - 1] == "/" and not quote and not value
+            at = stop if stop > at else at + 1
+
+    def _start(self, at: int) -> int:
+        name = _NAME.match(self.html, at + 1)
+        tag = name[0].lower()
+        attrs, stop, closed = self._attributes(name.end())
+        for k in reversed(self.edges):
             own = self.rows[self.open[k]][5]
             if tag in ENDS.get(own, ()):
                 self._end_until(k, at)
                 break
-            if own in ("table", "ul", "ol", "div", "article", "section", "body"):
+            if own in BOUNDS:
                 break
-        self._add("element", tag, {k: v or "" for k, v in attrs}, "", at, at + len(self.get_starttag_text() or ""))
-        if tag not in VOID:
-            self.open.append(len(self.rows) - 1)
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID:
-            self.handle_endtag(tag)
-
-    def handle_endtag(self, tag):
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.rows[self.open[k]][5] == tag:
-                self._end_until(k, self._at() + len(tag) + 3)
-                return
-
-    def handle_data(self, data):
-        at = self._at()
-        self._add("text", "", {}, data, at, at + len(data))
+        self._add("element", tag, attrs, "", at, stop)
+        if tag in VOID or closed:
+            return stop
+        self.open.append(len(self.rows) - 1)
+        self.depth_of[tag] = self.depth_of.get(tag, 0) + 1
+        if tag in ENDS or tag in BOUNDS:
+            self.edges.append(len(self.open) - 1)
+        if tag in _RAW:
+            found = _RAW[tag].search(self.html, stop)
+            close = found.start() if found else len(self.html)
+            if close > stop:
+                self._add("text", "", {}, self.html[stop:close], stop, close)
+            return close
+        return stop
 
 
 def html_nodes(pages: DataFrame) -> DataFrame:
@@ -155,7 +212,7 @@ def html_nodes(pages: DataFrame) -> DataFrame:
     def rows(batches):
         for batch in batches:
             for page_id, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                found = _Builder().run(html or "")
+                found = _Builder(html or "").run()
                 if found:
                     columns = list(zip(*found, strict=True))
                     attrs = pa.array([list(a.items()) for a in columns[8]], pa.map_(pa.string(), pa.string()))
