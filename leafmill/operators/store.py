@@ -6,12 +6,16 @@ last_accessed. positions: reader, url, percent, updated_at. Ages are in seconds.
 
 from __future__ import annotations
 
+import json
+import uuid
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
+from leafmill.tables import materialize
 
 DAY = 86_400
 MOST_AGE = 30 * DAY
@@ -24,21 +28,126 @@ def _age(ts: Column, now: Column) -> Column:
     return (F.unix_micros(now) - F.unix_micros(ts)) / 1e6
 
 
-def write_chapters(chapters: DataFrame, path: str, buckets: int = 64) -> None:
-    """One record per (book, url), the newest; rewrites only the buckets that it touches. The
-    session's spark.sql.sources.partitionOverwriteMode is not changed."""
-    newest = chapters.where("url is not null and url <> ''").groupBy("book_id", "url").agg(F.max_by(F.struct("content", "cached_at"), "cached_at").alias("x"))
-    rows = newest.select("book_id", "url", "x.*", F.pmod(F.xxhash64("book_id"), F.lit(buckets)).cast("int").alias("book_bucket"))
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("book_bucket").parquet(path)
+class ChapterStore:
+    """Chapters in a folder, one record per (book, url), updated by merging.
+
+    A write reads the buckets that it touches, keeps the newest record of each (book, url), and writes
+    these buckets anew under rows/generation=<id>. A manifest, one small file that lists the
+    generation of each bucket, is then renamed into place under the next number; nobody's files are
+    changed, so readers go on with the manifest they began with. Of two writers that began with the
+    same manifest, the second fails and can be run again. ``vacuum`` deletes what no recent
+    manifest lists.
+
+    chapters: book_id string, url string, content string, cached_at timestamp. Of records with equal
+    times the later write's is kept, within one write that of the greater content; one without a time
+    is older than any. Rows without book_id or url are ignored.
+    """
+
+    SCHEMA = "book_id string, url string, content string, cached_at timestamp"
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+        jvm = spark._jvm.org.apache.hadoop.fs
+        self._path, conf = jvm.Path, spark._jsc.hadoopConfiguration()
+        self._files = jvm.Path(self.path).getFileSystem(conf)
+        self._context = jvm.FileContext.getFileContext(self._files.getUri(), conf)
+        self._no_options = spark.sparkContext._gateway.new_array(jvm.Options.Rename, 0)
+
+    def _list(self, folder: str) -> list[str]:
+        at = self._path(f"{self.path}/{folder}")
+        return [f.getPath().getName() for f in self._files.listStatus(at)] if self._files.exists(at) else []
+
+    def versions(self) -> list[int]:
+        return sorted(int(n[:-5]) for n in self._list("manifest") if n[:-5].isdigit() and n.endswith(".json"))
+
+    def manifest(self, version: int | None = None) -> tuple[int, dict[int, str]]:
+        """(version, generation of each bucket); version 0 is the empty store."""
+        version = version if version is not None else max(self.versions(), default=0)
+        if not version:
+            return 0, {}
+        line = self.spark.read.text(f"{self.path}/manifest/{version}.json").first()[0]
+        return version, {int(k): v for k, v in json.loads(line).items()}
+
+    def _commit(self, version: int, generations: dict[int, str]) -> int:
+        temporary = self._path(f"{self.path}/manifest/_{uuid.uuid4().hex}")
+        out = self._files.create(temporary, False)
+        out.write(bytearray(json.dumps(generations).encode()))
+        out.close()
+        try:  # fails if another writer has taken the number
+            self._context.rename(temporary, self._path(f"{self.path}/manifest/{version + 1}.json"), self._no_options)
+        except Py4JJavaError as e:
+            self._files.delete(temporary, False)
+            raise RuntimeError(f"another write became version {version + 1}; run this one again") from e
+        return version + 1
+
+    def _bucket(self, book_id: Column) -> Column:
+        return F.pmod(F.xxhash64(book_id), F.lit(self.buckets)).cast("int")
+
+    def _rows(self, generations: dict[int, str]) -> DataFrame:
+        paths = [f"{self.path}/rows/generation={g}/book_bucket={b}" for b, g in sorted(generations.items()) if g]
+        if not paths:
+            return self.spark.createDataFrame([], self.SCHEMA)
+        return self.spark.read.schema(self.SCHEMA).option("basePath", f"{self.path}/rows").parquet(*paths).select("book_id", "url", "content", "cached_at")
+
+    def _replace(self, make, touched: list[int], version: int, generations: dict[int, str]) -> int:
+        """Writes make(stored rows of the touched buckets) as their new generation."""
+        if not touched:
+            return version
+        generation = uuid.uuid4().hex
+        rows = make(self._rows({b: generations.get(b, "") for b in touched}))
+        rows = rows.withColumn("book_bucket", self._bucket(F.col("book_id")))
+        rows.hint("rebalance", "book_bucket").write.partitionBy("book_bucket").parquet(f"{self.path}/rows/generation={generation}")
+        written = {int(n.split("=")[1]) for n in self._list(f"rows/generation={generation}") if n.startswith("book_bucket=")}
+        return self._commit(version, {b: g for b, g in generations.items() if b not in touched} | dict.fromkeys(sorted(written), generation))
+
+    def write(self, chapters: DataFrame) -> int:
+        """Merges the chapters in; the new version."""
+        version, generations = self.manifest()
+        rows = chapters.where("book_id is not null and url is not null and url <> ''").select(F.col("book_id").cast("string").alias("book_id"), "url", "content", F.col("cached_at").cast("timestamp").alias("cached_at"))
+        new = materialize(rows.groupBy("book_id", "url").agg(F.max(F.struct("cached_at", "content")).alias("x")).select("book_id", "url", "x.content", "x.cached_at"), "chapters")
+        touched = [r[0] for r in new.select(self._bucket(F.col("book_id"))).distinct().collect()]  # ``buckets`` rows at most
+
+        def merged(old: DataFrame) -> DataFrame:
+            both = old.withColumn("source", F.lit(0)).unionByName(new.withColumn("source", F.lit(1)))
+            best = both.groupBy("book_id", "url").agg(F.max(F.struct("cached_at", "source", "content")).alias("x"))
+            return best.select("book_id", "url", "x.content", "x.cached_at")
+
+        return self._replace(merged, touched, version, generations)
+
+    def remove(self, chapters: DataFrame) -> int:
+        """Takes the chapters (book_id, url) out; the new version."""
+        version, generations = self.manifest()
+        gone = materialize(chapters.select(F.col("book_id").cast("string").alias("book_id"), "url").distinct(), "removed")
+        touched = [r[0] for r in gone.select(self._bucket(F.col("book_id"))).distinct().collect() if r[0] in generations]
+        return self._replace(lambda old: old.join(gone, ["book_id", "url"], "left_anti"), touched, version, generations)
+
+    def read(self, book_id: str | None = None, version: int | None = None) -> DataFrame:
+        """Stored chapters of the newest or a given version; of one book, only its bucket is read."""
+        _, generations = self.manifest(version)
+        if book_id is None:
+            return self._rows(generations)
+        bucket = self.spark.range(1).select(self._bucket(F.lit(book_id))).first()[0]
+        return self._rows({b: g for b, g in generations.items() if b == bucket}).where(F.col("book_id") == book_id)
+
+    def vacuum(self, keep: int = 2) -> None:
+        """Deletes all but the last ``keep`` manifests and the generations that those do not list."""
+        versions = self.versions()
+        used = {g for v in versions[-keep:] for g in self.manifest(v)[1].values()}
+        for name in self._list("rows"):
+            if name.removeprefix("generation=") not in used:
+                self._files.delete(self._path(f"{self.path}/rows/{name}"), True)
+        for v in versions[:-keep]:
+            self._files.delete(self._path(f"{self.path}/manifest/{v}.json"), False)
+
+
+def write_chapters(chapters: DataFrame, path: str, buckets: int = 64) -> int:
+    """Merges chapters into the store at path; the new version."""
+    return ChapterStore(chapters.sparkSession, path, buckets).write(chapters)
 
 
 def read_chapters(spark: SparkSession, path: str, book_id: str | None = None, buckets: int = 64) -> DataFrame:
     """Stored chapters; for one book, only its bucket is read."""
-    rows = spark.read.parquet(path).where("url is not null and url <> ''")
-    if book_id is not None:
-        bucket = F.pmod(F.xxhash64(F.lit(book_id)), F.lit(buckets)).cast("int")
-        rows = rows.where((F.col("book_bucket") == bucket) & (F.col("book_id") == book_id))
-    return rows.drop("book_bucket")
+    return ChapterStore(spark, path, buckets).read(book_id)
 
 
 def build_book_index(store: DataFrame, now: Column) -> DataFrame:

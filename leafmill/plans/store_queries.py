@@ -6,11 +6,13 @@ is a book or chapter, its lines are chapters or pages.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.operators import rules, sections, store
-from leafmill.tables import table
+from leafmill.tables import delete_at_exit, shared_folder, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -162,6 +164,41 @@ def delete_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.delete_book(chapters, index, gone)[0].select("book_id", "url")
 
 
+def _line_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers are books, parts their chapters, written again with each line that sells them."""
+    rows = table(spark, sf_dir, "lineitem").withColumn("line", F.col("l_linenumber"))
+    return rows.select(F.col("l_suppkey").cast("string").alias("book_id"), F.col("l_partkey").cast("string").alias("url"), F.concat_ws(":", "l_orderkey", "l_linenumber").alias("content"), F.when(F.pmod("l_orderkey", F.lit(11)) > 0, F.col("l_shipdate").cast("timestamp")).alias("cached_at"), "line")
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> store.ChapterStore:
+    """A store after three writes: lines 1 and 4, 2 and 5, and 3, 6 and 7 of the orders."""
+    out = store.ChapterStore(spark, f"{shared_folder(spark).rstrip('/')}/leafmill-store-{uuid.uuid4().hex}", buckets=16)
+    rows = _line_chapters(spark, sf_dir)
+    for lines in ((1, 4), (2, 5), (3, 6, 7)):
+        out.write(rows.where(F.col("line").isin(*lines)).drop("line"))
+        out.vacuum()
+    delete_at_exit(spark, out.path)
+    return out
+
+
+_LINES = """l as (select cast(l_suppkey as varchar) as book_id, cast(l_partkey as varchar) as url, l_orderkey || ':' || l_linenumber as content, case when l_orderkey % 11 > 0 then epoch_us(l_shipdate) end as t, case when l_linenumber in (3, 6, 7) then 3 else l_linenumber % 3 end as w from lineitem),
+last as (select * from l qualify row_number() over (partition by book_id, url order by t desc nulls last, w desc, content desc) = 1)"""
+
+
+@query(f"with {_LINES} select book_id, url, content, t as cached_at from last")
+def chapter_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes that overlap keep the newest record of each book and URL, and all others."""
+    return _stored(spark, sf_dir).read().select("book_id", "url", "content", F.unix_micros("cached_at").alias("cached_at"))
+
+
+@query(f"with {_LINES} select book_id, url, content from last where cast(url as bigint) % 7 <> 0 and book_id in ('3', '7')")
+def chapter_store_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapters that became locked are taken out of the store; two books are read."""
+    held = _stored(spark, sf_dir)
+    held.remove(_line_chapters(spark, sf_dir).where("cast(url as long) % 7 = 0").select("book_id", "url"))
+    return held.read("3").unionByName(held.read("7")).select("book_id", "url", "content")
+
+
 @query("select o_custkey as book_id, list_sort(list(distinct cast(o_orderkey as varchar))) as urls from orders group by 1")
 def book_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.build_book_index(_store(spark, sf_dir)[0], F.lit(NOW).cast("timestamp")).select("book_id", "urls")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from leafmill.operators import store
 from leafmill.plans import store_queries
 from leafmill.streaming import stateful
-from leafmill.tables import shared_folder
+from leafmill.tables import delete_at_exit, shared_folder
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -32,8 +32,7 @@ def run(stream: DataFrame, mode: str = "append") -> DataFrame:
         writer = stream.writeStream.outputMode(mode).foreachBatch(lambda df, _: df.write.mode("append").parquet(f"{folder}/out"))
     q = writer.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    root.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(root)
+    delete_at_exit(spark, folder)
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
