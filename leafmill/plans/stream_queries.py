@@ -62,13 +62,14 @@ def stream_cooldowns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R1 over conversations: turns as pages of a chapter; every seventh conversation's second turn
-    is numbered far off, so that these chapters stay incomplete."""
+    is numbered far off, so that these chapters stay incomplete. A conversation's number is its minute;
+    those ten minutes or more behind the watermark are closed as truncated."""
     stateful.with_state_store(spark)
     c = stream_of(spark, sf_dir, "conversations").withColumn("turn", F.expr("case when conv_id % 7 = 0 and turn = 1 then 51 else turn end"))
-    pages = c.select(F.col("conv_id").cast("string").alias("key"), (F.col("turn") + 1).cast("int").alias("section"), F.col("text").alias("content"), F.lit(None).cast("int").alias("marker_page"), F.lit(None).cast("int").alias("marker_total"), (F.col("turn") == 3).alias("last"), F.lit(False).alias("cancel"))
+    pages = c.select(F.col("conv_id").cast("string").alias("key"), (F.col("turn") + 1).cast("int").alias("section"), F.col("text").alias("content"), F.lit(None).cast("int").alias("marker_page"), F.lit(None).cast("int").alias("marker_total"), (F.col("turn") == 3).alias("last"), F.lit(False).alias("cancel"), F.timestamp_seconds(86400 + F.col("conv_id") * 60).alias("ts"))
     out = run(stateful.stream_sections(pages))
-    done = out.groupBy("key").agg(F.count_if(F.col("stage").isin("first", "delta")).alias("loaded"), F.coalesce(F.bool_or(F.col("stage") == "complete"), F.lit(False)).alias("complete"))
-    return done
+    ended = F.col("stage") == "complete"
+    return out.groupBy("key").agg(F.count_if(F.col("stage").isin("first", "delta")).alias("loaded"), F.bool_or(ended & ~F.col("truncated")).alias("complete"), F.bool_or(ended & F.col("truncated")).alias("truncated"))
 
 
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +89,8 @@ QUERIES |= {f.__name__: f for f in (stream_positions, stream_failures, stream_co
 ORACLES["stream_positions"] = store_queries.ORACLES["positions_lww"]
 ORACLES["stream_failures"] = "with x as (select cast(key as varchar) as target, n from (" + store_queries.ORACLES["nav_failures"] + ")) select * from x"
 ORACLES["stream_sections"] = """with c as (select conv_id, case when conv_id % 7 = 0 and turn = 1 then 51 else turn end as turn from conversations), o as (select conv_id, turn, row_number() over (partition by conv_id order by turn) - 1 as k from (select distinct conv_id, turn from c)),
-a as (select conv_id, count(*) filter (turn = k and turn <= 3) as loaded from o group by 1) select cast(conv_id as varchar) as key, loaded, loaded = 4 as complete from a where loaded > 0"""
+a as (select conv_id, count(*) filter (turn = k and turn <= 3) as loaded, max(conv_id) over () as newest from o group by 1)
+select cast(conv_id as varchar) as key, loaded, loaded = 4 as complete, loaded < 4 and conv_id + 11 <= newest as truncated from a where loaded > 0 or conv_id + 11 <= newest"""
 ORACLES["stream_dedupe"] = "select distinct user_id as reader, event_type as url from events"
 ORACLES["event_sink"] = """select epoch_us(ts) as t, 'info' as level, event_type as type, '{"detail":"https://x.example.com/?user=' || user_id || '&token=__redacted__"}' as detail from events"""
 

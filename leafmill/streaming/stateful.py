@@ -1,7 +1,7 @@
 """Keyed stream processors (R1, R4, R6) and stream plans.
 
-Processors keep one small value per key: a chapter's cursor and its buffered pages (as many as the
-page cap), an origin's cooldown, a target's failures. They need the RocksDB state store, which
+Processors keep small values per key: a chapter's cursor and a map of its waiting pages (as many as
+the page cap), an origin's cooldown, a target's failures. They need the RocksDB state store, which
 ``with_state_store`` sets for the session.
 """
 
@@ -56,43 +56,97 @@ def _rows(rows: Iterator[pd.DataFrame], *by: str) -> list[dict]:
     return pd.concat(frames).sort_values(list(by), kind="stable").to_dict("records") if frames else []
 
 
-class SectionAssembly(_JsonState):
+class SectionAssembly(StatefulProcessor):
     """Pages of a chapter in any order -> first, then deltas in order, then complete.
 
-    Input: key, section, content, marker_page, marker_total, last (no page follows), cancel. A page
-    before its turn waits; a mark that contradicts ends the chapter as truncated."""
+    Input: key, section, content, marker_page, marker_total, last (no page follows), cancel, ts (the
+    event time). A page before its turn waits as an entry of a map, of MOST_SECTIONS - 1 at most: one
+    numbered outside 1..MOST_SECTIONS is refused, and so is a second of a number (the first to come
+    stays). A mark that contradicts ends the chapter as truncated. So does quiet: when the watermark
+    is ``quiet`` seconds behind the chapter's newest page, it is closed, and pages that still wait
+    behind a gap are dropped. Nothing truncated comes out as whole. What a closed chapter still gets is
+    ignored; its last trace is forgotten after another quiet time. A cancel counts after the pages
+    that came with it.
+
+    Stages: first, delta, complete (truncated or not), cancel, and refused (ord: the page's number)."""
+
+    CURSOR = "next int, total int, done boolean, newest long"
+    PAGE = "content string, mark int, total int, last boolean"
+
+    def __init__(self, quiet: float = 600.0):
+        self.quiet = int(quiet * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.cursor = handle.getValueState("cursor", self.CURSOR)
+        self.waiting = handle.getMapState("waiting", "section int", self.PAGE)
+
+    def close(self) -> None:
+        pass
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        s = self.load({"next": 1, "total": None, "wait": {}, "done": False})
-        out = []
-
-        def emit(stage: str, content: str = "", truncated: bool = False) -> None:
-            out.append((key[0], stage, s["next"] - 1, s["next"] - 1, s["total"], content, truncated))
-
-        for row in _rows(rows, "section"):
-            if s["done"]:
-                break
-            if row.get("cancel"):
-                s["done"] = True
-                emit("cancel")
-                break
-            s["wait"].setdefault(str(int(row["section"])), [row["content"], _int(row["marker_page"]), _int(row["marker_total"]), bool(row["last"])])
-            while not s["done"] and (page := s["wait"].pop(str(s["next"]), None)):
-                content, mark, total, last = page
-                if (mark is not None and mark != s["next"]) or (total is not None and s["total"] is not None and total != s["total"]) or s["next"] > MOST_SECTIONS:
-                    s["done"] = True
-                    emit("complete", truncated=True)
-                    break
-                s["total"] = s["total"] if total is None else total
-                s["next"] += 1
-                emit("first" if s["next"] == 2 else "delta", content)
-                if last or s["next"] - 1 == s["total"]:
-                    s["done"] = True
-                    emit("complete", truncated=s["total"] is not None and s["next"] - 1 < s["total"])
-            s["wait"] = {} if s["done"] else s["wait"]
-        self.save(s)
+        following, total, done, newest = self.cursor.get() if self.cursor.exists() else (1, None, False, 0)
+        cancelled, out = False, []
+
+        def emit(stage: str, content: str = "", truncated: bool = False, place: int | None = None) -> None:
+            out.append((key[0], stage, following - 1 if place is None else place, following - 1, total, content, truncated))
+
+        for frame in rows:
+            newest = max([newest, *(int(t.timestamp() * 1000) for t in frame["ts"] if t is not None and t == t)])
+            for row in frame.to_dict("records"):
+                section = _int(row["section"])
+                cancelled = cancelled or bool(row["cancel"])
+                if done or row["cancel"]:
+                    continue
+                if section is None or not 1 <= section <= MOST_SECTIONS:
+                    emit("refused", place=section)
+                elif section >= following and not self.waiting.containsKey((section,)):
+                    self.waiting.updateValue((section,), (row["content"], _int(row["marker_page"]), _int(row["marker_total"]), bool(row["last"])))
+                while not done and self.waiting.containsKey((following,)):
+                    content, mark, said, last = self.waiting.getValue((following,))
+                    self.waiting.removeKey((following,))
+                    if (mark is not None and mark != following) or (said is not None and total is not None and said != total):
+                        done = True
+                        emit("complete", truncated=True)
+                        break
+                    total = total if said is None else said
+                    following += 1
+                    emit("first" if following == 2 else "delta", content)
+                    if last or following - 1 == total:
+                        done = True
+                        emit("complete", truncated=total is not None and following - 1 < total)
+                    elif following > MOST_SECTIONS:
+                        done = True
+                        emit("complete", truncated=True)
+        if cancelled and not done:
+            done = True
+            emit("cancel")
+        if done:
+            self.waiting.clear()
+        self.cursor.update((following, total, done, newest))
+        self._wake(max(newest, timerValues.getCurrentWatermarkInMs()) + self.quiet)
         if out:
-            yield pd.DataFrame(out, columns=["key", "stage", "ord", "loaded", "total", "content", "truncated"]).astype({"ord": "int32", "loaded": "int32", "total": "Int32"})
+            yield _sections_frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        following, total, done, newest = self.cursor.get()
+        if done:
+            self.cursor.clear()
+            return
+        self.waiting.clear()
+        self.cursor.update((following, total, True, newest))
+        self._wake(timerValues.getCurrentWatermarkInMs() + self.quiet)
+        yield _sections_frame([(key[0], "complete", following - 1, following - 1, total, "", True)])
+
+    def _wake(self, at: int) -> None:
+        """One timer for a chapter, moved on by each page."""
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(at)
+
+
+def _sections_frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["key", "stage", "ord", "loaded", "total", "content", "truncated"]).astype({"ord": "Int32", "loaded": "int32", "total": "Int32"})
 
 
 def _int(x) -> int | None:
@@ -137,8 +191,9 @@ class NavigationFailures(_JsonState):
         yield pd.DataFrame({"target": [key[0]], "n": pd.array([s["n"]], "int32"), "failed_at": [s["at"]]})
 
 
-def stream_sections(pages: DataFrame) -> DataFrame:
-    return pages.groupBy("key").transformWithStateInPandas(SectionAssembly(), SECTIONS_OUT, "Append", "None")
+def stream_sections(pages: DataFrame, quiet: float = 600.0, lateness: str = "1 minute") -> DataFrame:
+    """R1; pages with ts, the event time."""
+    return pages.withWatermark("ts", lateness).groupBy("key").transformWithStateInPandas(SectionAssembly(quiet), SECTIONS_OUT, "Append", "EventTime")
 
 
 def stream_cooldowns(log: DataFrame) -> DataFrame:

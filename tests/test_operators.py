@@ -206,29 +206,6 @@ class _Value:
         self.row = row
 
 
-def assembled(batches):
-    from leafmill.streaming.stateful import SectionAssembly
-
-    p = SectionAssembly()
-    p.value = _Value()
-    out = []
-    for batch in batches:
-        frame = pd.DataFrame([{"section": s, "content": f"c{s}", "marker_page": m, "marker_total": t, "last": s == 3, "cancel": False} for s, m, t in batch])
-        out += [r for f in p.handleInputRows(("k",), iter([frame]), None) for r in f.itertuples()]
-    return out
-
-
-def test_sections_arrive_in_any_order():
-    out = assembled([[(3, None, None)], [(1, None, None)], [(2, None, None)]])
-    assert [(r.stage, r.content) for r in out] == [("first", "c1"), ("delta", "c2"), ("delta", "c3"), ("complete", "")]
-    assert not out[-1].truncated
-
-
-def test_contradicting_mark_truncates():
-    out = assembled([[(1, 1, 5), (2, 3, 5)]])
-    assert [(r.stage, r.truncated) for r in out] == [("first", False), ("complete", True)]
-
-
 def test_cooldowns():
     from leafmill.streaming.stateful import Cooldowns
 
