@@ -7,57 +7,27 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
 from leafmill.functions import urls as U
+from leafmill.operators.select import select_nodes, subtree_texts
 
 # What is removed from content, and labels of reader controls.
 REMOVED = ["script", "style", "iframe", "noscript", ".ad", ".ads", ".advertisement", '[class*="ad-"]', '[id*="ad-"]', ".sponsor", ".recommend", ".related", ".comment", ".share", '[class*="share"]', '[id*="share"]', ".div_feedback", '[class*="feedback"]', '[id*="feedback"]', ".anchor_bookmark", '[class*="bookmark"]', '[id*="bookmark"]', ".social_share_frame", ".social_share_inner_frame", ".page-separator", ".page_separator_first", ".page_separator_last", ".prev_page", ".next_page", ".more_recommend", '[class*="recommend"]', '[id*="recommend"]', ".txtcenter", ".mobadsq", "amp-social-share", "ins.adsbygoogle"]
-UI_LABELS = "投票推荐 投票推薦 加入书签 加入書籤 添加书签 添加書籤 小说报错 小說報錯 章节报错 章節報錯 关灯 關燈 字体- 字体+ 字體- 字體+ 上一章 下一章 上一页 下一页 上一頁 下一頁 目录 目錄 章节目录 章節目錄 章节列表 章節列表 返回书目 返回書目 返回目录 返回目錄 加入收藏 加入收藏夹".split()
+UI_LABELS = [
+    "投票推荐", "投票推薦", "加入书签", "加入書籤", "添加书签", "添加書籤", "小说报错", "小說報錯", "章节报错", "章節報錯", "关灯", "關燈", "字体-", "字体+", "字體-", "字體+", "上一章", "下一章", "上一页",
+    "下一页", "上一頁", "下一頁", "目录", "目錄", "章节目录", "章節目錄", "章节列表", "章節列表", "返回书目", "返回書目", "返回目录", "返回目錄", "加入收藏", "加入收藏夹",
+]
+UI_LABEL_PATTERNS = [
+    r"^[『「【]?(?:加入|添加)[书書][签籤][，,]方便[阅閱][读讀][』」】]?$",
+    r"^字体[+-]$",
+    r"^字體[+-]$",
+    r"^(?:上一|下一)(?:章|页|頁)$",
+    r"^(?:章?节|章節)?(?:目录|目錄|列表)$",
+]
+UI_BLOCKS = ["div", "p", "span", "li", "section", "nav", "header", "footer"]
 LAZY = ["data-original", "data-src", "data-lazy-src", "data-lazy", "data-url", "data-echo", "data-srcset", "srcset"]
 PLACEHOLDER = r"(?i)(^|/)(loading|blank|placeholder|lazy|spacer|grey)[^/]*\.(gif|png|jpe?g|svg)|^data:image/gif"
 LINE_BLOCKS = {"p", "div", "li", "ul", "ol", "table", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6"}
 
 
-def compile_selector(selector: str) -> list[tuple]:
-    """(tag, id, class, attribute, operator, value, index) of each simple alternative of a
-    selector list; parts of what is not named are null. Index: 0 for :first, -1 for :last, n for :eq(n)."""
-    import re
-
-    out = []
-    for one in selector.split(","):
-        m = re.fullmatch(r"\s*([A-Za-z][\w-]*|\*)?(?:#([\w-]+))?(?:\.([\w-]+))?(?:\[([\w-]+)(?:([*^$]?=)\"?([^\"\]]*)\"?)?\])?(?::contains\(\"?([^\")]*)\"?\))?(?::(first|last|eq\((\d+)\)))?\s*", one)
-        if not m or not one.strip():
-            raise ValueError(f"selector is not supported: {one!r}")
-        tag, own_id, cls, attr, op, value, contains, place, n = m.groups()
-        index = None if place is None else 0 if place == "first" else -1 if place == "last" else int(n)
-        out.append((None if tag in (None, "*") else tag.lower(), own_id, cls, attr, "contains" if contains else op or ("has" if attr else None), contains or value, index))
-    return out
-
-
-def select_nodes(nodes: DataFrame, selectors: list[str]) -> DataFrame:
-    """Nodes that a selector picks, with sel (its number) and alt (the alternative's): of a
-    list, the first alternative that hits in a page."""
-    rows = [(s, a, *c) for s, text in enumerate(selectors) for a, c in enumerate(compile_selector(text))]
-    out = None
-    for s, a, tag, own_id, cls, attr, op, value, index in rows:
-        hit = F.col("kind") == "element"
-        if tag:
-            hit = hit & (F.col("tag") == tag)
-        if own_id:
-            hit = hit & (F.col("id") == own_id)
-        if cls:
-            hit = hit & F.array_contains("classes", cls)
-        if attr:
-            have = F.col("attrs")[attr]
-            hit = hit & {"has": have.isNotNull(), "=": have == value, "*=": F.contains(have, F.lit(value)), "^=": F.startswith(have, F.lit(value)), "$=": F.endswith(have, F.lit(value))}[op if op != "contains" else "has"]
-        own = F.when(F.coalesce(hit, F.lit(False)), F.struct(F.lit(s).alias("sel"), F.lit(a).alias("alt"), F.lit(index).cast("int").alias("index")))
-        out = [own] if out is None else [*out, own]
-    found = nodes.withColumn("m", F.explode(F.array_compact(F.array(*out)))).select(*nodes.columns, "m.*")
-    w = Window.partitionBy("page_id", "sel", "alt")
-    k, n = F.row_number().over(w.orderBy("pos")) - 1, F.count(F.lit(1)).over(w)
-    found = found.withColumns({"k": k, "n": n}).where("index is null or k = index or (index = -1 and k = n - 1)")
-    first = F.min("alt").over(Window.partitionBy("page_id", "sel"))
-    return found.withColumn("first", first).where("alt = first").drop("index", "k", "n", "first")
-
-
 def remove_subtrees(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """Nodes outside all roots (page_id, pos, end_pos).
 
@@ -71,29 +41,28 @@ def remove_subtrees(nodes: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def remove_elements(nodes: DataFrame, selectors: list[str] = REMOVED) -> DataFrame:
-    """P20"""
-    return remove_subtrees(nodes, select_nodes(nodes, [",".join([s]) for s in selectors]).select("page_id", "pos", "end_pos").distinct())
-
-
-def element_texts(nodes: DataFrame) -> DataFrame:
-    """(page_id, pos, end_pos, tag, text) of elements of up to 64 nodes: enough for controls and bars."""
-    inner = nodes.where("kind = 'text'").select("page_id", F.col("pos").alias("t"), "text")
-    small = nodes.where("kind = 'element' and end_pos - pos <= 64").select("page_id", "pos", "end_pos", "tag")
-    each = small.withColumn("t", F.explode(F.sequence("pos", "end_pos")))
-    joined = each.join(inner, ["page_id", "t"])
-    return joined.groupBy("page_id", "pos", "end_pos", "tag").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t", "text"))), lambda x: x["text"]), "").alias("text"))
+    """P20: without what any alternative of the selectors picks."""
+    return remove_subtrees(nodes, select_nodes(nodes, selectors, every=True).select("page_id", "pos", "end_pos").distinct())
 
 
 def remove_ui_noise(nodes: DataFrame) -> DataFrame:
-    """Short reader controls, and bars of keyboard tips, navigation and fonts."""
-    texts = element_texts(nodes).withColumn("t", F.regexp_replace("text", rf"{T.SPACE}+", ""))
-    label = F.col("tag").isin("a", "button", "label") & (F.length("t") <= 12) & F.col("t").isin(UI_LABELS)
-    n = F.length("t")
-    tips = (n <= 240) & F.rlike("t", F.lit("键盘|鍵盤|快捷键")) & F.rlike("t", F.lit("上一|下一|←|→"))
-    bar = (n <= 120) & F.rlike("t", F.lit("上一[章页頁]")) & F.rlike("t", F.lit("下一[章页頁]"))
-    top = (n <= 160) & F.rlike("t", F.lit("字体|字體")) & F.rlike("t", F.lit("关灯|關燈|背景"))
-    block = F.col("tag").isin("div", "p", "span", "li", "section", "nav", "header", "footer") & (tips | bar | top)
-    return remove_subtrees(nodes, texts.where(label | block).select("page_id", "pos", "end_pos"))
+    """Without controls that bear a reader's label, and then without small blocks that are
+    keyboard tips, navigation or tool bars. White space does not count; texts are those of whole
+    subtrees, whatever their number of nodes."""
+    solid = nodes.withColumn("text", F.regexp_replace("text", rf"{T.SPACE}+", ""))
+    t = F.col("subtree_text")
+    controls = solid.where(F.col("tag").isin("a", "button", "label")).select("page_id", "pos", "end_pos")
+    labels = subtree_texts(solid, controls, 12).where(t.isin(UI_LABELS) | F.rlike(t, F.lit("|".join(UI_LABEL_PATTERNS))))
+    kept = remove_subtrees(solid, labels.join(controls, ["page_id", "pos"]))
+    blocks = kept.where(F.col("tag").isin(UI_BLOCKS)).select("page_id", "pos", "end_pos")
+    has = lambda *words: F.rlike(t, F.lit("|".join(words)))
+    tips = has("温馨提示", "溫馨提示") & F.rlike(t, F.lit("(?i)enter|回车|回車|←|→|按"))
+    bar = has("上一章", "上一頁", "上一页") & has("下一章", "下一頁", "下一页") & has("目录", "目錄") & (F.length(t) <= 120)
+    marks = has("书签", "書籤")
+    tools = ((has("投票推荐", "投票推薦") | has("报错", "報錯")) & marks) | (has("关灯", "關燈") & has("字体", "字體"))
+    noise = subtree_texts(kept, blocks, 240).where((t != "") & (tips | bar | (tools & (F.length(t) <= 160))))
+    roots = noise.join(blocks, ["page_id", "pos"]).unionByName(labels.join(controls, ["page_id", "pos"]))
+    return remove_subtrees(nodes, roots.select("page_id", "pos", "end_pos"))
 
 
 def strip_inline_style(nodes: DataFrame) -> DataFrame:

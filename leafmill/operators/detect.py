@@ -14,8 +14,19 @@ from leafmill.operators import classify
 from leafmill.sources.pages import attribute, decoded, html_nodes, page_links, page_metas, without_code
 
 # Names of content containers, in order of preference, and label families.
-KNOWN_IDS = "pagecontent contentbox bmsy_content bookpartinfo htmlContent text_area chapter_content chapterContent chaptercontent partbody BookContent read-content article_content article-content BookTextRead booktext book_text BookText BookTextt readtext readcon read TextContent txtContent text_c txt_td TXT txt zjneirong contentTxt oldtext a_content contents content2 contentts content1 content booktxt nr rtext articlecontent novelcontent text-content articlebody ChapterContents acontent chapterinfo read_content chapter-content readerFt partContent ChapterBody showcontent luf_news_contents tt_text J_BookRead zjny cont-body Lab_Contents auto-chapter readpage_leftntxt".split()
-KNOWN_CLASSES = "novel_content readmain_inner noveltext booktext yd_text2 articlecontent readcontent txtnav content art_con article read-content bookreadercontent novelbody chapter-item noveContent con Text TxtContent article-content nvl-content box_box txt_tcontent story_content chapter_content chapter-box".split()
+KNOWN_IDS = [
+    "pagecontent", "contentbox", "bmsy_content", "bookpartinfo", "htmlContent", "text_area", "chapter_content", "chapterContent", "chaptercontent",
+    "partbody", "BookContent", "read-content", "article_content", "article-content", "BookTextRead", "booktext", "book_text", "BookText", "BookTextt",
+    "readtext", "readcon", "read", "TextContent", "txtContent", "text_c", "txt_td", "TXT", "txt", "zjneirong", "contentTxt", "oldtext", "a_content",
+    "contents", "content2", "contentts", "content1", "content", "booktxt", "nr", "rtext", "articlecontent", "novelcontent", "text-content",
+    "articlebody", "ChapterContents", "acontent", "chapterinfo", "read_content", "chapter-content", "readerFt", "partContent", "ChapterBody",
+    "showcontent", "luf_news_contents", "tt_text", "J_BookRead", "zjny", "cont-body", "Lab_Contents", "auto-chapter", "readpage_leftntxt",
+]
+KNOWN_CLASSES = [
+    "novel_content", "readmain_inner", "noveltext", "booktext", "yd_text2", "articlecontent", "readcontent", "txtnav", "content", "art_con",
+    "article", "read-content", "bookreadercontent", "novelbody", "chapter-item", "noveContent", "con", "Text", "TxtContent", "article-content",
+    "nvl-content", "box_box", "txt_tcontent", "story_content", "chapter_content", "chapter-box",
+]
 KNOWN_TAGS = ["article"]
 POSITIVE = r"(?i)^(content|chapter|article|text|body|main|read|book|novel)|内容|正文|章节|小说|阅读"
 NEGATIVE = r"(?i)^(nav|header|footer|sidebar|menu|ad|comment|discuss|recommend)|(广告|评论|推荐|相关|热门|排行|导航|页眉|页脚)"

@@ -133,7 +133,7 @@ def test_selectors_and_cleaning(spark):
     picked = clean.select_nodes(nodes, [".none,#content", "p:eq(1)", 'div[class*="sha"]']).orderBy("sel").collect()
     assert [(r.sel, r.alt, r.tag) for r in picked] == [(0, 1, "div"), (1, 0, "p"), (2, 0, "div")]
     with pytest.raises(ValueError, match="not supported"):
-        clean.compile_selector("div > p")
+        clean.select_nodes(nodes, ["div + p"])
     left = clean.remove_elements(nodes)
     assert "gone" not in [r.text for r in left.collect()]
     img = clean.fix_images(clean.strip_inline_style(nodes)).where("tag = 'img'").first()
