@@ -129,7 +129,7 @@ def _parts(batch: pa.RecordBatch, most_bytes: int = 1 << 20):
         while begin < len(data):
             k = np.searchsorted(ends, begin + most_bytes)
             end = int(ends[k]) if k < len(ends) else len(data)
-            yield pa.RecordBatch.from_arrays([pa.array([data[begin:end].tobytes().decode()]), rows.column("lang")], names=["text", "lang"])
+            yield pa.RecordBatch.from_arrays([pa.array([data[begin:end].tobytes().decode()]) if c == "text" else rows.column(c) for c in rows.schema.names], names=rows.schema.names)
             begin = end
 
 
@@ -149,6 +149,7 @@ class Text:
         names = batch.column("lang").dictionary_encode()
         base = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest()) for x in names.dictionary.to_pylist()], np.uint64)
         base = _sized(base, 0)[names.indices.to_numpy(zero_copy_only=False)]
+        self.dealt, self._masks = batch.column("dealt").to_numpy(), {}
         m = len(self.begin)
         self.keys, self.whole = [base[self.owner]], [np.ones(m, bool)]
         for n in range(1, LENGTH + 1):
@@ -158,13 +159,20 @@ class Text:
             self.whole.append((piece[:size] == piece[last]) & (self.owner[:size] == self.owner[last]))
 
     def border(self, n: int, proposed: Filter | None) -> np.ndarray:
-        """Where phrases of n words start whose parts one word shorter are both proposed."""
-        at = np.flatnonzero(self.whole[n])
+        """For each place, whether n words from there on are a phrase whose parts one word shorter
+        are both proposed."""
         if n < 2 or proposed is None:
-            return at
-        shorter = self.keys[n - 1]
-        at = at[proposed.contains(shorter[at])]
-        return at[proposed.contains(shorter[at + 1])]
+            return self.whole[n]
+        if (n, proposed) not in self._masks:
+            inside = np.zeros(len(self.whole[n - 1]), bool)
+            at = np.flatnonzero(self.whole[n - 1])
+            inside[at] = proposed.contains(self.keys[n - 1][at])
+            self._masks[n, proposed] = inside[:-1][: len(self.whole[n])] & inside[1:][: len(self.whole[n])] & self.whole[n]
+        return self._masks[n, proposed]
+
+    def places(self) -> np.ndarray:
+        """16 bits that tell the document of each word from most others."""
+        return (bytewords.mix(self.dealt.view(np.uint64)) >> np.uint64(48))[self.owner]
 
     def phrase(self, at: np.ndarray, n: int) -> pa.Array:
         """Texts of the phrases, A-Z lower-cased, words joined by one space."""
@@ -175,37 +183,44 @@ class Text:
 
 
 class Counter:
-    """Counts keys and gives them out, each once, when more than FLUSH have come together."""
+    """Counts keys and gives them out, each once, when more than FLUSH have come together.
+
+    With a count goes the place of one of the key's occurrences: value = count << 16 | place."""
 
     def __init__(self):
-        self.keys, self.counts, self.held = [], [], 0
+        self.new, self.n_new = [], 0
+        self.keys, self.counts, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
 
-    def add(self, keys: np.ndarray, counts: np.ndarray | None = None):
-        self.keys.append(keys)
-        self.counts.append(np.ones(len(keys), np.int64) if counts is None else counts)
-        self.held += len(keys)
-        if self.held > 2 * FLUSH:
+    def add(self, keys: np.ndarray, places: np.ndarray):
+        self.new.append((keys, places.astype(np.uint16)))
+        self.n_new += len(keys)
+        if self.n_new > FLUSH:
             self._merge()
-            if self.held > FLUSH:
+            if len(self.keys) > FLUSH:
                 yield from self.flush()
 
     def _merge(self) -> None:
-        keys, counts = np.concatenate(self.keys), np.concatenate(self.counts)
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
+        keys = np.concatenate([self.keys, *(k for k, _ in self.new)])
+        at = np.concatenate([self.at, *(p for _, p in self.new)])
+        counts = np.ones(len(keys), np.int64)
+        counts[: len(self.counts)] = self.counts
+        order = np.argsort(keys)
+        keys = keys[order]
         first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        self.keys, self.counts, self.held = [keys[first]], [np.add.reduceat(counts, first)], len(first)
+        self.keys, self.counts, self.at = keys[first], np.add.reduceat(counts[order], first), at[order][first]
+        self.new, self.n_new = [], 0
 
     def flush(self):
-        if self.held:
+        if self.n_new:
             self._merge()
-            yield pa.RecordBatch.from_arrays([pa.array(self.keys[0].view(np.int64)), pa.array(self.counts[0])], names=["key", "n"])
+        if len(self.keys):
+            yield pa.RecordBatch.from_arrays([pa.array(self.keys.view(np.int64)), pa.array(self.counts << 16 | self.at)], names=["key", "value"])
         self.__init__()
 
 
 def count(docs: DataFrame, lengths: list[int], proposed: Filter | None = None, done: tuple = ()) -> DataFrame:
-    """(key, n): exact counts of all phrases of these lengths on the border of ``proposed`` that no
-    filter of ``done`` had on its border."""
+    """(key, n, place): exact counts of all phrases of these lengths on the border of ``proposed`` that no
+    filter of ``done`` had on its border; place: where one of the occurrences is (Text.places)."""
     spark = docs.sparkSession
     filters = spark.sparkContext.broadcast([None if x is None else x.bits for x in (proposed, *done)])  # FILTER_BYTES each
 
@@ -215,24 +230,24 @@ def count(docs: DataFrame, lengths: list[int], proposed: Filter | None = None, d
         for whole in batches:
             for batch in _parts(whole):
                 text = Text(batch)
+                places = text.places()
                 for n in lengths:
-                    if n == 0:
-                        yield from held.add(*np.unique(text.keys[0], return_counts=True))
-                        continue
-                    at = text.border(n, now)
+                    wanted = text.border(n, now)
                     for old in earlier:
-                        shorter = text.keys[n - 1]
-                        at = at[~(old.contains(shorter[at]) & old.contains(shorter[at + 1]))]
+                        wanted = wanted & ~text.border(n, old)
+                    at = np.flatnonzero(wanted)
                     for lo in range(0, len(at), FLUSH):
-                        yield from held.add(text.keys[n][at[lo : lo + FLUSH]])
+                        some = at[lo : lo + FLUSH]
+                        yield from held.add(text.keys[n][some], places[some])
         yield from held.flush()
 
-    return docs.mapInArrow(part, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    rows = docs.mapInArrow(part, "key long, value long").groupBy("key")
+    return rows.agg(F.sum(F.shiftright("value", 16)).alias("n"), F.max("value").bitwiseAND(0xFFFF).alias("place"))
 
 
 def propose(docs: DataFrame, support: int = SUPPORT, share: int = SHARE) -> DataFrame:
     """(key) of the phrases of up to LENGTH - 1 words that are frequent in the sample."""
-    sample = materialize(docs.where(F.pmod("dealt", F.lit(share)) == 0), "sample")
+    sample = docs.where(F.pmod("dealt", F.lit(share)) == 0)
     least = max(2, int(EAGER * support / share))
     found = materialize(count(sample, [1]).where(F.col("n") >= least).select("key"), "proposed")
     for n in range(2, LENGTH):
@@ -242,7 +257,7 @@ def propose(docs: DataFrame, support: int = SUPPORT, share: int = SHARE) -> Data
 
 
 def frequent(docs: DataFrame, support: int = SUPPORT, share: int = SHARE) -> tuple[DataFrame, int]:
-    """(key, n) of every phrase of up to LENGTH words with n >= support, and of the words of each
+    """(key, n, place) of every phrase of up to LENGTH words with n >= support, and of the words of each
     language together (the language's key); and how many passes over all documents it took."""
     proposed = propose(docs, support, share)
     counted, filters = None, []
@@ -260,8 +275,10 @@ def frequent(docs: DataFrame, support: int = SUPPORT, share: int = SHARE) -> tup
 
 def _described(docs: DataFrame, counts: DataFrame) -> DataFrame:
     """key, lang, size (words), phrase, firsts and rests (keys of the parts before and behind each
-    cut), inner (keys of the shorter phrases of two words or more inside) of the keys in counts."""
-    wanted = docs.sparkSession.sparkContext.broadcast(make_filter(counts).bits)
+    cut), inner (keys of the shorter phrases of two words or more inside) of the keys in counts. A key
+    is described where its place says that it occurs, so its rows do not grow with the tasks."""
+    spots = counts.select(F.col("key").bitwiseXOR(F.shiftleft("place", 40)).alias("key"))
+    wanted = docs.sparkSession.sparkContext.broadcast(make_filter(spots).bits)
     keys = pa.list_(pa.int64())
     schema = pa.schema([("key", pa.int64()), ("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("firsts", keys), ("rests", keys), ("inner", keys)])
 
@@ -275,10 +292,10 @@ def _described(docs: DataFrame, counts: DataFrame) -> DataFrame:
         for whole in batches:
             for batch in _parts(whole):
                 text = Text(batch)
-                new = []
+                new, spot = [], text.places() << np.uint64(40)
                 for n in (0, *range(2, LENGTH + 1)):
-                    at = text.border(n, None)
-                    at = at[frequents.contains(text.keys[n][at])]
+                    at = np.flatnonzero(text.whole[n])
+                    at = at[frequents.contains(text.keys[n][at] ^ spot[at])]
                     at = at[np.unique(text.keys[n][at], return_index=True)[1]]
                     at = at[~np.isin(text.keys[n][at], seen)]
                     inner = [(i, m) for m in range(2, n) for i in range(n - m + 1)]
@@ -288,7 +305,7 @@ def _described(docs: DataFrame, counts: DataFrame) -> DataFrame:
                 seen = np.sort(np.concatenate([seen, *new])) if len(seen) < FLUSH else np.concatenate(new)
 
     rows = docs.mapInArrow(part, "key long, lang string, size int, phrase string, firsts array<long>, rests array<long>, inner array<long>")
-    return rows.dropDuplicates(["key"]).join(counts, "key")
+    return rows.dropDuplicates(["key"]).join(counts.drop("place"), "key")
 
 
 def collocations(docs: DataFrame, support: int = SUPPORT, top: int = TOP, share: int = SHARE) -> DataFrame:
