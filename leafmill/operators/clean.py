@@ -25,7 +25,16 @@ UI_LABEL_PATTERNS = [
 UI_BLOCKS = ["div", "p", "span", "li", "section", "nav", "header", "footer"]
 LAZY = ["data-original", "data-src", "data-lazy-src", "data-lazy", "data-url", "data-echo", "data-srcset", "srcset"]
 PLACEHOLDER = r"(?i)(^|/)(loading|blank|placeholder|lazy|spacer|grey)[^/]*\.(gif|png|jpe?g|svg)|^data:image/gif"
-LINE_BLOCKS = {"p", "div", "li", "ul", "ol", "table", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6"}
+# Elements that end a line of text, those of them whose loose text becomes paragraphs,
+# and how a source indents a paragraph.
+LINE_BLOCKS = [
+    "address", "article", "aside", "blockquote", "caption", "colgroup", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
+    "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
+]
+PARAGRAPH_CONTAINERS = ["article", "aside", "blockquote", "div", "figcaption", "main", "section"]
+SOURCE_INDENT = r"^[\t\r\n ]*[\u00a0\u2000-\u200b\u202f\u205f\u3000]{2,}"
+#: The share of a paragraph's later lines that must be indented for its line breaks to part paragraphs.
+INDENTED = 0.8
 
 
 def remove_subtrees(nodes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -78,13 +87,50 @@ def fix_images(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("attrs", F.when(better.isNotNull(), F.map_concat(F.map_filter("attrs", lambda k, v: k != "src"), F.create_map(F.lit("src"), better))).otherwise(F.col("attrs")))
 
 
+def block_homes(nodes: DataFrame) -> DataFrame:
+    """Nodes that are text, line breaks, or other elements in a line, with home_pos and home_tag (the
+    innermost LINE_BLOCKS element around them; null at the top) and run (a number that grows with
+    each block that begins or ends before them).
+
+    The block depth is a running sum; a node's home is the last block of its depth that began before
+    it. Two windows, no join on ranges."""
+    block = (F.col("kind") == "element") & F.col("tag").isin(LINE_BLOCKS)
+    begins = nodes.select("*", F.col("pos").alias("at"), F.when(block, 0).otherwise(1).alias("what"))
+    ends = nodes.where(block).withColumns({"at": F.col("end_pos"), "what": F.lit(2)})
+    page = Window.partitionBy("page_id").orderBy("at", "what", F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = begins.unionByName(ends).withColumn("level", F.sum(F.when(F.col("what") == 0, 1).when(F.col("what") == 2, -1).otherwise(0)).over(page))
+    rows = rows.withColumn("run", F.sum((F.col("what") != 1).cast("int")).over(page)).where("what < 2")
+    level = Window.partitionBy("page_id", "level").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    home = F.last(F.when(F.col("what") == 0, F.struct("pos", "tag")), ignorenulls=True).over(level)
+    rows = rows.withColumn("home", F.when(F.col("level") > 0, home)).where("what = 1")
+    return rows.select(*nodes.columns, "run", F.col("home.pos").alias("home_pos"), F.col("home.tag").alias("home_tag"))
+
+
 def br_to_paragraphs(nodes: DataFrame) -> DataFrame:
-    """(page_id, par, text): runs of text between blocks and line breaks as paragraphs."""
-    edge = (F.col("kind") == "element") & (F.col("tag").isin(*LINE_BLOCKS, "br"))
-    w = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = nodes.withColumn("par", F.sum(edge.cast("int")).over(w)).where("kind = 'text'")
-    grouped = rows.groupBy("page_id", "par").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "").alias("text"))
-    return grouped.withColumn("text", T.collapse(F.col("text"))).where("text <> ''")
+    """(page_id, par, tag, text): the blocks of text of a page in document order.
+
+    Loose text in containers, or in none, becomes paragraphs, which line breaks part. A paragraph's
+    own breaks part it only if INDENTED of its later lines begin with the source's indentation; else,
+    as in poetry and addresses, its lines stay together, one a line of ``text``. Headings, list
+    items, table cells and the like are kept as they are under their own tag. Breaks within further
+    elements of a line do not part anything. White space is collapsed; blocks without text go."""
+    rows = block_homes(nodes)
+    top = F.col("home_pos").isNull() & F.col("tag").isin("br")
+    straight = (F.col("tag") == "br") & (F.col("parent_pos") == F.col("home_pos"))
+    page = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("break", F.coalesce(straight, F.lit(False)) | top).withColumn("line", F.sum(F.col("break").cast("int")).over(page)).where("not break")
+    raw = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "text", F.struct("pos", "text")).when(F.col("tag") == "br", F.struct("pos", F.lit(" ").alias("text"))))), lambda x: x["text"]), "")
+    lines = rows.groupBy("page_id", "run", "line", "home_pos", "home_tag").agg(F.min("pos").alias("first"), raw.alias("raw"), F.max((F.col("kind") == "element").cast("int")).alias("holds"))
+    lines = lines.withColumn("visible", (T.trim(F.col("raw")) != "") | (F.col("holds") == 1)).where("visible")
+    own = Window.partitionBy("page_id", "home_pos", "run")
+    later = F.row_number().over(own.orderBy("first")) > 1
+    lines = lines.withColumn("later", later).withColumn("share", F.count_if(F.col("later") & F.rlike("raw", F.lit(SOURCE_INDENT))).over(own) >= F.ceil(INDENTED * F.count_if("later").over(own)))
+    free = F.col("home_tag").isNull() | F.col("home_tag").isin(PARAGRAPH_CONTAINERS)
+    parted = free | ((F.col("home_tag") == "p") & F.col("share"))
+    lines = lines.withColumns({"text": T.collapse(F.col("raw")), "tag": F.when(free, "p").otherwise(F.col("home_tag")), "part": F.when(parted, F.col("line"))}).where("text <> ''")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "text"))), lambda x: x["text"]), "\n")
+    out = lines.groupBy("page_id", "run", "home_pos", "tag", "part").agg(F.min("first").alias("par"), whole.alias("text"))
+    return out.select("page_id", "par", "tag", "text")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -116,17 +162,22 @@ def trim_trailing(lines: DataFrame, most: int = 3, marks: str = r"^\s*>\s*$|^\s*
 
 def clean_content(nodes: DataFrame, titles: DataFrame | None = None, replacements: list[tuple[str, str, str]] = (), selectors: list[str] = REMOVED) -> DataFrame:
     """(page_id, content): elements and controls removed, text repaired, advertisements and
-    replacement rules applied, paragraphs built, title lines trimmed from the top."""
+    replacement rules applied, blocks built (F14), title lines trimmed from the top. content is HTML
+    of flat blocks, each under its own tag."""
     kept = fix_images(strip_inline_style(remove_ui_noise(remove_elements(nodes, selectors))))
     pars = br_to_paragraphs(kept)
     text = T.remove_ads(T.repair_glyphs(F.col("text")))
     if replacements:
         text = T.remove_ads(T.apply_replacements(text, list(replacements)))
-    lines = pars.select(F.col("page_id").alias("doc_id"), F.col("par").cast("int").alias("pos"), T.collapse(text).alias("line")).where("line <> ''")
+    tidy = F.array_join(F.filter(F.transform(F.split(text, "\n"), T.collapse), lambda x: x != ""), "\n")
+    lines = pars.select(F.col("page_id").alias("doc_id"), F.col("par").cast("int").alias("pos"), tidy.alias("line"), "tag").where("line <> ''")
+    tags = lines.select("doc_id", "pos", "tag")
+    lines = lines.drop("tag")
     if titles is not None:
         lines = trim_leading(lines, titles.select(F.col("page_id").alias("doc_id"), "title"))
-    lines = trim_trailing(lines)
-    html = F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: F.concat(F.lit("<p>"), x["line"], F.lit("</p>")))
+    lines = trim_trailing(lines).join(tags, ["doc_id", "pos"])
+    escaped = lambda x: F.replace(F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit("\n"), F.lit("<br>"))
+    html = F.transform(F.array_sort(F.collect_list(F.struct("pos", "tag", "line"))), lambda x: F.concat(F.lit("<"), x["tag"], F.lit(">"), escaped(x["line"]), F.lit("</"), x["tag"], F.lit(">")))
     return lines.groupBy("doc_id").agg(F.array_join(html, "").alias("content")).select(F.col("doc_id").alias("page_id"), "content")
 
 
