@@ -51,18 +51,25 @@ class Filter:
         self.bits = bits  # blocks x BLOCK / 8 bytes
 
     def contains(self, keys: np.ndarray) -> np.ndarray:
-        block, places = _bits(keys, len(self.bits))
-        out = np.ones(len(keys), bool)
-        for p in places:
-            out &= (self.bits[block, p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
+        block, g = _spread(keys, len(self.bits))
+        flat, alive = self.bits.reshape(-1), np.arange(len(keys))
+        for i in range(PROBES):
+            p = _place(g, i)
+            hit = (flat[block * (BLOCK // 8) + (p >> 3)] >> (p & 7).astype(np.uint8)) & 1 == 1
+            alive, block, g = alive[hit], block[hit], g[hit]
+        out = np.zeros(len(keys), bool)
+        out[alive] = True
         return out
 
 
-def _bits(keys: np.ndarray, blocks: int) -> tuple[np.ndarray, list[np.ndarray]]:
+def _spread(keys: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """The block of each key, and a number that its places in the block come from."""
     h = bytewords.mix(keys + _STEP)
-    block = (h & np.uint64(blocks - 1)).astype(np.int64)
-    g = bytewords.mix(h)
-    return block, [((g >> np.uint64(15 * i)) & np.uint64(BLOCK - 1)).astype(np.int64) for i in range(PROBES)]
+    return (h & np.uint64(blocks - 1)).astype(np.int64), bytewords.mix(h)
+
+
+def _place(g: np.ndarray, i: int) -> np.ndarray:
+    return ((g >> np.uint64(15 * i)) & np.uint64(BLOCK - 1)).astype(np.int64)
 
 
 def make_filter(keys: DataFrame, most_bytes: int = FILTER_BYTES) -> Filter:
@@ -74,7 +81,7 @@ def make_filter(keys: DataFrame, most_bytes: int = FILTER_BYTES) -> Filter:
 
     def place(batches):
         for batch in batches:
-            block, _ = _bits(batch.column("key").to_numpy().view(np.uint64), blocks)
+            block, _ = _spread(batch.column("key").to_numpy().view(np.uint64), blocks)
             yield pa.RecordBatch.from_arrays([pa.array(block), batch.column("key")], names=["block", "key"])
 
     def build(batches):
@@ -86,8 +93,9 @@ def make_filter(keys: DataFrame, most_bytes: int = FILTER_BYTES) -> Filter:
                     if held is not None:
                         yield _block_row(now, held)
                     held, now = np.zeros(BLOCK, bool), b
-                for p in _bits(k, blocks)[1]:
-                    held[p] = True
+                _, g = _spread(k, blocks)
+                for i in range(PROBES):
+                    held[_place(g, i)] = True
         if held is not None:
             yield _block_row(now, held)
 
@@ -149,7 +157,7 @@ class Text:
         names = batch.column("lang").dictionary_encode()
         base = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest()) for x in names.dictionary.to_pylist()], np.uint64)
         base = _sized(base, 0)[names.indices.to_numpy(zero_copy_only=False)]
-        self.dealt, self._masks = batch.column("dealt").to_numpy(), {}
+        self.dealt = batch.column("dealt").to_numpy()
         m = len(self.begin)
         self.keys, self.whole = [base[self.owner]], [np.ones(m, bool)]
         for n in range(1, LENGTH + 1):
@@ -158,17 +166,28 @@ class Text:
             last = slice(n - 1, n - 1 + size)
             self.whole.append((piece[:size] == piece[last]) & (self.owner[:size] == self.owner[last]))
 
-    def border(self, n: int, proposed: Filter | None) -> np.ndarray:
-        """For each place, whether n words from there on are a phrase whose parts one word shorter
-        are both proposed."""
+    def border(self, n: int, proposed: Filter | None, fresh: Filter | None = None) -> np.ndarray:
+        """Where phrases of n words start whose parts one word shorter are both proposed, and one of
+        them fresh, if that is given."""
         if n < 2 or proposed is None:
-            return self.whole[n]
-        if (n, proposed) not in self._masks:
-            inside = np.zeros(len(self.whole[n - 1]), bool)
-            at = np.flatnonzero(self.whole[n - 1])
-            inside[at] = proposed.contains(self.keys[n - 1][at])
-            self._masks[n, proposed] = inside[:-1][: len(self.whole[n])] & inside[1:][: len(self.whole[n])] & self.whole[n]
-        return self._masks[n, proposed]
+            return np.flatnonzero(self.whole[n])
+        if fresh is None:
+            inside = self._inside(n - 1, proposed)
+            return np.flatnonzero(inside[:-1] & inside[1:] & self.whole[n]) if len(self.whole[n]) else np.zeros(0, np.int64)
+        new = self._inside(n - 1, fresh)
+        at = np.flatnonzero((new[:-1] | new[1:]) & self.whole[n]) if len(self.whole[n]) else np.zeros(0, np.int64)
+        return at[self.counted(n, at, proposed, None)]
+
+    def counted(self, n: int, at: np.ndarray, proposed: Filter, fresh: Filter | None) -> np.ndarray:
+        """border() for the places given only."""
+        first, second = self.keys[n - 1][at], self.keys[n - 1][at + 1]
+        out = proposed.contains(first) & proposed.contains(second)
+        return out & (fresh.contains(first) | fresh.contains(second)) if fresh is not None else out
+
+    def _inside(self, n: int, some: Filter) -> np.ndarray:
+        out, at = np.zeros(len(self.whole[n]), bool), np.flatnonzero(self.whole[n])
+        out[at] = some.contains(self.keys[n][at])
+        return out
 
     def places(self) -> np.ndarray:
         """16 bits that tell the document of each word from most others."""
@@ -218,30 +237,31 @@ class Counter:
         self.__init__()
 
 
-def count(docs: DataFrame, lengths: list[int], proposed: Filter | None = None, done: tuple = ()) -> DataFrame:
-    """(key, n, place): exact counts of all phrases of these lengths on the border of ``proposed`` that no
-    filter of ``done`` had on its border; place: where one of the occurrences is (Text.places)."""
-    spark = docs.sparkSession
-    filters = spark.sparkContext.broadcast([None if x is None else x.bits for x in (proposed, *done)])  # FILTER_BYTES each
+def count(docs: DataFrame, lengths: list[int], proposed: Filter | None = None, fresh: Filter | None = None, done: tuple = ()) -> DataFrame:
+    """(key, n, place): exact counts of all phrases of these lengths on the border of ``proposed``
+    (with a fresh part, if ``fresh`` is given) that no pass of ``done`` (proposed, fresh) counted;
+    place: where one of the occurrences is (Text.places)."""
+    bits = [[None if x is None else x.bits for x in pair] for pair in ((proposed, fresh), *done)]
+    filters = docs.sparkSession.sparkContext.broadcast(bits)  # FILTER_BYTES each
 
     def part(batches):
-        now, *earlier = (None if x is None else Filter(x) for x in filters.value)
+        (now, new), *earlier = ([None if x is None else Filter(x) for x in pair] for pair in filters.value)
         held = Counter()
         for whole in batches:
             for batch in _parts(whole):
                 text = Text(batch)
                 places = text.places()
                 for n in lengths:
-                    wanted = text.border(n, now)
+                    at = text.border(n, now, new)
                     for old in earlier:
-                        wanted = wanted & ~text.border(n, old)
-                    at = np.flatnonzero(wanted)
+                        at = at[~text.counted(n, at, *old)]
                     for lo in range(0, len(at), FLUSH):
                         some = at[lo : lo + FLUSH]
                         yield from held.add(text.keys[n][some], places[some])
         yield from held.flush()
 
-    rows = docs.mapInArrow(part, "key long, value long").groupBy("key")
+    # keys come once or twice from a task, so there is nothing to combine before the shuffle
+    rows = docs.mapInArrow(part, "key long, value long").repartition("key").groupBy("key")
     return rows.agg(F.sum(F.shiftright("value", 16)).alias("n"), F.max("value").bitwiseAND(0xFFFF).alias("place"))
 
 
@@ -260,17 +280,17 @@ def frequent(docs: DataFrame, support: int = SUPPORT, share: int = SHARE) -> tup
     """(key, n, place) of every phrase of up to LENGTH words with n >= support, and of the words of each
     language together (the language's key); and how many passes over all documents it took."""
     proposed = propose(docs, support, share)
-    counted, filters = None, []
+    now, fresh, counted, done = make_filter(proposed), None, None, []
     while True:
-        now = make_filter(proposed)
-        lengths = [*range(0, LENGTH + 1)] if counted is None else [*range(2, LENGTH + 1)]
-        more = materialize(count(docs, lengths, now, tuple(filters)).where(F.col("n") >= support), "frequent")
+        lengths = [*range(0 if counted is None else 2, LENGTH + 1)]
+        more = materialize(count(docs, lengths, now, fresh, tuple(done)).where(F.col("n") >= support), "frequent")
         counted = more if counted is None else counted.unionByName(more)
-        filters.append(now)
+        done.append((now, fresh))
         failures = materialize(more.select("key").where(f"key & 7 between 1 and {LENGTH - 1}").join(proposed, "key", "left_anti"), "failures")
         if failures.isEmpty():
-            return counted, len(filters)
+            return counted, len(done)
         proposed = proposed.unionByName(failures)
+        now, fresh = make_filter(proposed), make_filter(failures)
 
 
 def _described(docs: DataFrame, counts: DataFrame) -> DataFrame:
