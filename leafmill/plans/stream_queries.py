@@ -43,14 +43,27 @@ def stream_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R6 over events: errors of a user since another event; targets without failures are left out."""
+    """R6 over events: errors of a user since another event, by the reader group of the user; targets
+    without failures are left out."""
     stateful.with_state_store(spark)
-    e = stream_of(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("target"), (F.col("event_type") == "error").alias("failed"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"))
+    user = F.col("user_id").cast("string")
+    e = stream_of(spark, sf_dir, "events").select(F.pmod("user_id", F.lit(7)).cast("string").alias("reader"), user.alias("target"), (F.col("event_type") == "error").alias("failed"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"))
     out = run(stateful.stream_failures(e))
     last = out.groupBy("target").agg(F.max_by("n", "failed_at").alias("n"))
     return last.where("n > 0").select("target", F.col("n").cast("long").alias("n"))
 
 
+def stream_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R10 over events: a user's sign-ups and purchases open a new view; other events are results of
+    the view of an hour before."""
+    stateful.with_state_store(spark)
+    e = stream_of(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    opens = F.col("event_type").isin("signup", "purchase")
+    hour = F.floor(F.unix_micros("ts") / 3_600_000_000).cast("long")
+    rows = e.select(F.col("user_id").alias("key"), F.when(opens, hour).otherwise(hour - 1).alias("generation"), "ts", "event_id")
+    return run(stateful.current_generation(rows, quiet=1e9)).select("key", "generation", "event_id")
+
+
 def stream_cooldowns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R4 over events as responses: purchases are 429, errors 503 with a time to wait."""
     stateful.with_state_store(spark)
@@ -85,9 +98,11 @@ def event_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(stateful.event_rows(e))
 
 
-QUERIES |= {f.__name__: f for f in (stream_positions, stream_failures, stream_cooldowns, stream_sections, stream_dedupe, event_sink)}
+QUERIES |= {f.__name__: f for f in (stream_positions, stream_failures, stream_generations, stream_cooldowns, stream_sections, stream_dedupe, event_sink)}
 ORACLES["stream_positions"] = store_queries.ORACLES["positions_lww"]
 ORACLES["stream_failures"] = "with x as (select cast(key as varchar) as target, n from (" + store_queries.ORACLES["nav_failures"] + ")) select * from x"
+ORACLES["stream_generations"] = """with e as (select user_id as key, event_id, ts, epoch_us(ts) // 3600000000 - case when event_type in ('signup', 'purchase') then 0 else 1 end as generation from events)
+select key, generation, event_id from e qualify generation >= max(generation) over (partition by key order by ts, generation rows unbounded preceding)"""
 ORACLES["stream_sections"] = """with c as (select conv_id, case when conv_id % 7 = 0 and turn = 1 then 51 else turn end as turn from conversations), o as (select conv_id, turn, row_number() over (partition by conv_id order by turn) - 1 as k from (select distinct conv_id, turn from c)),
 a as (select conv_id, count(*) filter (turn = k and turn <= 3) as loaded, max(conv_id) over () as newest from o group by 1)
 select cast(conv_id as varchar) as key, loaded, loaded = 4 as complete, loaded < 4 and conv_id + 11 <= newest as truncated from a where loaded > 0 or conv_id + 11 <= newest"""

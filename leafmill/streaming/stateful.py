@@ -23,8 +23,8 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 STATE = StructType([StructField("json", StringType())])
 SECTIONS_OUT = "key string, stage string, ord int, loaded int, total int, content string, truncated boolean"
 COOLDOWNS_OUT = "origin string, status int, until double"
-FAILURES_OUT = "target string, n int, failed_at double"
-MOST_SECTIONS = 99
+FAILURES_OUT = "reader string, target string, n int, failed_at double"
+MOST_SECTIONS, MOST_FAILURES = 99, 200
 SLOW_DOWN, SLOW_DOWN_AGAIN = 30.0, 60.0
 
 
@@ -181,14 +181,70 @@ class Cooldowns(_JsonState):
 
 
 class NavigationFailures(_JsonState):
-    """Failures of a target since its last success. Input: target, failed, ts (seconds)."""
+    """A reader's failed targets: failures of each since its last success, of MOST_FAILURES
+    targets at most; the one whose last failure is oldest gives way (then the smaller name) and begins
+    anew if it fails again. Input: reader, target, failed, ts (seconds).
+
+    What comes out is what a batch has changed: n is 0 for a target that was cleared or gave way.
+    A failure that is not newer than the target's last known event counts for nothing; so the order
+    of rows matters only for rows that are late across batches."""
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        s = self.load({"n": 0, "at": 0.0})
-        for row in _rows(rows, "ts"):
-            s = {"n": s["n"] + 1, "at": float(row["ts"])} if row["failed"] else {"n": 0, "at": 0.0}
+        s, changed = self.load({}), {}
+        for row in _rows((f[["target", "failed", "ts"]] for f in rows), "ts", "target"):
+            target, ts = row["target"], float(row["ts"])
+            n, at = s.get(target, (0, float("-inf")))
+            if n and ts < at:
+                continue
+            if row["failed"]:
+                s[target] = (n + 1, ts)
+                if len(s) > MOST_FAILURES:
+                    oldest = min(s, key=lambda t: (s[t][1], t))
+                    del s[oldest]
+                    changed[oldest] = (0, 0.0)
+            else:
+                s.pop(target, None)
+            changed[target] = s.get(target, (0, 0.0))
         self.save(s)
-        yield pd.DataFrame({"target": [key[0]], "n": pd.array([s["n"]], "int32"), "failed_at": [s["at"]]})
+        if changed:
+            yield pd.DataFrame({"reader": key[0], "target": list(changed), "n": pd.array([n for n, _ in changed.values()], "int32"), "failed_at": [at for _, at in changed.values()]})
+
+
+class Generations(StatefulProcessor):
+    """Results of a view that a newer one has replaced are dropped.
+
+    Input: key, generation, ts (the event time) and any further columns, which come out unchanged.
+    Rows of a batch go by time; one of a generation below the newest seen so far is stale. Rows later
+    than the watermark are dropped by Spark, and a key that is quiet for ``quiet`` seconds is
+    forgotten."""
+
+    def __init__(self, quiet: float = 86_400.0):
+        self.quiet = int(quiet * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.newest = handle.getValueState("newest", "generation long")
+
+    def close(self) -> None:
+        pass
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        newest, last = self.newest.get()[0] if self.newest.exists() else None, timerValues.getCurrentWatermarkInMs()
+        frames = [f for f in rows if len(f)]
+        frame = pd.concat(frames).sort_values(["ts", "generation"], kind="stable")
+        so_far = frame["generation"].cummax()
+        so_far = so_far if newest is None else so_far.clip(lower=newest)
+        self.newest.update((int(so_far.iloc[-1]),))
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(max(last, int(frame["ts"].iloc[-1].timestamp() * 1000)) + self.quiet)
+        kept = frame[frame["generation"] >= so_far]
+        if len(kept):
+            yield kept
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.newest.clear()
+        return iter(())
 
 
 def stream_sections(pages: DataFrame, quiet: float = 600.0, lateness: str = "1 minute") -> DataFrame:
@@ -201,7 +257,8 @@ def stream_cooldowns(log: DataFrame) -> DataFrame:
 
 
 def stream_failures(events: DataFrame) -> DataFrame:
-    return events.groupBy("target").transformWithStateInPandas(NavigationFailures(), FAILURES_OUT, "Append", "None")
+    """R6; events: reader, target, failed, ts (seconds)."""
+    return events.groupBy("reader").transformWithStateInPandas(NavigationFailures(), FAILURES_OUT, "Append", "None")
 
 
 def stream_positions(events: DataFrame, lateness: str = "1 hour") -> DataFrame:
@@ -226,10 +283,11 @@ def dedupe_loads(chapters: DataFrame, lateness: str = "1 hour") -> DataFrame:
     return chapters.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["reader", "url"])
 
 
-def current_generation(events: DataFrame, generations: DataFrame) -> DataFrame:
-    """Without results of an older view; generations: key, generation (the newest)."""
-    newest = generations.withColumnRenamed("generation", "newest")
-    return events.join(newest, "key", "left").where("newest is null or generation >= newest").drop("newest")
+def current_generation(events: DataFrame, lateness: str = "1 hour", quiet: float = 86_400.0) -> DataFrame:
+    """A stream (key, generation, ts, ...) without results of views that are replaced. Rows without
+    key, generation or ts belong to no view and are dropped."""
+    rows = events.where("key is not null and generation is not null and ts is not null").withWatermark("ts", lateness)
+    return rows.groupBy("key").transformWithStateInPandas(Generations(quiet), events.schema, "Append", "EventTime")
 
 
 def event_rows(events: DataFrame) -> DataFrame:

@@ -70,3 +70,34 @@ def test_marks_and_cancel(feed):
     assert got["bad"] == [("first", 1, "c1", False), ("complete", 1, "", True)]
     assert [s for s, *_ in got["stop"]] == ["first", "cancel"]
     assert [s for s, *_ in got["full"]] == ["first", "delta", "complete"] and not got["full"][-1][3]
+
+
+FAILURES = "reader string, target string, failed boolean, ts double"
+
+
+def test_failures_are_bounded_and_the_oldest_gives_way(feed):
+    batches = [
+        [("r", f"t{k:03}", True, float(k)) for k in range(200)] + [("q", "t000", True, 1.0)],
+        [("r", "t001", True, 300.0), ("r", "new", True, 301.0), ("r", "t002", False, 302.0), ("r", "t003", True, 0.5)],
+        [("r", "t000", True, 400.0), ("r", "new2", True, 401.0)],
+    ]
+    got, changes = {}, feed(batches, FAILURES, stateful.stream_failures)
+    for r in changes:
+        got[r.reader, r.target] = r.n
+    assert got["q", "t000"] == 1 and got["r", "t001"] == 2
+    assert got["r", "t000"] == 1  # it gave way to "new", and begins anew
+    assert got["r", "t002"] == 0 and got["r", "t003"] == 0  # cleared; and the oldest when new2 came
+    assert sum(n > 0 for (reader, _), n in got.items() if reader == "r") == 200
+
+
+def test_results_of_replaced_views_and_late_rows_are_dropped(feed):
+    at = lambda minute: START + timedelta(minutes=minute)
+    batches = [
+        [("k", 1, at(0), "a"), ("k", 2, at(2), "b"), ("k", 1, at(3), "stale"), ("k", 1, at(1), "before"), (None, 1, at(1), "no key"), ("j", 1, at(1), "other")],
+        [("k", 1, at(4), "stale too"), ("k", 2, at(4), "c"), ("k", 3, at(200), "d")],
+        [("k", 3, at(5), "late"), ("k", 3, at(201), "e"), ("j", 0, at(201), "stale other")],
+        [("x", 1, at(900), "clock")],
+        [("j", 0, at(901), "forgotten, so new")],
+    ]
+    got = feed(batches, "key string, generation long, ts timestamp, text string", lambda s: stateful.current_generation(s, "10 minutes", quiet=3600.0 * 4))
+    assert sorted(r.text for r in got) == sorted(["a", "before", "b", "other", "c", "d", "e", "clock", "forgotten, so new"])
