@@ -64,7 +64,7 @@ _RATE = quality_rules.ALPHA
 
 SQL["op2_quality_rules"] = rf"""
 with t as (select row_number() over () as r, doc_id, coalesce(lang, '') as lang, coalesce(text, '') as text from documents),
-a as (select r, doc_id, lang, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines,
+a as (select r, doc_id, lang, md5(text) as same, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines,
         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols,
         length(text) - length(replace(text, '!', '')) as n_exclaims,
         length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) as n_capitals,
@@ -72,10 +72,10 @@ a as (select r, doc_id, lang, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w
 win as (select r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from (select r, w, unnest(range(1, len(w) - 1)) as i from a)),
 dup as (select r, i from (select r, i, count(*) over (partition by r, g) as c from win) where c > 1),
 rep as (select r, count(distinct j) as n from (select r, unnest([i, i + 1, i + 2]) as j from dup) group by r),
-m as (select a.r, doc_id, lang, len(w) as n_words, word_chars, n_symbols, n_exclaims, n_capitals, len(lines) as n_lines, len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(rep.n, 0) as n_repeat_words from a left join rep on a.r = rep.r),
+m as (select a.r, doc_id, lang, same, len(w) as n_words, word_chars, n_symbols, n_exclaims, n_capitals, len(lines) as n_lines, len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(rep.n, 0) as n_repeat_words from a left join rep on a.r = rep.r),
 f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, greatest({', '.join(f'(case when {of} > 0 then least({x} / {of}, 1.0) else 0 end) / {quality_rules.WORST[r]}' for r, (x, of) in _SHARES.items())}) as s from m),
 clean as (select doc_id from labels group by doc_id having min(quality) = 1 and max(toxic) = 0),
-held as (select * from f where not base_failed and doc_id in (select doc_id from clean)),
+held as (select distinct on (lang, same) * from f where not base_failed and doc_id in (select doc_id from clean)),
 tests as (select lang, cutoff, n, k from (select lang, c.cutoff, count(*) as n, count(*) filter (s > c.cutoff) as k from held, (select unnest([{_CUTS}]) as cutoff) c group by all)),
 p as (select lang, cutoff, n, case when k > {_RATE} * n then 1 else list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_RATE}) + (n - i) * ln(1 - {_RATE})))) end as p from tests),
 cuts as (select lang, min(cutoff) as cut from p where p <= {quality_rules.DELTA} / (select count(distinct lang) from tests) group by lang)

@@ -14,7 +14,8 @@ the rules are silent. Four strata need 174 clean labels each, or more, to certif
 
 Defined cases: a null text has no words and fails; a null language is a stratum of its own; strata
 without labels have no cutoffs; a document with several labels counts as clean only if all say so;
-repeated rows count as often as they occur; further columns are left alone.
+copies are no independent trials, so each text counts once in a stratum's holdout, however often it
+is repeated; further columns are left alone.
 """
 
 from __future__ import annotations
@@ -57,7 +58,7 @@ def _repeated_words(hashes: Column, order: Column) -> Column:
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and
+    """doc_id, lang, same (a hash of the text), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and
     badness: the worst of the rules' scores."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), text.alias("text"))
@@ -66,6 +67,7 @@ def measures(docs: DataFrame) -> DataFrame:
     rows = rows.select(
         "doc_id",
         "lang",
+        F.xxhash64("text").alias("same"),
         words.alias("words"),
         lines.alias("lines"),
         F.length(F.translate("text", SPACES, "")).cast("long").alias("word_chars"),
@@ -75,14 +77,14 @@ def measures(docs: DataFrame) -> DataFrame:
     )
     n = F.size("words")
     windows = F.when(n >= 3, F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)))).otherwise(F.array().cast("array<bigint>"))
-    rows = rows.select("doc_id", "lang", "word_chars", "n_symbols", "n_exclaims", "n_capitals", n.cast("long").alias("n_words"), F.size("lines").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), windows.alias("hashes"))
+    rows = rows.select("doc_id", "lang", "same", "word_chars", "n_symbols", "n_exclaims", "n_capitals", n.cast("long").alias("n_words"), F.size("lines").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), windows.alias("hashes"))
     order = F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), F.array_sort(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
     rows = rows.withColumn("order", order)
     rows = rows.withColumn("n_repeat_words", _repeated_words(F.col("hashes"), F.col("order"))).drop("hashes", "order")
     share = lambda x, of: F.when(F.col(of) > 0, F.least(F.col(x) / F.col(of), F.lit(1.0))).otherwise(F.lit(0.0))
     scores = {"symbols": share("n_symbols", "word_chars"), "exclaims": share("n_exclaims", "word_chars"), "capitals": share("n_capitals", "word_chars"), "copied_lines": share("n_dup_lines", "n_lines"), "repeats": share("n_repeat_words", "n_words")}
     badness = F.greatest(*(scores[r] / worst for r, worst in WORST.items()))
-    return rows.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", badness.alias("badness"))
+    return rows.select("doc_id", "lang", "same", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", badness.alias("badness"))
 
 
 def binomial_tail(n: Column, k: Column, rate: float) -> Column:
@@ -98,9 +100,9 @@ def binomial_tail(n: Column, k: Column, rate: float) -> Column:
 
 
 def certified_cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """lang, n (clean labels) and cutoff: the lowest certified joint cutoff or null."""
+    """lang, n (different clean texts) and cutoff: the lowest certified joint cutoff or null."""
     clean = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).where("quality = 1 and toxic = 0").select("doc_id")
-    held = measured.where(~base_failed()).join(clean, "doc_id", "left_semi")
+    held = measured.where(~base_failed()).join(clean, "doc_id", "left_semi").dropDuplicates(["lang", "same"])
     passed = sum((F.col("badness") > c).cast("int") for c in CUTOFFS)
     counts = held.groupBy("lang", passed.alias("passed")).agg(F.count(F.lit(1)).alias("rows"))
     turned = [F.struct(F.lit(c).alias("cutoff"), F.sum(F.when(F.col("passed") > g, F.col("rows")).otherwise(0)).alias("k")) for g, c in enumerate(CUTOFFS)]

@@ -164,7 +164,7 @@ def test_rules_are_certified_together(spark):
     """Joint cutoffs against a plain computation; a stratum of 200 clean labels is judged, one of 100 is not."""
     r = random.Random(5)
     rows = [(k, lang, round(r.random() ** 4, 3)) for lang, n in (("a", 1500), ("b", 200), ("c", 100)) for k in range(n)]
-    measured = spark.createDataFrame([(k * 10 + "abc".index(lang), lang, 100, 0, x) for k, lang, x in rows], "doc_id long, lang string, n_words long, n_repeat_words long, badness double")
+    measured = spark.createDataFrame([(k * 10 + "abc".index(lang), lang, 100, 0, x) for k, lang, x in rows], "doc_id long, lang string, n_words long, n_repeat_words long, badness double").withColumn("same", F.col("doc_id"))
     labels = measured.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
     got = {x.lang: (x.n, x.cutoff) for x in quality_rules.certified_cutoffs(measured, labels, 0.1, 0.05).collect()}
     for lang in "abc":
@@ -177,6 +177,17 @@ def test_rules_are_certified_together(spark):
     assert (1 - quality_rules.ALPHA) ** 173 > quality_rules.DELTA / 4 >= (1 - quality_rules.ALPHA) ** 174
 
 
+def test_copies_are_no_further_trials(spark):
+    r = random.Random(9)
+    texts = [" ".join(f"w{r.randrange(10**6)}" for _ in range(80)) for _ in range(20)]
+    labels = lambda n: spark.createDataFrame([(k, 1, 0) for k in range(n)], "doc_id long, quality int, toxic int")
+    for copies in (1, 10, 50):
+        rows = [(20 * c + k, t, "s") for c in range(copies) for k, t in enumerate(texts)]
+        measured = quality_rules.measures(docs(spark, rows))
+        got = quality_rules.certified_cutoffs(measured, labels(len(rows))).collect()
+        assert [(x.n, x.cutoff) for x in got] == [(20, None)]
+
+
 # --- Mixing ---------------------------------------------------------------------------------
 
 
