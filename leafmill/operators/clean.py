@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import text as T
 from leafmill.functions import urls as U
 from leafmill.operators.select import select_nodes, subtree_texts
+from leafmill.tables import materialize
 
 # What is removed from content, and labels of reader controls.
 REMOVED = ["script", "style", "iframe", "noscript", ".ad", ".ads", ".advertisement", '[class*="ad-"]', '[id*="ad-"]', ".sponsor", ".recommend", ".related", ".comment", ".share", '[class*="share"]', '[id*="share"]', ".div_feedback", '[class*="feedback"]', '[id*="feedback"]', ".anchor_bookmark", '[class*="bookmark"]', '[id*="bookmark"]', ".social_share_frame", ".social_share_inner_frame", ".page-separator", ".page_separator_first", ".page_separator_last", ".prev_page", ".next_page", ".more_recommend", '[class*="recommend"]', '[id*="recommend"]', ".txtcenter", ".mobadsq", "amp-social-share", "ins.adsbygoogle"]
@@ -164,12 +165,26 @@ def clean_content(nodes: DataFrame, titles: DataFrame | None = None, replacement
     """(page_id, content): elements and controls removed, text repaired, advertisements and
     replacement rules applied, blocks built (F14), title lines trimmed from the top. content is HTML
     of flat blocks, each under its own tag."""
-    kept = fix_images(strip_inline_style(remove_ui_noise(remove_elements(nodes, selectors))))
-    pars = br_to_paragraphs(kept)
-    text = T.remove_ads(T.repair_glyphs(F.col("text")))
-    if replacements:
-        text = T.remove_ads(T.apply_replacements(text, list(replacements)))
-    tidy = F.array_join(F.filter(F.transform(F.split(text, "\n"), T.collapse), lambda x: x != ""), "\n")
+    pars = content_blocks(remove_elements(nodes, selectors))
+    return blocks_to_html(pars.withColumn("text", clean_text(F.col("text"), replacements)), titles)
+
+
+def content_blocks(nodes: DataFrame) -> DataFrame:
+    """The blocks (page_id, par, tag, text) of nodes whose unwanted elements are gone already; these
+    are read several times and so written to the shared folder."""
+    nodes = materialize(nodes, "content")
+    return br_to_paragraphs(fix_images(strip_inline_style(remove_ui_noise(nodes))))
+
+
+def clean_text(text: Column, replacements: list[tuple[str, str, str]] = ()) -> Column:
+    """Glyphs repaired, advertisements removed, again after replacement rules."""
+    text = T.remove_ads(T.repair_glyphs(text))
+    return T.remove_ads(T.apply_replacements(text, list(replacements))) if replacements else text
+
+
+def blocks_to_html(pars: DataFrame, titles: DataFrame | None = None) -> DataFrame:
+    """(page_id, content) of blocks; lines that repeat the title go from the top, marks from the end."""
+    tidy = F.array_join(F.filter(F.transform(F.split("text", "\n"), T.collapse), lambda x: x != ""), "\n")
     lines = pars.select(F.col("page_id").alias("doc_id"), F.col("par").cast("int").alias("pos"), tidy.alias("line"), "tag").where("line <> ''")
     tags = lines.select("doc_id", "pos", "tag")
     lines = lines.drop("tag")

@@ -98,14 +98,10 @@ def _known_order() -> Column:
     return F.array_min(F.concat(F.array(at("id", F.col("id")), at("tag", F.col("tag"))), F.transform("classes", lambda c: at("class", c))))
 
 
-def detect_content(pages: DataFrame, profile: Profile = ZH) -> DataFrame:
-    """page_id, method, tag, score, confidence, text_len, text (all of it), preview.
-
-    The first known container that is visible and valid (J3, confidence .9, no score), or else the
-    visible, valid, not structural one of CONTAINERS with the best score (A1, A2, W1). Every page is
-    taken apart once; the text is cut out of the page by the element's place in its source."""
-    stripped = pages.select("page_id", without_code(F.col("html")).alias("html"))
-    nodes = html_nodes(stripped)
+def content_elements(nodes: DataFrame, profile: Profile = ZH) -> DataFrame:
+    """C1's choice of a page's content: page_id, pos, end_pos, known, tag, score, confidence, src_off,
+    src_end. The first known container that is visible and valid (J3, confidence .9, no score), or
+    else the visible, valid, not structural one of CONTAINERS with the best score (A1, A2, W1)."""
     solid, n = F.greatest("solid", F.lit(1)), F.greatest("text_len", F.lit(1))
     shares = {"han": F.col("han") / solid, "link_density": F.col("link_text") / n, "text_density": T.density(F.col("text_len"), F.col("html_len"))}
     valid = subtree_totals(nodes).withColumns(shares).where(valid_content(profile)).withColumn("known", _known_order())
@@ -115,17 +111,24 @@ def detect_content(pages: DataFrame, profile: Profile = ZH) -> DataFrame:
     hidden = nodes.where(classify.hidden()).select("page_id", F.col("pos").alias("a"), F.col("end_pos").alias("b"))
     shown = valid.where(free).alias("v").join(hidden.alias("h"), (F.col("v.page_id") == F.col("h.page_id")) & F.col("pos").between(F.col("a"), F.col("b")), "left_anti")
     best = F.row_number().over(Window.partitionBy("page_id").orderBy(F.asc_nulls_last("known"), F.desc("score"), "pos"))
-    kept = shown.withColumn("k", best).where("k = 1").select("page_id", "known", "tag", "score", "src_off", "src_end")
-    cut = kept.join(stripped, "page_id").withColumn("text", decoded(F.substr("html", F.col("src_off") + 1, F.col("src_end") - F.col("src_off"))))
     sure = F.when(F.col("known").isNotNull(), F.lit(0.9)).otherwise(confidence_of(F.col("score")))
+    return shown.withColumn("k", best).where("k = 1").select("page_id", "pos", "end_pos", "known", "tag", "score", sure.alias("confidence"), "src_off", "src_end")
+
+
+def detect_content(pages: DataFrame, profile: Profile = ZH) -> DataFrame:
+    """page_id, method, tag, score, confidence, text_len, text (all of it), preview; the text is
+    cut out of the page by the chosen element's place in its source."""
+    stripped = pages.select("page_id", without_code(F.col("html")).alias("html"))
+    kept = content_elements(html_nodes(stripped), profile)
+    cut = kept.join(stripped, "page_id").withColumn("text", decoded(F.substr("html", F.col("src_off") + 1, F.col("src_end") - F.col("src_off"))))
     method = F.when(F.col("known").isNotNull(), "known").otherwise("scored")
-    return cut.select("page_id", method.alias("method"), "tag", "score", sure.alias("confidence"), F.length("text").alias("text_len"), "text", T.preview(F.col("text")).alias("preview"))
+    return cut.select("page_id", method.alias("method"), "tag", "score", "confidence", F.length("text").alias("text_len"), "text", T.preview(F.col("text")).alias("preview"))
 
 
 def subtree_totals(nodes: DataFrame) -> DataFrame:
     """For each element, totals of its subtree, from running sums: no join on ranges.
 
-    page_id, pos, tag, id, classes, src_off, src_end, text_len, han, solid, link_text, links, breaks, html_len."""
+    page_id, pos, end_pos, tag, id, classes, src_off, src_end, text_len, han, solid, link_text, links, breaks, html_len."""
     w = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     in_link = nodes.where("tag = 'a'").select("page_id", F.col("pos").alias("a"), F.col("end_pos").alias("b"))
     # links do not nest, so a running count of starts minus ends tells what is inside one
@@ -139,7 +142,7 @@ def subtree_totals(nodes: DataFrame) -> DataFrame:
     sums = rows.select("page_id", "pos", "end_pos", "tag", "id", "classes", "kind", "src_off", "src_end", (F.col("src_end") - F.col("src_off")).alias("html_len"), *(F.sum(c).over(w).alias(f"r_{k}") for k, c in measured.items()), *(c.alias(f"o_{k}") for k, c in measured.items()))
     at_end = sums.select("page_id", F.col("pos").alias("end_pos"), *(F.col(f"r_{k}").alias(f"e_{k}") for k in measured))
     out = sums.where("kind = 'element'").join(at_end, ["page_id", "end_pos"])
-    return out.select("page_id", "pos", "tag", "id", "classes", "src_off", "src_end", "html_len", *((F.col(f"e_{k}") - F.col(f"r_{k}") + F.col(f"o_{k}")).alias(k) for k in measured))
+    return out.select("page_id", "pos", "end_pos", "tag", "id", "classes", "src_off", "src_end", "html_len", *((F.col(f"e_{k}") - F.col(f"r_{k}") + F.col(f"o_{k}")).alias(k) for k in measured))
 
 
 def known_content(nodes: DataFrame, profile: Profile = ZH) -> DataFrame:

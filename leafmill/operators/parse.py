@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
 from leafmill.functions import urls as U
-from leafmill.operators import detect, rules
+from leafmill.operators import classify, clean, detect, rules
 from leafmill.operators.sections import next_chapter_links
-from leafmill.sources.pages import page_links, page_scripts
+from leafmill.operators.select import select_nodes, subtree_texts
+from leafmill.sources.pages import html_nodes, page_links, page_scripts, without_code
+from leafmill.tables import materialize
 
 # Keys under which JSON holds a book's title, and the objects to look into first.
 TITLE_KEYS = ["bookName", "book_name", "bookTitle", "book_title", "novelName", "novel_name", "articleName", "articlename"]
@@ -92,3 +94,85 @@ def parse_pages(pages: DataFrame, site_rules: list[dict], before: dict[str, Call
     method = F.when(by_rule, "rule").when(F.col("rule_id").isNotNull(), "mixed").otherwise("detection")
     out = rows.select("page_id", "rule_id", method.alias("method"), "title", F.coalesce("content_text", "detected").alias("content_text"), F.when(by_rule, F.lit(1.0)).otherwise(F.col("found")).alias("confidence"))
     return out.where("content_text is not null")
+
+
+PURPOSES = ("next", "prev", "index")
+
+
+def parse_chapters(pages: DataFrame, site_rules: list[dict], before: dict[str, Callable[[DataFrame], DataFrame]] | None = None, profile: detect.Profile = detect.ZH) -> DataFrame:
+    """C6 by selectors: page_id, url, rule_id, method, title, book_title, content, prev_url, next_url,
+    index_url, confidence.
+
+    A rule (J-1) may further hold: ``content``, ``title``, ``book`` and ``next``, ``prev``, ``index``
+    (selector lists, of which the first alternative that hits counts; navigation may also be False:
+    there is none, do not detect one), ``remove`` (selectors), ``replace`` (pattern, replacement,
+    flags), ``title_pattern`` with ``title_index`` (1) and ``book_index`` on the document's title, and
+    ``title_replace`` (a pattern that goes). Where a rule's content selector hits, the method is
+    ``rule`` with confidence 1, and navigation that the rule does not name is detected. Else content
+    is detected; with a rule, the method is ``mixed``, and what the rule finds overrides. Content is
+    cleaned (C10). Pages without content are dropped.
+
+    The pages are taken apart once, into a table in the shared folder."""
+    matched = rules.match_rule(pages, site_rules)
+    for rule_id, transform in (before or {}).items():
+        own = transform(matched.where(F.col("rule_id") == rule_id))
+        matched = matched.where(F.coalesce(F.col("rule_id") != rule_id, F.lit(True))).unionByName(own.select(matched.columns))
+    of_page = matched.select("page_id", "rule_id")
+    nodes = html_nodes(matched.select("page_id", without_code(F.col("html")).alias("html")))
+    nodes = materialize(nodes.join(of_page, "page_id"), "nodes")
+    fields = [(r["id"], f, r[f]) for r in site_rules for f in ("content", "title", "book", *PURPOSES) if r.get(f)]
+    names = F.array(*(F.lit(f) for _, f, _ in fields)) if fields else F.array(F.lit(""))
+    hits = select_nodes(nodes, [(rule, text) for rule, _, text in fields]).withColumn("field", F.get(names, F.col("sel")))
+    first = F.row_number().over(Window.partitionBy("page_id", "field").orderBy("pos"))
+    hits = hits.withColumn("k", first).where("k = 1").select("page_id", "field", "pos", "end_pos", "tag", "attrs")
+    texts = subtree_texts(nodes, hits.where("field in ('title', 'book')").select("page_id", "pos", "end_pos"))
+    named = hits.join(texts, ["page_id", "pos"], "left")
+    value = lambda f, c: F.max(F.when(F.col("field") == f, c))
+    href = F.when((F.col("tag") == "a") & (F.col("attrs")["href"] != ""), F.col("attrs")["href"])
+    per = materialize(named.groupBy("page_id").agg(value("title", T.trim(F.col("subtree_text"))).alias("rule_title"), value("book", T.trim(F.col("subtree_text"))).alias("rule_book"), *(value(p, href).alias(f"rule_{p}") for p in PURPOSES), value("content", F.col("pos")).alias("rule_pos"), value("content", F.col("end_pos")).alias("rule_end")), "fields")
+    found = detect.content_elements(nodes.drop("rule_id"), profile).select("page_id", F.col("pos").alias("found_pos"), F.col("end_pos").alias("found_end"), F.col("confidence").alias("found"))
+    found = materialize(found, "found")
+    titles = detect.detect_title(matched).select("page_id", F.col("title").alias("found_title"), F.col("confidence").alias("title_conf"))
+    books = detect.book_title_vote(matched).select("page_id", F.col("book_title").alias("found_book"))
+    nav = detect.detect_navigation(matched).groupBy("page_id").agg(*(F.max(F.when(F.col("purpose") == p, F.col(c))).alias(f"{n}_{p}") for p in PURPOSES for c, n in (("url", "found"), ("confidence", "sure"))))
+    rows = matched.select("page_id", "url", "rule_id", classify.title_of(F.col("html")).alias("document"))
+    for more in (per, found, titles, books, nav):
+        rows = rows.join(more, "page_id", "left")
+    by_rule = F.col("rule_pos").isNotNull()
+
+    def of_rule(make, default: Column) -> Column:
+        """The value that make(rule) gives for a page's rule; default where it gives None."""
+        out = default
+        for r in site_rules:
+            c = make(r)
+            out = out if c is None else F.when(F.col("rule_id") == r["id"], c).otherwise(out)
+        return out
+
+    none = F.lit(None).cast("string")
+    group = lambda r, k: F.nullif(F.regexp_extract("document", r["title_pattern"], k), F.lit(""))
+    pattern_title = of_rule(lambda r: group(r, r.get("title_index", 1)) if r.get("title_pattern") else None, none)
+    pattern_book = of_rule(lambda r: F.when(F.coalesce("rule_title", F.lit("")) == "", group(r, r["book_index"])) if r.get("title_pattern") and r.get("book_index") else None, none)
+    title = F.coalesce(F.nullif("rule_title", F.lit("")), pattern_title, F.nullif("found_title", F.lit("")))
+    title = of_rule(lambda r: T.trim(F.regexp_replace(title, r["title_replace"], "")) if r.get("title_replace") else None, title)
+    title = F.when(by_rule, F.coalesce(title, F.lit(""))).otherwise(F.coalesce(F.nullif("found_title", F.lit("")), F.lit("Unknown Chapter")))
+    book = F.when(by_rule, F.coalesce(pattern_book, F.nullif("rule_book", F.lit("")), "found_book")).otherwise(F.col("found_book"))
+
+    def link(p: str) -> Column:
+        own = U.resolve_url(F.col(f"rule_{p}"), F.col("url"))
+        defined = of_rule(lambda r: F.lit(True) if r.get(p) is not None else None, F.lit(False))
+        return F.when(by_rule & defined, own).otherwise(F.coalesce(F.when(~by_rule, own), F.col(f"found_{p}")))
+
+    overall = detect.overall_score(F.coalesce("found", F.lit(0.0)), detect.navigation_score(*(F.col(f"sure_{p}") for p in PURPOSES)), F.coalesce("title_conf", F.lit(0.0)))
+    method = F.when(by_rule, "rule").when(F.col("rule_id").isNotNull(), "mixed").otherwise("detection")
+    rows = rows.where(by_rule | F.col("found_pos").isNotNull())
+    rows = materialize(rows.select("page_id", "url", "rule_id", method.alias("method"), title.alias("title"), book.alias("book_title"), *(link(p).alias(f"{p}_url") for p in PURPOSES), F.when(by_rule, F.lit(1.0)).otherwise(overall).alias("confidence"), F.coalesce("rule_pos", "found_pos").alias("a"), F.coalesce("rule_end", "found_end").alias("b")), "chapters")
+    inside = nodes.join(rows.select("page_id", "a", "b"), "page_id").where("pos > a and pos <= b").drop("a", "b")
+    unwanted = [(None, s) for s in clean.REMOVED] + [(r["id"], s) for r in site_rules for s in ([r["remove"]] if r.get("remove") else [])]
+    roots = select_nodes(inside, unwanted, every=True).select("page_id", "pos", "end_pos").distinct()
+    blocks = materialize(clean.content_blocks(clean.remove_subtrees(inside.drop("rule_id"), roots)).join(of_page, "page_id"), "blocks")
+    replacing = {r["id"]: r["replace"] for r in site_rules if r.get("replace")}
+    plain = blocks.where(~F.coalesce(F.col("rule_id").isin(*replacing), F.lit(False))) if replacing else blocks
+    parts = [plain.withColumn("text", clean.clean_text(F.col("text")))]
+    parts += [blocks.where(F.col("rule_id") == i).withColumn("text", clean.clean_text(F.col("text"), r)) for i, r in replacing.items()]
+    content = clean.blocks_to_html(materialize(reduce(DataFrame.unionByName, parts), "cleaned"), rows.select("page_id", "title"))
+    return rows.drop("a", "b").join(content, "page_id", "left").withColumn("content", F.coalesce("content", F.lit("")))

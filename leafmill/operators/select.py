@@ -3,7 +3,8 @@
 A selector list is compiled to rows, one for each compound of each alternative, and joined to the
 nodes on one key of the compound (its id, class, attribute or tag). What else the compound asks for
 is a residual condition, ancestors are found by running maxima over document order, and ``:contains``
-looks into a slice of the page's text: nothing is joined on ranges.
+looks into a slice of the page's text: nothing is joined on ranges. Where compounds are chained or
+texts are asked for, the nodes that fit a compound are written to the shared folder first.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.tables import materialize
+
 #: Rows of the selector table, which is broadcast.
 MOST_COMPOUNDS = 100_000
 COMPOUNDS = "rule string, sel int, alt int, step int, steps int, link string, key string, tag string, id string, classes array<string>, attrs array<struct<name: string, op: string, value: string>>, needles array<string>, place int"
@@ -119,8 +122,10 @@ def select_nodes(nodes: DataFrame, selectors: list[str] | list[tuple[str | None,
     for f in fits:
         hits = hits.where(f)
     hits = hits.select(*nodes.columns, F.col("s_sel").alias("sel"), F.col("s_alt").alias("alt"), *(f"s_{c}" for c in ("step", "steps", "link", "needles", "place")))
-    found = hits.where("s_steps = 1")
     longest = max(r[4] for r in rows)
+    if longest > 1 or any(r[11] for r in rows):  # what is read several times from here on
+        hits = materialize(hits, "hits")
+    found = hits.where("s_steps = 1")
     if longest > 1:
         above = hits.where("s_step = 0 and s_steps > 1")
         for step in range(1, longest):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import text as T
 from leafmill.functions import urls as U
 from leafmill.operators import detect, parse, rules, sections, store
-from leafmill.plans.page_queries import CONTENT, LINKS
+from leafmill.plans.page_queries import CONTENT, LINKS, s_decoded
 from leafmill.plans.text_queries import RULES
 from leafmill.plans.url_queries import _CANONICAL, sql_host, sql_path, sql_section
 from leafmill.sources import pages as S
@@ -35,6 +35,28 @@ def parse_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "rule_id", "method", F.md5(F.col("content_text").cast("binary")).alias("content"))
 
 
+#: Rules of the pages by selectors: one whose content is always there, one whose second alternative
+#: is, and one whose content never is, so that it is detected.
+SELECTOR_RULES = [
+    {**RULES[0], "content": "body > article", "title": "div.ad", "next": "nav li a:eq(1)", "prev": False, "index": "nav a:first", "remove": "h1"},
+    {**RULES[2], "content": "#none, article:contains(e)", "title": ".none, .ad", "next": "footer a", "prev": "ul > li > a:last", "replace": [("[0-9]+", "#", "g")]},
+    {**RULES[3], "content": ".chapter-text", "next": "li a:eq(-2)"},
+]
+
+
+@query(f"""with {LINKS}, {CONTENT}, m as (select page_id, url, case when regexp_matches(url, '(?i)(casino|pills|bets)') and not regexp_matches(url, '(?i)/fr/') then 'shop' when regexp_matches(url, '(?i)\\.example\\.org/') then 'org' when regexp_matches(url, '(?i)/en/[0-9]+') and not regexp_matches(url, '(?i)^https://m\\.') then 'english' end as rule_id, regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1) as ad from pages),
+n as (select page_id, count(*) as n from links group by 1),
+l as (select page_id, max(abs_url) filter (pos = 0) as l0, max(abs_url) filter (pos = 1) as l1, max(abs_url) filter (pos = n - 2) as l4, max(abs_url) filter (pos = n - 1) as l5 from links join n using (page_id) group by 1)
+select m.page_id, coalesce(m.rule_id, '') as rule_id, case when ruled then 'rule' when m.rule_id is null then 'detection' else 'mixed' end as method,
+       case when ruled then trim({s_decoded('ad')}) end as title,
+       case m.rule_id when 'shop' then l1 when 'english' then l4 end as next_url, case m.rule_id when 'org' then l5 end as prev_url, case m.rule_id when 'shop' then l0 end as index_url
+from (select *, coalesce(rule_id = 'shop' or (rule_id = 'org' and contains(text, 'e')), false) as ruled from m join c4 using (page_id)) m left join l using (page_id) where ruled or (text_len >= 500 and link_density <= 0.5)""")
+def parse_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C6 by selectors; the detected titles of other pages are those of title_detect."""
+    rows = parse.parse_chapters(S.read_pages(spark, sf_dir), SELECTOR_RULES, profile=detect.LATIN)
+    return rows.select("page_id", F.coalesce("rule_id", F.lit("")).alias("rule_id"), "method", F.when(F.col("method") == "rule", F.col("title")).alias("title"), "next_url", "prev_url", "index_url")
+
+
 _K = sql_section(sql_path("url"))
 
 
