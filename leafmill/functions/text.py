@@ -50,7 +50,7 @@ ADS = [
     r"(?m)^\s*[）)]",
     r"手机用户请到.*阅读",
     r"请记住本书.*网址",
-    r"【[^】\r\n]{1,120}】(小说|小說)(免费|免費)(阅读|閱讀)[，,][ \t\x{3000}]*(请|請)收藏[ \t\x{3000}]*[^【】\r\n]{1,32}【1qxs\.com】",
+    r"(?i)【[^】\r\n]{1,120}】(?:小说|小說)(?:免费|免費)(?:阅读|閱讀)[，,][ \t\x{3000}]*(?:请|請)收藏[ \t\x{3000}]*[^【】\r\n]{1,32}【1qxs\.com】",
     r"([请請]?[记記]住首[发發][网網]站(域名)?|[请請][记記]住[网網]址)[^<\n]*",
     r"百度搜索.*最新章节",
     r"一秒记住.*为您提供",

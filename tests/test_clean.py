@@ -1,5 +1,6 @@
 """Blocks of text of a page: loose text, line breaks, kept lists, poetry and indented prose."""
 
+from leafmill.functions import text as T
 from leafmill.operators import clean
 from leafmill.sources.pages import html_nodes
 
@@ -44,3 +45,8 @@ def test_content_keeps_tags_and_escapes(spark):
 def test_long_page(spark):
     html = "<div>" + "line one<br>" * 30_000 + "</div>"
     assert clean.br_to_paragraphs(nodes_of(spark, [html])).count() == 30_000
+
+
+def test_advertisement_of_any_case_goes(spark):
+    df = spark.createDataFrame([("前【x】小说免费阅读，请收藏abc【1QXS.com】后",), ("前【x】小說免費閱讀,請收藏 abc【1qxs.com】后",)], "t string")
+    assert [r[0] for r in df.select(T.remove_ads(df.t)).collect()] == ["前后", "前后"]
