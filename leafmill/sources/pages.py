@@ -99,15 +99,15 @@ class _Builder:
     Takes any text, in time linear in it: every search either moves on or ends at the text's end, and
     the open elements that a tag may end are kept apart from those it cannot."""
 
-    def __init__(self, html: str):
-        self.html = html
+    def __init__(self):
+        self.html = ""
         self.rows: list[list] = []
         self.open: list[int] = []
         self.depth_of: dict[str, int] = {}  # open elements by tag
         self.edges: list[int] = []  # places in ``open`` of what ends by itself or bounds what does
 
-    def run(self) -> list[list]:
-        html, end = self.html, len(self.html)
+    def run(self, html: str) -> list[list]:
+        self.html, end = html, len(html)
         at = text = 0  # text: where the text begins that is not a node yet
         while at < end:
             at = html.find("<", at)
@@ -212,7 +212,7 @@ def html_nodes(pages: DataFrame) -> DataFrame:
     def rows(batches):
         for batch in batches:
             for page_id, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                found = _Builder(html or "").run()
+                found = _Builder().run(html or "")
                 if found:
                     columns = list(zip(*found, strict=True))
                     attrs = pa.array([list(a.items()) for a in columns[8]], pa.map_(pa.string(), pa.string()))

@@ -13,7 +13,7 @@ PIECES = ["<", ">", "/", "!", "-", "--", "[", "]", "a", "p", "b", "div", "li", '
 
 
 def check(html: str) -> list:
-    rows = pages._Builder(html).run()
+    rows = pages._Builder().run(html)
     for i, (pos, end_pos, depth, parent, kind, tag, _, _, _, _, begin, end) in enumerate(rows):
         assert pos == i <= end_pos < len(rows) and 0 <= begin <= end <= len(html)
         assert (kind == "element") == bool(tag)
@@ -35,7 +35,7 @@ def test_time_is_linear(piece):
     seconds = []
     for n in (10_000, 100_000):
         began = time.process_time()
-        pages._Builder(piece * n).run()
+        pages._Builder().run(piece * n)
         seconds.append(time.process_time() - began)
     assert seconds[1] < 25 * max(seconds[0], 0.02)
 

@@ -32,7 +32,7 @@ def page(rng) -> str:
 
 
 def plain(html: str, text: str, every: bool) -> list[int]:
-    rows = _Builder(html).run()
+    rows = _Builder().run(html)
     text_of = lambda r: "".join(x[9] for x in rows[r[0] : r[1] + 1] if x[4] == "text")
 
     def fits(r, compound) -> bool:
