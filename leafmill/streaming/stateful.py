@@ -191,7 +191,8 @@ class NavigationFailures(_JsonState):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         s, changed = self.load({}), {}
-        for row in _rows((f[["target", "failed", "ts"]] for f in rows), "ts", "target"):
+        # of equal times a success comes last: a failure that is not newer counts for nothing
+        for row in _rows((f[["target", "failed", "ts"]].assign(ok=~f["failed"].astype(bool)) for f in rows), "ts", "target", "ok"):
             target, ts = row["target"], float(row["ts"])
             n, at = s.get(target, (0, float("-inf")))
             if n and ts < at:
