@@ -15,11 +15,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
-from leafmill.tables import materialize
 
 DAY = 86_400
 MOST_AGE = 30 * DAY
 POSITIONS, CHAPTERS, FAILURES, EVENTS = 200, 500, 200, 50
+#: What stored chapters are merged by, and into how many parts a bucket is dealt for it.
+KEYS, PARTS = ["book_bucket", "part", "book_id", "url"], 16
 RETRIED = [500, 502, 503, 504]
 LONGEST_WAIT = 60.0
 
@@ -83,6 +84,12 @@ class ChapterStore:
     def _bucket(self, book_id: Column) -> Column:
         return F.pmod(F.xxhash64(book_id), F.lit(self.buckets)).cast("int")
 
+    def _parted(self, rows: DataFrame) -> DataFrame:
+        """Rows with their bucket and part, shuffled by them: merging, removing and writing need no
+        further shuffle, and a bucket of any size is the work of PARTS tasks."""
+        parts = {"book_bucket": self._bucket(F.col("book_id")), "part": F.pmod(F.xxhash64("url"), F.lit(PARTS)).cast("int")}
+        return rows.withColumns(parts).repartition("book_bucket", "part")
+
     def _rows(self, generations: dict[int, str]) -> DataFrame:
         paths = [f"{self.path}/rows/generation={g}/book_bucket={b}" for b, g in sorted(generations.items()) if g]
         if not paths:
@@ -90,36 +97,36 @@ class ChapterStore:
         return self.spark.read.schema(self.SCHEMA).option("basePath", f"{self.path}/rows").parquet(*paths).select("book_id", "url", "content", "cached_at")
 
     def _replace(self, make, touched: list[int], version: int, generations: dict[int, str]) -> int:
-        """Writes make(stored rows of the touched buckets) as their new generation."""
+        """Writes make(stored rows of the touched buckets), parted, as their new generation."""
         if not touched:
             return version
         generation = uuid.uuid4().hex
         rows = make(self._rows({b: generations.get(b, "") for b in touched}))
-        rows = rows.withColumn("book_bucket", self._bucket(F.col("book_id")))
-        rows.hint("rebalance", "book_bucket").write.partitionBy("book_bucket").parquet(f"{self.path}/rows/generation={generation}")
+        rows.select("book_id", "url", "content", "cached_at", "book_bucket").write.partitionBy("book_bucket").parquet(f"{self.path}/rows/generation={generation}")
         written = {int(n.split("=")[1]) for n in self._list(f"rows/generation={generation}") if n.startswith("book_bucket=")}
+        if not written <= set(touched):
+            raise RuntimeError("the chapters changed while they were read; run this write again")
         return self._commit(version, {b: g for b, g in generations.items() if b not in touched} | dict.fromkeys(sorted(written), generation))
 
     def write(self, chapters: DataFrame) -> int:
-        """Merges the chapters in; the new version."""
+        """Merges the chapters in; the new version. They are read twice: for their buckets and themselves."""
         version, generations = self.manifest()
-        rows = chapters.where("book_id is not null and url is not null and url <> ''").select(F.col("book_id").cast("string").alias("book_id"), "url", "content", F.col("cached_at").cast("timestamp").alias("cached_at"))
-        new = materialize(rows.groupBy("book_id", "url").agg(F.max(F.struct("cached_at", "content")).alias("x")).select("book_id", "url", "x.content", "x.cached_at"), "chapters")
+        new = chapters.where("book_id is not null and url is not null and url <> ''").select(F.col("book_id").cast("string").alias("book_id"), "url", "content", F.col("cached_at").cast("timestamp").alias("cached_at"))
         touched = [r[0] for r in new.select(self._bucket(F.col("book_id"))).distinct().collect()]  # ``buckets`` rows at most
 
         def merged(old: DataFrame) -> DataFrame:
             both = old.withColumn("source", F.lit(0)).unionByName(new.withColumn("source", F.lit(1)))
-            best = both.groupBy("book_id", "url").agg(F.max(F.struct("cached_at", "source", "content")).alias("x"))
-            return best.select("book_id", "url", "x.content", "x.cached_at")
+            best = self._parted(both).groupBy(*KEYS).agg(F.max(F.struct("cached_at", "source", "content")).alias("x"))
+            return best.select(*KEYS, "x.content", "x.cached_at")
 
         return self._replace(merged, touched, version, generations)
 
     def remove(self, chapters: DataFrame) -> int:
         """Takes the chapters (book_id, url) out; the new version."""
         version, generations = self.manifest()
-        gone = materialize(chapters.select(F.col("book_id").cast("string").alias("book_id"), "url").distinct(), "removed")
+        gone = chapters.select(F.col("book_id").cast("string").alias("book_id"), "url")
         touched = [r[0] for r in gone.select(self._bucket(F.col("book_id"))).distinct().collect() if r[0] in generations]
-        return self._replace(lambda old: old.join(gone, ["book_id", "url"], "left_anti"), touched, version, generations)
+        return self._replace(lambda old: self._parted(old).join(self._parted(gone), KEYS, "left_anti"), touched, version, generations)
 
     def read(self, book_id: str | None = None, version: int | None = None) -> DataFrame:
         """Stored chapters of the newest or a given version; of one book, only its bucket is read."""
