@@ -85,8 +85,12 @@ class SectionAssembly(StatefulProcessor):
         pass
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        following, total, done, newest = self.cursor.get() if self.cursor.exists() else (1, None, False, 0)
+        known = self.cursor.exists()
+        following, total, done, newest = self.cursor.get() if known else (1, None, False, 0)
         cancelled, out = False, []
+        # each call of the state is a round trip, so what waits is read once and written once
+        held = {k[0]: tuple(v) for k, v in self.waiting.iterator()} if known and not done else {}
+        waiting = dict(held)
 
         def emit(stage: str, content: str = "", truncated: bool = False, place: int | None = None) -> None:
             out.append((key[0], stage, following - 1 if place is None else place, following - 1, total, content, truncated))
@@ -100,11 +104,10 @@ class SectionAssembly(StatefulProcessor):
                     continue
                 if section is None or not 1 <= section <= MOST_SECTIONS:
                     emit("refused", place=section)
-                elif section >= following and not self.waiting.containsKey((section,)):
-                    self.waiting.updateValue((section,), (row["content"], _int(row["marker_page"]), _int(row["marker_total"]), bool(row["last"])))
-                while not done and self.waiting.containsKey((following,)):
-                    content, mark, said, last = self.waiting.getValue((following,))
-                    self.waiting.removeKey((following,))
+                elif section >= following and section not in waiting:
+                    waiting[section] = (row["content"], _int(row["marker_page"]), _int(row["marker_total"]), bool(row["last"]))
+                while not done and following in waiting:
+                    content, mark, said, last = waiting.pop(following)
                     if (mark is not None and mark != following) or (said is not None and total is not None and said != total):
                         done = True
                         emit("complete", truncated=True)
@@ -121,10 +124,15 @@ class SectionAssembly(StatefulProcessor):
         if cancelled and not done:
             done = True
             emit("cancel")
-        if done:
+        if done and held:
             self.waiting.clear()
+        elif not done:
+            for k in held.keys() - waiting.keys():
+                self.waiting.removeKey((k,))
+            for k in waiting.keys() - held.keys():
+                self.waiting.updateValue((k,), waiting[k])
         self.cursor.update((following, total, done, newest))
-        self._wake(max(newest, timerValues.getCurrentWatermarkInMs()) + self.quiet)
+        self._wake(max(newest, timerValues.getCurrentWatermarkInMs()) + self.quiet, known)
         if out:
             yield _sections_frame(out)
 
@@ -138,9 +146,9 @@ class SectionAssembly(StatefulProcessor):
         self._wake(timerValues.getCurrentWatermarkInMs() + self.quiet)
         yield _sections_frame([(key[0], "complete", following - 1, following - 1, total, "", True)])
 
-    def _wake(self, at: int) -> None:
-        """One timer for a chapter, moved on by each page."""
-        for old in list(self.handle.listTimers()):
+    def _wake(self, at: int, known: bool = True) -> None:
+        """One timer for a chapter, moved on by each page; one that is not known has none yet."""
+        for old in list(self.handle.listTimers()) if known else ():
             self.handle.deleteTimer(old)
         self.handle.registerTimer(at)
 
