@@ -1,16 +1,18 @@
 """Defined cases and brute-force twins of the smaller operators."""
 
 import hashlib
+import heapq
 import math
 import random
 import re
 from collections import Counter
 from fractions import Fraction
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from leafmill.llm import pfair_mix, quality_rules, span_crf, url_terms, weak_quality, wu_manber
+from leafmill.llm import oracles, pfair_mix, quality_rules, span_crf, url_terms, weak_quality, wu_manber
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "word and more, " * 30_000
@@ -269,6 +271,57 @@ def test_mix_refuses_unlisted_sources(spark):
         pfair_mix.mix(docs(spark, [(1, "t", "a"), (2, "t", "b")]), weights)
 
 
+def earliest_deadlines(weights, period):
+    """{slot: (source, turn)} by plain search."""
+    left = sorted((j * period // w, -(-(j + 1) * period // w), s, j) for s, w in weights.items() for j in range(w))[::-1]
+    ready, out = [], {}
+    for slot in range(period):
+        while left and left[-1][0] <= slot:
+            heapq.heappush(ready, left.pop()[1:])
+        if ready:
+            _, *out[slot] = heapq.heappop(ready)
+    return out
+
+
+@pytest.mark.parametrize("classes, reach", [(8, 1 << 16), (4, 50), (2, 7)])
+def test_schedule_equals_plain_search(spark, monkeypatch, classes, reach):
+    monkeypatch.setattr(pfair_mix, "CLASSES", classes)
+    monkeypatch.setattr(pfair_mix, "RANGE", reach)
+    r = random.Random(classes)
+    sizes = [1] * 60 + [7] * 40 + [r.randint(1, 30) for _ in range(50)] + [4100 if classes == 8 else 300]
+    for idle in (0, 1, 77):  # weights may leave slots empty
+        weights = {f"s{k}é": w for k, w in enumerate(sizes)}
+        period = sum(sizes) + idle
+        got = pfair_mix.schedule(spark.createDataFrame(list(weights.items()), "source string, weight int"), period).collect()
+        assert {x.slot: [x.source, x.turn] for x in got} == earliest_deadlines(weights, period)
+        assert len(got) == sum(sizes)
+
+
+@pytest.mark.parametrize("sources, period", [(62, 1000), (63, 1000), (1000, 1000), (1001, 1 << 14), (5000, 1 << 17)])
+def test_mix_of_any_number_of_sources_stays_within_a_block(spark, sources, period):
+    counts = Counter({f"s{k}": 2 + k % 3 for k in range(sources - 1)} | {None: 200})
+    rows = [(k, "t", s) for k, s in enumerate(counts.elements())]
+    given = docs(spark, rows).select("doc_id", "source")
+    got = pfair_mix.mix(given, block=1).collect()
+    named = given.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.count(F.lit(1)).alias("n"))
+    weights = {r.source: r.weight for r in pfair_mix.target_weights(named, period=period).collect()}
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _, _ in rows)
+    assert len({r.slot for r in got}) == len(rows)
+    for r in got:
+        w = weights[r.source or ""]
+        assert abs(r.slot * w - r.block * period) < period and abs((r.slot + 1) * w - (r.block + 1) * period) < period
+    if sources <= pfair_mix.PERIOD:  # with more, the SQL twin has no slot for each source
+        documents = given.toPandas()  # noqa: F841
+        twin = f"with recursive t as (select row_number() over () as r, doc_id, source from documents), {oracles.mixed('t', block=1)} select doc_id, t.source, block, slot, place from mixed join t using (r)"
+        assert set(duckdb.sql(twin).fetchall()) == {tuple(r) for r in got}
+
+
+def test_mix_refuses_weights_beyond_the_period(spark):
+    weights = spark.createDataFrame([("a", 600), ("b", 401)], "source string, weight int")
+    with pytest.raises(ValueError, match="more than 1000"):
+        pfair_mix.mix(docs(spark, [(1, "t", "a"), (2, "t", "b")]), weights)
+
+
 # --- Personal data --------------------------------------------------------------------------
 
 
