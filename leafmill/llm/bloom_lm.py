@@ -49,11 +49,12 @@ SHARD_BYTES = 4 << 20
 #: Shards in a cell, as a power of two, unless cells are few or many.
 CELL = 2
 #: Text whose n-grams are counted at once before they are sent.
-COUNTED = 4 << 20
+COUNTED = 2 << 20
 #: Text that is scored at once, and where probes travel.
 PIECE = 1 << 18
 ASKED = 4 << 20
-#: N-grams of several pieces that are looked up at once.
+#: N-grams that are added up at once, and that are looked up at once.
+ADDED = 1 << 16
 LOOKED_UP = 1 << 19
 BASE = 2.0
 END = np.uint64(0x5851F42D4C957F2D)
@@ -97,7 +98,7 @@ def _merge(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def cell_bits(bits: int) -> int:
     """The top bits of a key that name its cell; bits: those that name its shard."""
-    cells = min(bits, max(5, bits - CELL))
+    cells = min(bits, max(8, bits - CELL))
     return cells if cells <= 10 else 10 + (cells - 9) // 2
 
 
@@ -135,7 +136,7 @@ def count_ngrams(training: DataFrame, bits: int) -> DataFrame:
                     keys.append(unpack(x.as_py()))
                     counts.append(np.frombuffer(times.as_py(), np.uint32).astype(np.int64))
                     waiting += len(keys[-1])
-                    if waiting > max(LOOKED_UP, len(keys[0])):  # as many as are added up, so that each is added a few times at most
+                    if waiting > max(ADDED, len(keys[0])):  # as many as are added up, so that each is added a few times at most
                         keys, counts = ([x] for x in _merge(np.concatenate(keys), np.concatenate(counts)))
                         waiting = 0
                 keys, counts = _merge(np.concatenate(keys), np.concatenate(counts))
